@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from barloom.llm.langid import op9_language_codes
 from barloom.llm.quality import op5_quality_rules
+from barloom.llm.toxicity import op1_toxic_crf
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_quality_rules,)}
+    return {f.__name__: f for f in (op1_toxic_crf, op5_quality_rules, op9_language_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
