@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from barloom.llm.langid import op9_language_codes
+from barloom.llm.pieces import op7_piece_nbest
 from barloom.llm.quality import op5_quality_rules
+from barloom.llm.sstable import op10_sstable_shards
 from barloom.llm.toxicity import op1_toxic_crf
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxic_crf, op5_quality_rules, op9_language_codes)}
+    return {f.__name__: f for f in (op1_toxic_crf, op5_quality_rules, op7_piece_nbest, op9_language_codes, op10_sstable_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
