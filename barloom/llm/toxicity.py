@@ -136,7 +136,9 @@ def _sample_crf(model: ToxicModel, ids: list[np.ndarray], tags: list[np.ndarray]
     return ToxicModel(model.number, theta[0], float(theta[1][0]), np.clip(theta[2], -6, 6), model.doc)
 
 
-def _doc_features(p: np.ndarray, start: np.ndarray) -> np.ndarray:
+def _doc_features(p: np.ndarray, start: np.ndarray, floor: float = 0.3) -> np.ndarray:
+    """log(1 + sum) and maximum of the marginals of each document; those below `floor` don't add up, however many words there are."""
+    p = np.where(p >= floor, p, 0)
     n = len(start) - 1
     total, most = np.zeros(n), np.zeros(n)
     full = np.flatnonzero(np.diff(start) > 0)
@@ -168,7 +170,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, most_labels: int = 20_00
     if not total:
         return none
     some = tx.sampled(lab, key, most_labels, total)
-    known = tx.sampled(docs.select(key.alias("doc_id"), tx.as_bytes().alias("text")), F.col("doc_id"), most_labels, total).join(some, "doc_id")
+    known = tx.sampled(docs.select(key.alias("doc_id"), tx.as_bytes().alias("text")), F.col("doc_id"), most_labels, total).join(F.broadcast(some), "doc_id")  # about most_labels rows of 12 bytes
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of each batch, (word, toxic, documents with it); the key b"" counts the documents."""
@@ -180,7 +182,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, most_labels: int = 20_00
                     seen[w, y] = seen.get((w, y), 0) + 1
             yield tx.rows(schema, [k[0] for k in seen], [k[1] for k in seen], list(seen.values()))
 
-    counts = known.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(distinct, "word binary, toxic int, n long").groupBy("word").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum("n").alias("n"))
+    counts = tx.stored(known.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(distinct, "word binary, toxic int, n long").groupBy("word").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum("n").alias("n")), "words")
     sizes = counts.where(F.col("word") == F.lit(b"")).first()
     if not sizes or not 0 < sizes["bad"] < sizes["n"]:
         return none
@@ -188,6 +190,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, most_labels: int = 20_00
     words = counts.where(F.col("word") != F.lit(b"")).withColumn("rate", rate)
     toxic = {r["word"] for r in words.where((F.col("bad") >= least_docs) & (F.col("rate") >= odds)).orderBy(F.desc("bad"), "word").limit(most_words // 4).collect()}
     common = [r["word"] for r in words.orderBy(F.desc("n"), "word").limit(most_words - len(toxic)).collect()]
+    common = [w for k, w in enumerate(common) if k % 4 != 3 or w in toxic]  # the others teach how a word without weights behaves
     number = {bytes(w): k for k, w in enumerate(dict.fromkeys([*sorted(map(bytes, toxic)), *map(bytes, common)]), 1)}
     toxic = {number[bytes(w)] for w in toxic}
     # as many clean texts as toxic ones
@@ -207,7 +210,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, most_labels: int = 20_00
     lexicon = np.zeros(len(number) + 1, bool)
     lexicon[list(toxic)] = True
     tags = [lexicon[v] & (t == 1) for v, t in zip(ids, y, strict=True)]
-    model = _sample_crf(ToxicModel(number, np.zeros((len(number) + 1, 3)), 0.0, np.zeros((2, 2)), none.doc), ids, tags, rounds, 0.01)
+    model = _sample_crf(ToxicModel(number, np.zeros((len(number) + 1, 3)), 0.0, np.zeros((2, 2)), none.doc), ids, tags, rounds, 0.2)
     start = np.concatenate([[0], np.cumsum([len(v) for v in ids])])
     x = _doc_features(marginals(model.emissions(np.concatenate(ids), start), start, model.moves), start)
     prior = np.log(sizes["bad"] / (sizes["n"] - sizes["bad"])) - np.log(max(1, (y == 1).sum()) / max(1, (y == 0).sum()))
