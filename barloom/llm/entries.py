@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from barloom.llm.decontam import OP4_SQL, op4_winnowing
 from barloom.llm.jaccard import op8_vertical_jaccard
 from barloom.llm.langid import op9_language_codes
 from barloom.llm.pieces import op7_piece_nbest
@@ -15,8 +16,8 @@ from barloom.llm.toxicity import op1_toxic_crf
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxic_crf, op5_quality_rules, op7_piece_nbest, op8_vertical_jaccard, op9_language_codes, op10_sstable_shards)}
+    return {f.__name__: f for f in (op1_toxic_crf, op4_winnowing, op5_quality_rules, op7_piece_nbest, op8_vertical_jaccard, op9_language_codes, op10_sstable_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_winnowing": OP4_SQL}
