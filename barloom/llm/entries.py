@@ -12,12 +12,13 @@ from barloom.llm.langid import op9_language_codes
 from barloom.llm.pii import op2_private_votes
 from barloom.llm.pieces import op7_piece_nbest
 from barloom.llm.quality import op5_quality_rules
+from barloom.llm.repeats import op6_previous_factors
 from barloom.llm.sstable import op10_sstable_shards
 from barloom.llm.toxicity import op1_toxic_crf
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxic_crf, op2_private_votes, op4_winnowing, op5_quality_rules, op7_piece_nbest, op8_vertical_jaccard, op9_language_codes, op10_sstable_shards)}
+    return {f.__name__: f for f in (op1_toxic_crf, op2_private_votes, op4_winnowing, op5_quality_rules, op6_previous_factors, op7_piece_nbest, op8_vertical_jaccard, op9_language_codes, op10_sstable_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
