@@ -26,6 +26,11 @@ def words(text: Column | str = "text") -> Column:
     return F.array_remove(F.split(lowered, GAPS, -1), "")
 
 
+def text_key(text: str = "text") -> Column:
+    """Tells apart the texts of rows with one doc_id."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.col(text).isNull())
+
+
 def _empty() -> Column:
     return F.array().cast("array<bigint>")
 
@@ -67,8 +72,7 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, *, span: int = 13, k: int
     items = tx.stored(items, "items")
     item_prints = fingerprints(items, span, k).select(F.explode("fingerprints").alias("fingerprint")).distinct()
     short = sorted(r[0] for r in items.where(F.col("n_words") < span).select("n_words").distinct().collect())  # fewer than `span` numbers
-    key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.col("text").isNull())
-    read = docs.select("doc_id", key.alias("text_key"), words().alias("words")).withColumn("n_words", F.size("words"))
+    read = docs.select("doc_id", text_key().alias("text_key"), words().alias("words")).withColumn("n_words", F.size("words"))
     prints = fingerprints(read, span, k)
     rows = prints.select("doc_id", "text_key", "n_words", F.posexplode_outer("fingerprints").alias("nth", "fingerprint"))
     marked = rows.join(_maybe_broadcast(item_prints.withColumn("found", F.lit(1)), most_broadcast), "fingerprint", "left")

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barloom.llm import text as tx
 
@@ -69,19 +70,24 @@ def text_counts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), tx.as_bytes().alias("text")).mapInArrow(_count_batches, schema)
 
 
-def features() -> dict[str, Column]:
+def _counts() -> dict[str, Column]:
+    return {c: F.col(c) for c in COUNTS}
+
+
+def features(of: dict[str, Column] | None = None) -> dict[str, Column]:
     """What the rules test, from COUNTS."""
-    words, chars = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("word_chars"), F.lit(1))
+    of = of or _counts()
+    words, chars, lines = (F.greatest(of[c], F.lit(1)) for c in ("n_words", "word_chars", "n_lines"))
     return {
-        "words": F.col("n_words").cast("double"),
-        "word_length": F.col("word_chars") / words,
-        "symbols": F.col("n_symbols") / chars,
-        "dup_lines": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
-        "repeats": F.col("n_repeat_words") / words,
-        "upper": F.col("n_upper") / chars,
-        "bangs": F.col("n_bang") / words,
-        "digits": F.col("n_digits") / chars,
-        "line_words": F.col("n_words") / F.greatest(F.col("n_lines"), F.lit(1)),
+        "words": of["n_words"].cast("double"),
+        "word_length": of["word_chars"] / words,
+        "symbols": of["n_symbols"] / chars,
+        "dup_lines": of["n_dup_lines"] / lines,
+        "repeats": of["n_repeat_words"] / words,
+        "upper": of["n_upper"] / chars,
+        "bangs": of["n_bang"] / words,
+        "digits": of["n_digits"] / chars,
+        "line_words": of["n_words"] / lines,
     }
 
 
@@ -202,8 +208,9 @@ def fit_rules(docs: DataFrame, labels: DataFrame, *, most_labels: int = 20_000,
     return learn_rules({n: got[n].to_numpy(float) for n in of}, got["bad"].to_numpy(bool), **how)
 
 
-def base_failed() -> Column:
-    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+def base_failed(of: dict[str, Column] | None = None) -> Column:
+    of = of or _counts()
+    return (of["n_words"] < 50) | (100 * of["n_repeat_words"] > 50 * of["n_words"])
 
 
 def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -212,6 +219,23 @@ def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
 
 
+def keep_good(docs: DataFrame, rules: list[Rule]) -> DataFrame:
+    """The rows of docs that `judge` keeps, with their columns. The counts travel with the rows, so no join is needed."""
+    names = [f"__{c}" for c in COUNTS]
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in names)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                counts = zip(*(count_text(b) for b in part.column(part.num_columns - 1).to_pylist()))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *(pa.array(c, pa.int64()) for c in counts)], names=[*part.schema.names[:-1], *names])
+
+    counted = docs.withColumn("__bytes", tx.as_bytes()).mapInArrow(run, schema)
+    of = {c: F.col(f"__{c}") for c in COUNTS}
+    return counted.where(~base_failed(of) & (verdict(rules, features(of)) == 0)).select(*docs.columns)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = tx.documents(spark, sf_dir)
     rules = fit_rules(docs, tx.table(spark, sf_dir, "labels"))
