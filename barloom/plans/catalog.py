@@ -1,73 +1,6 @@
-"""Registered queries of the engine and their SQL."""
+"""All registered queries of the engine and their SQL."""
 
-from __future__ import annotations
+from barloom.plans import analytics, bar_queries, text_queries  # noqa: F401  they register themselves
+from barloom.plans.registry import oracle_sql, queries
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from barloom.operators import features
-from barloom.plans import bars_sql
-from barloom.sources.bars import event_bars
-
-Query = Callable[[SparkSession, str], DataFrame]
-_queries: dict[str, Query] = {}
-_sql: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def keep(f: Query) -> Query:
-        _queries[name] = f
-        if sql:
-            _sql[name] = sql
-        return f
-
-    return keep
-
-
-def queries() -> dict[str, Query]:
-    return dict(_queries)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_sql)
-
-
-def rounded(df: DataFrame, digits: int = 6, rough: tuple[str, ...] = ()) -> DataFrame:
-    """Doubles to `digits` places (those in rough to 4): sums in another order differ in the last bits."""
-    return df.select(*(F.round(c, 4 if c in rough else digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
-
-
-def _select(spark: SparkSession, sf_dir: str, names: list[str], rough: tuple[str, ...] = (), more: tuple[str, ...] = ()) -> DataFrame:
-    return rounded(features.compute(event_bars(spark, sf_dir), names).select("symbol", "ts", *more, *names), rough=rough)
-
-
-@query("bar_features", bars_sql.BAR_FEATURES)
-def bar_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _select(spark, sf_dir, ["mom_5d", "bb_middle", "zscore_20d", "bb_pct_b"], more=("close", "volume"))
-
-
-@query("momentum_suite", bars_sql.MOMENTUM)
-def momentum_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _select(spark, sf_dir, [f.name for f in features.registered("momentum")])
-
-
-@query("mean_reversion_suite", bars_sql.REVERSION)
-def mean_reversion_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _select(spark, sf_dir, [f.name for f in features.registered("mean_reversion")], rough=("half_life_120",))
-
-
-@query("volume_suite", bars_sql.VOLUME)
-def volume_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _select(spark, sf_dir, [f.name for f in features.registered("volume")], rough=("amihud", "amihud_20"))
-
-
-@query("microstructure_suite", bars_sql.MICRO)
-def microstructure_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _select(spark, sf_dir, [f.name for f in features.registered("microstructure")])
-
-
-@query("cross_momentum", bars_sql.CROSS)
-def cross_momentum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(features.cross_momentum(event_bars(spark, sf_dir)))
+__all__ = ["oracle_sql", "queries"]
