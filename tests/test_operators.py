@@ -146,3 +146,27 @@ def test_stream_cuts_each_symbol_by_itself(spark, tmp_path):
     newest = got.groupBy("symbol").agg(F.max("ts").alias("ts"))
     state = {r["symbol"]: r["status"] for r in streams.staleness(newest, expected, "2024-01-01 00:07:00").collect()}
     assert state == {"A": "LIVE", "B": "STALE", "C": "WAITING"}
+
+
+def test_folds(spark):
+    from barloom.operators import models
+
+    got = models.fold_bounds(spark, 600).orderBy("fold").collect()
+    assert got[-1]["test_stop"] == 600 and all(r["test_start"] - r["train_stop"] == 5 and r["test_stop"] - r["test_start"] == 95 for r in got)
+    assert all(b["test_start"] >= a["test_stop"] for a, b in zip(got, got[1:])) and got[0]["train_stop"] >= 100
+    with pytest.raises(ValueError):
+        models.fold_bounds(spark, 100)
+
+
+def test_bootstrap_and_walk_forward(spark):
+    from barloom.operators import metrics, models
+
+    rng = np.random.default_rng(0)
+    ret = metrics.returns(series(spark, 100 * np.exp(np.cumsum(rng.normal(0, 0.01, 300)))))
+    a, b = (sorted(tuple(r) for r in models.bootstrap(ret, paths=8).collect()) for _ in range(2))
+    assert a == b and len(a) == 8 and len({r[2] for r in a}) == 8
+    x = rng.normal(size=(400, 2))
+    rows = [("A", DAY + dt.timedelta(days=k), float(u), float(v), int(u + v / 2 > 0)) for k, (u, v) in enumerate(x)]
+    df = spark.createDataFrame(rows, "symbol string, ts timestamp, u double, v double, y int")
+    out = models.walk_forward(df, ["u", "v"], "y", models.fold_bounds(spark, 400, folds=2))
+    assert models.classification(out, ["symbol"]).first()["accuracy"] > 0.85
