@@ -4,8 +4,8 @@ A place of a text repeats if the `span` bytes from it also start elsewhere. Thre
 the corpus in one place:
 
 1. Every window of `span` bytes has an anchor, the least of its 64-byte grams; equal windows have equal anchors at equal offsets. Windows in a
-   row with one anchor are a run. Runs whose anchor occurs once hold no repeat; if all runs of an anchor are equal, all their windows repeat.
-2. The other runs, where copies begin, end or differ, are read again. A task puts the bytes of its runs in suffix order (prefix doubling up to
+   row with one anchor are a run. Runs whose anchor occurs once hold no repeat; equal runs of an anchor repeat in all their windows.
+2. Where the runs of an anchor differ, one of each kind is read again: there copies begin, end or differ. A task puts the bytes of its runs in suffix order (prefix doubling up to
    `span` bytes). The previous and the next smaller position in suffix order give the longest previous factor of each place, cut at `span`:
    places with an earlier or later copy in the same task are settled, and the first of each class stands for it.
 3. Fingerprints of these firsts meet in one shuffle, at most one from each batch of a task however often a passage occurs.
@@ -94,11 +94,14 @@ def runs(flat: np.ndarray, off: np.ndarray, span: int) -> tuple[np.ndarray, ...]
 
 
 def suffix_ranks(data: np.ndarray, depth: int) -> np.ndarray:
-    """Rank of every suffix by its first `depth` symbols (numbers of one row of `data`, non-negative), by prefix doubling; equal beginnings
-    have equal ranks. Past the end stands what is less than all symbols."""
-    n = len(data)
-    rank = np.unique(data, return_inverse=True)[1].astype(np.int64)
-    size = 1
+    """Rank of every suffix of some bytes by its first `depth` bytes, by prefix doubling from seven on; equal beginnings have equal ranks.
+    Past the end stands what is less than all bytes."""
+    n, size = len(data), min(7, depth)
+    code = np.concatenate([data.astype(np.uint64) + np.uint64(1), np.zeros(size, np.uint64)])
+    first = np.zeros(n, np.uint64)
+    for k in range(size):
+        first = (first << np.uint64(9)) | code[k : k + n]
+    rank = np.unique(first, return_inverse=True)[1].astype(np.int64)
     while size < depth and n:
         step = min(size, depth - size)
         after = np.zeros(n, np.int64)
@@ -182,46 +185,48 @@ def _settle(batches: Iterator[pa.RecordBatch], span: int, most_bytes: int) -> It
     """Of texts with the runs in question: settled places (key, lo, hi), and firsts (key, lo, window), of each batch of `most_bytes` bytes of runs."""
     schema = pa.schema([("key", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("window", pa.int64()), ("known", pa.bool_())])
 
-    def flush(held: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
-        # a separator of its own after each piece, so that nothing matches across
-        data = np.concatenate([x for _, _, b in held for x in (b.astype(np.int64), np.zeros(1, np.int64))])
-        ends = np.cumsum([len(b) + 1 for _, _, b in held])
-        data[ends - 1] = 256 + np.arange(len(held))
-        starts = ends - np.array([len(b) + 1 for _, _, b in held])
-        count = np.array([len(b) - span + 1 for _, _, b in held])
+    def flush(held: list[tuple[int, int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        # the windows looked at lie within one piece each
+        data, old = (np.concatenate([h[c] for h in held]) for c in (2, 3))
+        size = np.array([len(h[2]) for h in held])
+        starts = np.cumsum(size) - size
+        count = size - span + 1
         piece = np.repeat(np.arange(len(held)), count)
         inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         at = starts[piece] + inner
         before, after = previous_factors(suffix_ranks(data, span), at)
         twice = (before >= 0) | (after >= 0)
-        key, place = np.array([k for k, _, _ in held])[piece], np.array([p for _, p, _ in held])[piece] + inner
+        key, place = np.array([h[0] for h in held])[piece], np.array([h[1] for h in held])[piece] + inner
         order = np.lexsort((place[twice], key[twice]))
         k, lo, hi = _as_spans(place[twice][order], key[twice][order])
-        big = _powers(np.concatenate([np.append(b, np.uint8(0)) for _, _, b in held]), span)
+        big = _powers(data, span)
         size = max(big)
         firsts = before < 0
         window = _window_hash(big[size], size, span, at[firsts])
         none, own = np.zeros(len(k), bool), int(firsts.sum())
-        return tx.rows(schema, np.concatenate([k, key[firsts]]), np.concatenate([lo, place[firsts]]).astype(np.int32), np.concatenate([hi, place[firsts]]).astype(np.int32), pa.array(np.concatenate([np.zeros(len(k), np.int64), window.view(np.int64)]), mask=np.concatenate([~none, np.zeros(own, bool)])), np.concatenate([~none, twice[firsts]]))
+        return tx.rows(schema, np.concatenate([k, key[firsts]]), np.concatenate([lo, place[firsts]]).astype(np.int32), np.concatenate([hi, place[firsts]]).astype(np.int32), pa.array(np.concatenate([np.zeros(len(k), np.int64), window.view(np.int64)]), mask=np.concatenate([~none, np.zeros(own, bool)])), np.concatenate([~none, (twice | old)[firsts]]))
 
-    held: list[tuple[int, int, np.ndarray]] = []
+    held: list[tuple[int, int, np.ndarray, np.ndarray]] = []
     size = 0
     for batch in batches:
         for lo in range(0, batch.num_rows, 200):
             part = [batch.column(c).slice(lo, 200).to_pylist() for c in range(3)]
             for key, b, found in zip(*part, strict=True):
                 flat = np.frombuffer(b, np.uint8)
-                spans = sorted((x["lo"], x["hi"]) for x in found)
-                joined = [list(spans[0])]
-                for s, e in spans[1:]:  # runs side by side are one piece
-                    if s <= joined[-1][1] + 1:
-                        joined[-1][1] = max(joined[-1][1], e)
+                joined: list[list] = []
+                for s, e, known in sorted((x["lo"], x["hi"], x["known"]) for x in found):
+                    mask = np.full(e - s + 1, known)
+                    if joined and s == joined[-1][1] + 1:  # runs side by side are one piece
+                        joined[-1][1] = e
+                        joined[-1][2].append(mask)
                     else:
-                        joined.append([s, e])
-                for s, e in joined:
+                        joined.append([s, e, [mask]])
+                for s, e, masks in joined:
+                    mask = np.concatenate(masks)
                     for cut in range(s, e + 1, most_bytes):
-                        held.append((key, cut, flat[cut : min(e, cut + most_bytes - 1) + span]))
-                        size += len(held[-1][2])
+                        stop = min(e, cut + most_bytes - 1)
+                        held.append((key, cut, flat[cut : stop + span], mask[cut - s : stop - s + 1]))
+                        size += stop + span - cut
                 if size >= most_bytes:
                     yield flush(held)
                     held, size = [], 0
@@ -256,18 +261,23 @@ def _small(df: DataFrame, most_broadcast: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= most_broadcast else df.hint("shuffle_hash")
 
 
-def _repeated_places(docs: DataFrame, span: int, most_bytes: int, most_broadcast: int) -> DataFrame:
-    """(key, spans): for each row with repeats, the ranges (lo, hi) of places whose windows repeat; ranges can overlap."""
+def _repeated_places(docs: DataFrame, span: int, most_bytes: int, most_broadcast: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(key, spans): for each row with repeats, the ranges (lo, hi) of places whose windows repeat; ranges can overlap. And the tables it reads."""
     anchors = tx.stored(_anchors(docs, span), "anchors")
     shared = anchors.groupBy("anchor").agg(F.count("*").alias("n"), F.min("body").alias("least"), F.max("body").alias("most")).where("n > 1")
     shared = shared.select("anchor", (F.col("least") != F.col("most")).alias("mixed"))
-    met = tx.stored(anchors.join(shared, "anchor").select("key", "lo", "hi", "mixed"), "runs")
-    question = tx.stored(met.where("mixed").groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("found")), "question")
+    met = tx.stored(anchors.join(shared, "anchor"), "runs")
+    tx.discard(anchors)
+    mixed = met.where("mixed")
+    # equal runs of an anchor repeat each other; one of them stands for all where others differ
+    kinds = tx.stored(mixed.groupBy("anchor", "body").agg(F.count("*").alias("n"), F.min(F.struct("key", "lo", "hi")).alias("one")), "kinds")
+    equal = mixed.join(kinds.where("n > 1").select("anchor", "body"), ["anchor", "body"], "left_semi").select("key", "lo", "hi")
+    question = tx.stored(kinds.select("one.*", (F.col("n") > 1).alias("known")).groupBy("key").agg(F.collect_set(F.struct("lo", "hi", "known")).alias("found")), "question")
     texts = docs.select("key", "text").join(_small(question, most_broadcast), "key").select("key", "text", "found")
     settled = tx.stored(texts.mapInArrow(lambda batches: _settle(batches, span, most_bytes), "key long, lo int, hi int, window long, known boolean"), "settled")
     more = _met(settled.where("window is not null").select("window", "key", "lo", "known"))
-    all_spans = met.where("not mixed").select("key", "lo", "hi").union(settled.where("window is null").select("key", "lo", "hi")).union(more.select("key", "lo", F.col("lo").alias("hi")))
-    return all_spans.groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    all_spans = met.where("not mixed").select("key", "lo", "hi").union(equal).union(settled.where("window is null").select("key", "lo", "hi")).union(more.select("key", "lo", F.col("lo").alias("hi")))
+    return all_spans.groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), [met, kinds, question, settled]
 
 
 def _merged(spans: list[dict], span: int) -> list[tuple[int, int]]:
@@ -281,7 +291,7 @@ def _merged(spans: list[dict], span: int) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
-def repeated_spans(docs: DataFrame, *, span: int = 400, most_bytes: int = 2 << 20, most_broadcast: int = 300_000) -> DataFrame:
+def repeated_spans(docs: DataFrame, *, span: int = 400, most_bytes: int = 1 << 20, most_broadcast: int = 300_000) -> DataFrame:
     """doc_id, text (bytes) and spans (array<struct<start, stop>>, bytes inside a repeated window, null if none) of every row.
 
     most_bytes: bytes that one suffix sort takes. most_broadcast: rows of span lists up to which they are broadcast to the texts; more are shuffled.
@@ -297,7 +307,10 @@ def repeated_spans(docs: DataFrame, *, span: int = 400, most_bytes: int = 2 << 2
                 found = [[{"start": s, "stop": e} for s, e in _merged(x, span)] for x in batch.column(1).slice(lo, 500).to_pylist()]
                 yield tx.rows(schema, batch.column(0).slice(lo, 500), found)
 
-    spans = tx.stored(_repeated_places(own, span, most_bytes, most_broadcast).mapInArrow(merge, "key long, spans array<struct<start:int,stop:int>>"), "spans")
+    places, read = _repeated_places(own, span, most_bytes, most_broadcast)
+    spans = tx.stored(places.mapInArrow(merge, "key long, spans array<struct<start:int,stop:int>>"), "spans")
+    for table in read:
+        tx.discard(table)
     return own.join(_small(spans, most_broadcast), "key", "left").select("doc_id", "text", "spans")
 
 
