@@ -182,8 +182,9 @@ def _as_spans(places: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def _settle(batches: Iterator[pa.RecordBatch], span: int, most_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Of texts with the runs in question: settled places (key, lo, hi), and firsts (key, lo, window), of each batch of `most_bytes` bytes of runs."""
-    schema = pa.schema([("key", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("window", pa.int64()), ("known", pa.bool_())])
+    """Of texts with the runs in question, by batches of `most_bytes` bytes of runs: settled places (key, lo, hi; settled), and firsts (key, lo,
+    window; known if they are settled too). The window of a settled row only spreads the rows."""
+    schema = pa.schema([("key", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("window", pa.int64()), ("known", pa.bool_()), ("settled", pa.bool_())])
 
     def flush(held: list[tuple[int, int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         # the windows looked at lie within one piece each
@@ -203,8 +204,10 @@ def _settle(batches: Iterator[pa.RecordBatch], span: int, most_bytes: int) -> It
         size = max(big)
         firsts = before < 0
         window = _window_hash(big[size], size, span, at[firsts])
-        none, own = np.zeros(len(k), bool), int(firsts.sum())
-        return tx.rows(schema, np.concatenate([k, key[firsts]]), np.concatenate([lo, place[firsts]]).astype(np.int32), np.concatenate([hi, place[firsts]]).astype(np.int32), pa.array(np.concatenate([np.zeros(len(k), np.int64), window.view(np.int64)]), mask=np.concatenate([~none, np.zeros(own, bool)])), np.concatenate([~none, (twice | old)[firsts]]))
+        own = place[firsts]
+        spread = (k * 31 + lo) * np.int64(0x9E3779B97F4A7C1)
+        columns = ((k, key[firsts]), (lo, own), (hi, own), (spread, window.view(np.int64)), (np.ones(len(k), bool), (twice | old)[firsts]), (np.ones(len(k), bool), np.zeros(len(own), bool)))
+        return tx.rows(schema, *(np.concatenate(c).astype(t.type.to_pandas_dtype()) for c, t in zip(columns, schema, strict=True)))
 
     held: list[tuple[int, int, np.ndarray, np.ndarray]] = []
     size = 0
@@ -234,27 +237,33 @@ def _settle(batches: Iterator[pa.RecordBatch], span: int, most_bytes: int) -> It
         yield flush(held)
 
 
-def _met(firsts: DataFrame) -> DataFrame:
-    """(key, lo) of the firsts whose window others have too. The rows come sorted, so a task holds one batch."""
-    schema = pa.schema([("key", pa.int64()), ("lo", pa.int32())])
+def _met(rows: DataFrame) -> DataFrame:
+    """(key, lo, hi): the settled rows, and the firsts whose window others have too. The rows come sorted, so a task holds one batch."""
+    schema = pa.schema([("key", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[int, int, int, bool] | None = None  # the last row so far, and whether it is emitted or need not be
+        held: list | None = None  # the last first so far: window, key, lo, and whether it is emitted or need not be
         for batch in batches:
-            window, key, lo, known = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(4))
-            known = known.astype(bool)
+            window, key, lo, hi, known, settled = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(6))
+            settled = settled.astype(bool)
+            if settled.any():
+                yield tx.rows(schema, key[settled], lo[settled], hi[settled])
+            window, key, lo, known = (c[~settled] for c in (window, key, lo, known.astype(bool)))
             if held is not None:
-                window, key, lo, known = np.insert(window, 0, held[0]), np.insert(key, 0, held[1]), np.insert(lo, 0, held[2]), np.insert(known, 0, held[3])
+                window, key, lo, known = (np.insert(c, 0, h) for c, h in zip((window, key, lo, known), held, strict=True))
+            if not len(window):
+                continue
             same = window[1:] == window[:-1]
             many = np.zeros(len(window), bool)
             many[1:] |= same
             many[:-1] |= same
             out = many & ~known
             if out.any():
-                yield tx.rows(schema, key[out], lo[out])
-            held = (window[-1], key[-1], lo[-1], bool(known[-1] or out[-1]))
+                yield tx.rows(schema, key[out], lo[out], lo[out])
+            held = [window[-1], key[-1], lo[-1], bool(known[-1] or out[-1])]
 
-    return firsts.repartition("window").sortWithinPartitions("window").mapInArrow(run, "key long, lo int")
+    by_window = rows.select("window", "key", "lo", "hi", "known", "settled").repartition("window").sortWithinPartitions("window")
+    return by_window.mapInArrow(run, "key long, lo int, hi int")
 
 
 def _small(df: DataFrame, most_broadcast: int) -> DataFrame:
@@ -274,10 +283,9 @@ def _repeated_places(docs: DataFrame, span: int, most_bytes: int, most_broadcast
     equal = mixed.join(kinds.where("n > 1").select("anchor", "body"), ["anchor", "body"], "left_semi").select("key", "lo", "hi")
     question = tx.stored(kinds.select("one.*", (F.col("n") > 1).alias("known")).groupBy("key").agg(F.collect_set(F.struct("lo", "hi", "known")).alias("found")), "question")
     texts = docs.select("key", "text").join(_small(question, most_broadcast), "key").select("key", "text", "found")
-    settled = tx.stored(texts.mapInArrow(lambda batches: _settle(batches, span, most_bytes), "key long, lo int, hi int, window long, known boolean"), "settled")
-    more = _met(settled.where("window is not null").select("window", "key", "lo", "known"))
-    all_spans = met.where("not mixed").select("key", "lo", "hi").union(equal).union(settled.where("window is null").select("key", "lo", "hi")).union(more.select("key", "lo", F.col("lo").alias("hi")))
-    return all_spans.groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), [met, kinds, question, settled]
+    told = texts.mapInArrow(lambda batches: _settle(batches, span, most_bytes), "key long, lo int, hi int, window long, known boolean, settled boolean")
+    all_spans = met.where("not mixed").select("key", "lo", "hi").union(equal).union(_met(told))
+    return all_spans.groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), [met, kinds, question]
 
 
 def _merged(spans: list[dict], span: int) -> list[tuple[int, int]]:
