@@ -27,11 +27,26 @@ def fold_bounds(spark: SparkSession, n: int, *, folds: int = 5, least_train: int
     return spark.createDataFrame(rows, "fold int, train_start int, train_stop int, test_start int, test_stop int")
 
 
+def symbol_folds(df: DataFrame, *, key: str = "symbol", folds: int = 5, least_train: int = 100, embargo: int = 5, rolling: bool = False) -> DataFrame:
+    """The columns of fold_bounds and key, from the number of rows of each key, so that each key's last test ends with its own sample. Keys
+    with too few rows for these folds have none."""
+    counts = df.groupBy(key).agg(F.count("*").cast("int").alias("n"))
+    size = F.floor((C("n") - least_train - folds * embargo) / folds).cast("int")
+    each = counts.withColumn("size", size).where("size >= 1").withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
+    each = each.withColumn("test_stop", C("n") - (folds - 1 - C("fold")) * (C("size") + embargo)).withColumn("test_start", C("test_stop") - C("size"))
+    stop = C("test_start") - embargo
+    return each.select(key, "fold", (F.greatest(F.lit(0), stop - least_train) if rolling else F.lit(0)).alias("train_start"), stop.alias("train_stop"), "test_start", "test_stop")
+
+
 def with_folds(df: DataFrame, bounds: DataFrame, order: str = "ts", key: str = "symbol") -> DataFrame:
-    """df with nth (row number by key), and a row for each fold and part (train or test) that it belongs to. bounds has one row a fold."""
+    """df with nth (row number by key), and a row for each fold and part (train or test) that it belongs to. bounds has one row
+    a fold, or one a key and fold."""
     n = F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1
     on = ((C("nth") >= C("train_start")) & (C("nth") < C("train_stop"))) | ((C("nth") >= C("test_start")) & (C("nth") < C("test_stop")))
     part = F.when(C("nth") < C("train_stop"), "train").otherwise("test")
+    if key in bounds.columns:
+        bounds = bounds.withColumnRenamed(key, "_key")
+        return df.withColumn("nth", n).join(bounds, (C(key) == C("_key")) & on).select(*df.columns, "nth", "fold", part.alias("part"))
     return df.withColumn("nth", n).join(F.broadcast(bounds), on).select(*df.columns, "nth", "fold", part.alias("part"))
 
 
@@ -107,7 +122,7 @@ def walk_forward(df: DataFrame, features: list[str], label: str, bounds: DataFra
 
     rows = with_folds(VectorAssembler(inputCols=features, outputCol="_x").transform(df).select("symbol", "ts", "_x", C(label).cast("double").alias("y")), bounds)
     out = None
-    for k in [r["fold"] for r in bounds.select("fold").orderBy("fold").collect()]:
+    for k in [r["fold"] for r in bounds.select("fold").distinct().orderBy("fold").collect()]:
         own = rows.where(C("fold") == k)
         make = estimator or (lambda: GBTClassifier(maxIter=10, maxDepth=3, seed=1))
         model = make().setFeaturesCol("_x").setLabelCol("y").fit(own.where("part = 'train'"))

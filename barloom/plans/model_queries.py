@@ -56,6 +56,18 @@ def fold_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(models.with_folds(metrics.returns(event_bars(spark, sf_dir)), bounds).groupBy("symbol", "fold", "part").agg(F.count("*").alias("n"), F.avg("ret").alias("mean")))
 
 
+@query(
+    "fold_sizes_whole",
+    f"""WITH {RET}, n AS (SELECT *, row_number() OVER {W} - 1 AS nth, count(*) OVER (PARTITION BY symbol) AS total FROM ret), z AS (SELECT *, (total - 100 - 5 * 5) // 5 AS size FROM n), k AS (SELECT unnest(range(0, 5)) AS fold),
+b AS (SELECT symbol, ret, nth, fold, size, total - (4 - fold) * (size + 5) AS stop FROM z, k WHERE total >= 130)
+SELECT symbol, CAST(fold AS INTEGER) AS fold, CASE WHEN nth < stop - size - 5 THEN 'train' ELSE 'test' END AS part, count(*) AS n, round(avg(ret), 6) AS mean FROM b WHERE nth < stop - size - 5 OR (nth >= stop - size AND nth < stop) GROUP BY 1, 2, 3""",
+)
+def fold_sizes_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As fold_sizes, over all rows of each symbol."""
+    ret = metrics.returns(event_bars(spark, sf_dir))
+    return rounded(models.with_folds(ret, models.symbol_folds(ret)).groupBy("symbol", "fold", "part").agg(F.count("*").alias("n"), F.avg("ret").alias("mean")))
+
+
 @query(
     "rank_correlation",
     f"""WITH {_XY}, r AS (SELECT symbol, rank() OVER (PARTITION BY symbol ORDER BY mom) + (count(*) OVER (PARTITION BY symbol, mom) - 1) / 2.0 AS x, rank() OVER (PARTITION BY symbol ORDER BY z) + (count(*) OVER (PARTITION BY symbol, z) - 1) / 2.0 AS w FROM xy)
@@ -72,8 +84,9 @@ def bootstrap_fan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("walk_forward_gbt")
 def walk_forward_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Out-of-fold probabilities of gradient-boosted trees on two features, two folds."""
-    return models.walk_forward(_labelled(spark, sf_dir), ["mom_5d", "zscore_20d"], "y", models.fold_bounds(spark, 400, folds=2))
+    """Out-of-fold probabilities of gradient-boosted trees on two features, two folds over all rows of each symbol."""
+    rows = _labelled(spark, sf_dir)
+    return models.walk_forward(rows, ["mom_5d", "zscore_20d"], "y", models.symbol_folds(rows, folds=2))
 
 
 @query("sequence_windows")

@@ -170,3 +170,15 @@ def test_bootstrap_and_walk_forward(spark):
     df = spark.createDataFrame(rows, "symbol string, ts timestamp, u double, v double, y int")
     out = models.walk_forward(df, ["u", "v"], "y", models.fold_bounds(spark, 400, folds=2))
     assert models.classification(out, ["symbol"]).first()["accuracy"] > 0.85
+
+
+def test_folds_of_each_symbol_reach_its_last_row(spark):
+    from barloom.operators import models
+
+    rows = [(s, f"2024-01-01 {k // 3600:02}:{k // 60 % 60:02}:{k % 60:02}") for s, n in (("a", 719), ("b", 166), ("c", 110)) for k in range(n)]
+    df = spark.createDataFrame(rows, "symbol string, ts string")
+    bounds = models.symbol_folds(df)
+    got = {tuple(r) for r in bounds.where("symbol = 'a'").drop("symbol").collect()}
+    assert got == {tuple(r) for r in models.fold_bounds(spark, 719).collect()}
+    last = {r["symbol"]: (r["last"], r["n"]) for r in models.with_folds(df, bounds).where("part = 'test'").groupBy("symbol").agg(F.max("nth").alias("last"), F.countDistinct("fold").alias("n")).collect()}
+    assert last == {"a": (718, 5), "b": (165, 5)}
