@@ -87,8 +87,9 @@ def diebold_mariano(df: DataFrame, *, lags: int = 0) -> DataFrame:
     return off.groupBy("symbol").agg(n.alias("n"), F.avg("d").alias("mean"), (factor * F.try_divide(F.avg("d"), F.sqrt(F.greatest(var, F.lit(0.0)) / n))).alias("statistic"))
 
 
-def bootstrap(ret: DataFrame, *, paths: int = 200, block: int = 10, length: int = 252, seed: int = 1) -> DataFrame:
-    """symbol, path, total return and worst drawdown of paths drawn in circular blocks. Every (symbol, path) is a task of its own seed; a
+def bootstrap(ret: DataFrame, *, paths: int = 1000, block: int = 10, length: int | None = None, seed: int = 1) -> DataFrame:
+    """symbol, path, total return and worst drawdown of paths drawn in circular blocks, each as long as the symbol's
+    series unless length is given. Every (symbol, path) is a task of its own seed; a
     symbol's returns reach the groups as one array."""
     arrays = ret.groupBy("symbol").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "ret"))), lambda x: x["ret"]).alias("r"))
     grid = arrays.withColumn("path", F.explode(F.sequence(F.lit(0), F.lit(paths - 1))))
@@ -99,8 +100,9 @@ def bootstrap(ret: DataFrame, *, paths: int = 200, block: int = 10, length: int
             for symbol, r, path in zip(pdf["symbol"], pdf["r"], pdf["path"], strict=True):
                 r = np.asarray(r, float)
                 rng = np.random.default_rng([seed, int(path)])
-                starts = rng.integers(0, len(r), -(-length // block))
-                x = r[(starts[:, None] + np.arange(block)).ravel()[:length] % len(r)]
+                n = length or len(r)
+                starts = rng.integers(0, len(r), -(-n // block))
+                x = r[(starts[:, None] + np.arange(block)).ravel()[:n] % len(r)]
                 wealth = np.cumprod(1 + x)
                 out.append((symbol, int(path), wealth[-1] - 1, (wealth / np.maximum.accumulate(wealth) - 1).min()))
             yield pd.DataFrame(out, columns=["symbol", "path", "total", "drawdown"])
@@ -131,12 +133,18 @@ def walk_forward(df: DataFrame, features: list[str], label: str, bounds: DataFra
     return out
 
 
-def sequences(df: DataFrame, columns: list[str], length: int = 20, stride: int = 1) -> DataFrame:
-    """symbol, ts, x: the last `length` rows of columns as array<array<double>>, full ones only, every stride-th row."""
+def sequences(df: DataFrame, columns: list[str], length: int = 20, stride: int = 1, *, target: str | None = None, most_missing: float = 0.0) -> DataFrame:
+    """symbol, ts, x, mask and target: the last `length` rows of columns as array<array<double>>, full ones only, every stride-th row. Windows
+    whose share of null or NaN values is above most_missing are left out; in the others these are 0, and mask is false for their rows. target
+    is that column's value at the last row."""
     order = Window.partitionBy("symbol").orderBy("ts")
-    x = F.collect_list(F.array(*(C(c).cast("double") for c in columns))).over(order.rowsBetween(-(length - 1), 0))
-    out = df.select("symbol", "ts", x.alias("x"), F.row_number().over(order).alias("_n"))
-    return out.where((F.size("x") == length) & ((C("_n") - length) % stride == 0)).drop("_n")
+    x = F.collect_list(F.array(*(F.nanvl(C(c).cast("double"), F.lit(None).cast("double")) for c in columns))).over(order.rowsBetween(-(length - 1), 0))
+    y = [C(target).alias("target")] if target else []
+    out = df.select("symbol", "ts", x.alias("x"), *y, F.row_number().over(order).alias("_n"))
+    out = out.where((F.size("x") == length) & ((C("_n") - length) % stride == 0)).drop("_n")
+    missing = F.size(F.filter(F.flatten("x"), lambda v: v.isNull()))
+    out = out.where(missing <= most_missing * length * len(columns)).withColumn("mask", F.transform("x", lambda r: F.forall(r, lambda v: v.isNotNull())))
+    return out.withColumn("x", F.transform("x", lambda r: F.transform(r, lambda v: F.coalesce(v, F.lit(0.0)))))
 
 
 def information(df: DataFrame, feature: str, label: str, bins: int = 10) -> DataFrame:

@@ -91,4 +91,6 @@ def walk_forward_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("sequence_windows")
 def sequence_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models.sequences(event_bars(spark, sf_dir), ["close", "volume"], 20, 5)
+    """Windows of 20 bars at every bar, with the next bar's return as target (null at the end)."""
+    b = event_bars(spark, sf_dir).withColumn("next", features.target(F.col("close")))
+    return models.sequences(b, ["close", "volume"], 20, target="next")

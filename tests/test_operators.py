@@ -182,3 +182,16 @@ def test_folds_of_each_symbol_reach_its_last_row(spark):
     assert got == {tuple(r) for r in models.fold_bounds(spark, 719).collect()}
     last = {r["symbol"]: (r["last"], r["n"]) for r in models.with_folds(df, bounds).where("part = 'test'").groupBy("symbol").agg(F.max("nth").alias("last"), F.countDistinct("fold").alias("n")).collect()}
     assert last == {"a": (718, 5), "b": (165, 5)}
+
+
+def test_whole_sequences_and_bootstrap(spark):
+    from barloom.operators import models
+
+    rows = [("A", k, None if k == 3 else float("nan") if k == 9 else float(k), 1.0, float(10 * k)) for k in range(12)]
+    df = spark.createDataFrame(rows, "symbol string, ts int, u double, v double, y double")
+    assert [(r["ts"], r["target"]) for r in models.sequences(df, ["u", "v"], 3, target="y").orderBy("ts").collect()] == [(k, 10.0 * k) for k in (2, 6, 7, 8)]
+    some = models.sequences(df, ["u", "v"], 3, target="y", most_missing=0.2).orderBy("ts").collect()
+    assert [r["ts"] for r in some] == list(range(2, 12)) and some[1]["x"] == [[1.0, 1.0], [2.0, 1.0], [0.0, 1.0]] and some[1]["mask"] == [True, True, False]
+    ret = spark.createDataFrame([("A", k, 0.01) for k in range(300)], "symbol string, ts int, ret double")
+    got = models.bootstrap(ret).collect()
+    assert len(got) == 1000 and all(np.isclose(r["total"], 1.01**300 - 1) for r in got)
