@@ -340,7 +340,9 @@ def _repeats(docs: DataFrame, least: int, span: int, most_bytes: int, most_kinds
     question = kinds.join(many.hint("merge"), "anchor").withColumn("sub", F.pmod("body", "subs").cast("int"))
     run = F.struct("anchor", "body", "sub", "subs", F.col("one.lo").alias("lo"), F.col("one.hi").alias("hi"))
     question = tx.stored(question.groupBy(F.col("one.key").alias("key")).agg(F.collect_list(run).alias("found")), "question")
-    texts = docs.join(_small(question, 24 + 56 * F.size("found"), most_broadcast), "key")
+    # lists of runs take more room than the keys of their texts: these go first, so that other texts stay at home
+    few = _small(question.select("key"), F.lit(16), most_broadcast)
+    texts = docs.join(few, "key", "left_semi").join(_small(question, 24 + 56 * F.size("found"), most_broadcast // 8), "key")
     told = tx.stored(_told(_pieces(texts, span), least, span, most_bytes), "told")
     verdicts = told.where("window is null").select("anchor", "body", "spans", "later", "longest", "factor")
     if many.where("subs > 1").take(1):
@@ -382,7 +384,7 @@ def repeated_spans(docs: DataFrame, *, span: int = 400, least: int = 224, most_b
     row; null where a row has no factor.
 
     most_bytes: bytes whose suffixes a task sorts at once. most_kinds: kinds of an anchor that a task takes; more are dealt to several.
-    most_broadcast: bytes up to which lists of runs are broadcast to the texts; larger ones are shuffled.
+    most_broadcast: bytes up to which keys and spans are broadcast to the texts (lists of runs up to an eighth); more are shuffled.
     """
     if not 2 * GRAM <= least <= span:
         raise ValueError(f"least must be {2 * GRAM} at least, and span not below it")
