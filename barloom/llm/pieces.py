@@ -1,15 +1,20 @@
 """N-best segmentation into the pieces of a SentencePiece model (operator 7).
 
 The pieces that match a text form a lattice. A forward Viterbi pass gives the best score of reaching each place; these scores are the exact
-heuristic of an A* search that runs backward from the end, so complete paths come off its queue in order of score. A piece never reaches over
-a word boundary (checked on the vocabulary), so words are searched alone and kept in a bounded cache; the best segmentations of a text are the
-best sums over its words.
+heuristic of an A* search that runs backward from the end, so complete paths come off its queue in order of score. A place that has come off
+the queue n times is closed, as n paths through it are enough; so a search takes n steps for each place at most, however many paths tie. Scores
+are whole numbers (billionths), so equal paths are exactly equal; of these, any n are given.
 
-A piece of rank r scores -log(r + 2) (Zipf's law on the model's own order; the model is not trained here); a character that no piece covers
-falls back to its bytes at `BYTE_SCORE` each.
+No piece reaches over a place between two characters that stand side by side in no piece, so texts are cut there (first at the borders of words
+and of runs of letters, if the vocabulary has no piece across them, then by pairs of characters). The parts are searched alone and kept in a
+bounded cache; the best segmentations of a text are the best sums over its parts.
 
-Edge cases: a null or empty text has no pieces, the score 0 and decodes to the empty text. Repeated rows give one row each. A table without
-rows gives none. Further columns of the input are ignored, except in `segment_column`, which keeps them.
+The model file is a byte-pair one: its scores number its merges (0, -1, -2, ..) and are no logarithms of probabilities, so sums of them would
+prefer few rare pieces. A piece of rank r in their order scores -log(r + 2), by Zipf's law; the model is not trained here. A character
+that no piece covers falls back to its bytes at `BYTE_SCORE` each.
+
+Edge cases: a null or empty text has no pieces, the score 0 and decodes to the empty text. Very long texts and words take time and memory in
+proportion to their length. Repeated rows give one row each. A table without rows gives none. Further columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -28,20 +33,22 @@ from pyspark.sql import functions as F
 from barloom.llm import text as tx
 
 SPACE = "▁"
-BYTE_SCORE = -14.0
+UNIT = 10**9
+BYTE_SCORE = -14 * UNIT
+_LETTER = re.compile(r"[^\W\d_]")
 
 
 class Segmenter:
     """Segmentations of texts by a SentencePiece model file, best first."""
 
-    def __init__(self, path: str, n_best: int = 3, most_words: int = 150_000):
+    def __init__(self, path: str, n_best: int = 3, most_words: int = 200_000):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.n, self.most, self.cache = n_best, most_words, {}
         self.text_of: list[bytes] = []
         self.byte_id: dict[int, int] = {}
-        self.pieces: dict[str, tuple[int, float]] = {}
+        pieces: dict[str, int] = {}
         for k in range(model.get_piece_size()):
             piece = model.id_to_piece(k)
             if model.is_byte(k):
@@ -50,88 +57,128 @@ class Segmenter:
             elif model.is_control(k) or model.is_unknown(k):
                 self.text_of.append(b"")
             else:
-                self.pieces[piece] = (k, 0.0)
+                pieces[piece] = k
                 self.text_of.append(piece.replace(SPACE, " ").encode())
-        order = sorted(self.pieces.values())
-        rank = {k: r for r, (k, _) in enumerate(order)}
-        self.pieces = {p: (k, -math.log(rank[k] + 2)) for p, (k, _) in self.pieces.items()}
-        self.longest = max(map(len, self.pieces))
-        inner = [p for p in self.pieces if SPACE in p.lstrip(SPACE)]
+        self.kind = "<u2" if len(self.text_of) <= 0x10000 else "<u4"
+        order = sorted(pieces, key=lambda p: (-model.get_score(pieces[p]), pieces[p]))
+        #: Of every piece and its beginnings: (id, score), or none for a beginning that is no piece.
+        self.tree: dict[str, tuple[int, int] | None] = {p[:k]: None for p in order for k in range(1, len(p))}
+        self.tree |= {p: (pieces[p], round(-math.log(r + 2) * UNIT)) for r, p in enumerate(order)}
+        inner = [p for p in order if SPACE in p.lstrip(SPACE)]
         if inner:
             raise ValueError(f"pieces reach over word boundaries: {inner[:3]}")
-        joined = {c for p in self.pieces if len(p) > 1 for c in p}
-        cut = "".join(c for c in "\n\t\r" if c not in joined)
-        #: Spaces with the word that follows them; a character that only stands alone cuts too.
-        self.words = re.compile(f"[{cut}]|{SPACE}*[^{SPACE}{cut}]+|{SPACE}+" if cut else f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
-
-    def lattice(self, word: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
-        """For each place, the (start, score, ids) of the pieces that end there; a character without a piece has its bytes."""
-        get, n = self.pieces.get, len(word)
-        ends: list[list[tuple[int, float, tuple[int, ...]]]] = [[] for _ in range(n + 1)]
+        self.pairs = {p[k : k + 2] for p in order for k in range(len(p) - 1)}
+        plain = lambda p: len({bool(_LETTER.match(c)) for c in p.lstrip(SPACE)}) < 2
+        #: Characters of pieces that join letters with others; texts that have one are cut at words only.
+        self.joining = sorted({c for p in order if not plain(p) for c in p if _LETTER.match(c) and not c.isalpha()})
+        apart = all(plain(p) or set(p) & set(self.joining) for p in order)
+        #: Spaces with the word, or with the run of letters or of others, that follows them.
+        self.at_spaces = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
+        self.words = re.compile(f"{SPACE}*{_LETTER.pattern}+|{SPACE}*(?:[\\d_]|[^\\w{SPACE}])+|{SPACE}+").findall if apart else self.at_spaces
+
+    def lattice(self, word: str) -> tuple[list[list[tuple[int, int, tuple[int, ...]]]], list[int]]:
+        """For each place, the (start, score, ids) of the pieces that end there, a character without a piece has its bytes; and for each place
+        the best score of reaching it."""
+        get, n = self.tree.get, len(word)
+        ends: list[list[tuple[int, int, tuple[int, ...]]]] = [[] for _ in range(n + 1)]
+        best = [0] + [-(1 << 62)] * n
         for i in range(n):
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                if (hit := get(word[i:j])) is not None:
+            so_far, alone = best[i], True
+            for j in range(i + 1, n + 1):
+                hit = get(word[i:j], False)
+                if hit:
                     ends[j].append((i, hit[1], (hit[0],)))
-            if not ends[i + 1] or ends[i + 1][-1][0] != i:
+                    if so_far + hit[1] > best[j]:
+                        best[j] = so_far + hit[1]
+                    alone = alone and j > i + 1
+                elif hit is False:
+                    break
+            if alone:
                 raw = word[i].replace(SPACE, " ").encode()
-                ends[i + 1].append((i, BYTE_SCORE * len(raw), tuple(self.byte_id[b] for b in raw)))
-        return ends
+                score = BYTE_SCORE * len(raw)
+                ends[i + 1].append((i, score, tuple(self.byte_id[b] for b in raw)))
+                best[i + 1] = max(best[i + 1], so_far + score)
+        return ends, best
 
-    def search(self, word: str) -> list[tuple[float, tuple[int, ...]]]:
+    def search(self, word: str) -> list[tuple[int, tuple[int, ...]]]:
         """The n best (score, ids), best first."""
-        ends = self.lattice(word)
-        best = [0.0] + [-math.inf] * len(word)
-        for j in range(1, len(word) + 1):
-            best[j] = max(best[i] + s for i, s, _ in ends[j])
-        queue: list[tuple[float, int, int, float, tuple]] = [(-best[-1], len(word), 0, 0.0, ())]
-        found, serial = [], 0
-        while queue and len(found) < self.n:
-            _, at, _, score, tail = heapq.heappop(queue)
+        ends, best = self.lattice(word)
+        most, taken = self.n, [0] * (len(word) + 1)
+        queue: list[tuple[int, int, int, int, tuple]] = [(-best[-1], len(word), 0, 0, ())]
+        found, serial, push, pop = [], 0, heapq.heappush, heapq.heappop
+        while queue and len(found) < most:
+            _, at, _, score, tail = pop(queue)
             if not at:
-                ids: list[int] = []
+                ids: list[tuple[int, ...]] = []
                 while tail:
-                    ids += tail[0]
+                    ids.append(tail[0])
                     tail = tail[1]
-                found.append((score, tuple(ids)))
+                found.append((score, tuple(k for part in ids for k in part)))
+                continue
+            if taken[at] == most:
                 continue
-            for i, s, ids in ends[at]:
-                serial += 1
-                heapq.heappush(queue, (-(best[i] + s + score), i, serial, s + score, (ids, tail)))
+            taken[at] += 1
+            for i, s, part in ends[at]:
+                if taken[i] < most:
+                    serial += 1
+                    push(queue, (-(best[i] + s + score), i, serial, s + score, (part, tail)))
         return found
 
-    def _word(self, word: str) -> tuple[bytes, float, tuple[float, ...], list]:
+    def _best(self, word: str) -> list[tuple[int, tuple[int, ...]]]:
+        """The n best of a word, from those of the parts that no piece joins."""
+        pairs, cuts = self.pairs, [0]
+        cuts += [k for k in range(1, len(word)) if word[k - 1 : k + 1] not in pairs]
+        if len(cuts) == 1:
+            return self.search(word)
+        parts: list[list[tuple[int, tuple[int, ...]]]] = []
+        for lo, hi in zip(cuts, [*cuts[1:], len(word)]):
+            part = word[lo:hi]
+            parts.append((self.cache.get(part) or self._word(part))[3] if hi - lo < len(word) and hi - lo <= 64 else self.search(part))
+        return self._joined(parts)
+
+    def _joined(self, parts: list[list[tuple[int, tuple[int, ...]]]]) -> list[tuple[int, tuple[int, ...]]]:
+        """The n best of parts one after another: best first, then those that lose least in few of the parts."""
+        base = sum(p[0][0] for p in parts)
+        # only the parts with the least loss can have another reading in one of the n best
+        loose = heapq.nsmallest(self.n - 1, (k for k, p in enumerate(parts) if len(p) > 1), key=lambda k: parts[k][0][0] - parts[k][1][0])
+        found: list[tuple[int, dict[int, int]]] = [(0, {})]
+        for k in loose:
+            found = heapq.nsmallest(self.n, ((loss + parts[k][0][0] - s, {**chosen, k: way}) for loss, chosen in found for way, (s, _) in enumerate(parts[k])), key=lambda x: x[0])
+        return [(base - loss, tuple(i for k, p in enumerate(parts) for i in p[chosen.get(k, 0)][1])) for loss, chosen in found]
+
+    def _word(self, word: str) -> tuple[bytes, int, tuple[int, ...], list]:
         """(ids of the best as bytes, its score, how much worse the others are, all)."""
         if len(self.cache) >= self.most:
             self.cache.clear()
-        found = self.search(word)
-        out = (np.array(found[0][1], "<u2" if len(self.text_of) <= 0x10000 else "<u4").tobytes(), found[0][0], tuple(found[0][0] - s for s, _ in found[1:]), found)
+        found = self._best(word)
+        out = (np.array(found[0][1], self.kind).tobytes(), found[0][0], tuple(found[0][0] - s for s, _ in found[1:]), found)
         if len(word) <= 64:
             self.cache[word] = out
         return out
 
     def split(self, text: str) -> list[str]:
         """The words of a text, with the mark that SentencePiece puts before it."""
-        return self.words(SPACE + text.replace(" ", SPACE)) if text else []
+        if not text:
+            return []
+        cut = self.at_spaces if any(c in text for c in self.joining) else self.words
+        return cut(SPACE + text.replace(" ", SPACE))
 
     def segment(self, text: str) -> tuple[np.ndarray, list[float]]:
         """(ids of the best segmentation, scores of the n best)."""
         get = self.cache.get
         made = [get(w) or self._word(w) for w in self.split(text)]
-        ids = np.frombuffer(b"".join([m[0] for m in made]), "<u2" if len(self.text_of) <= 0x10000 else "<u4")
-        score = math.fsum([m[1] for m in made])
-        # only the words with the least loss can have another reading in one of the n best
-        loose = heapq.nsmallest(self.n - 1, (m[2] for m in made if m[2]))
-        worse = [0.0]
+        ids = np.frombuffer(b"".join([m[0] for m in made]), self.kind)
+        score = sum([m[1] for m in made])
+        loose = heapq.nsmallest(self.n - 1, [m[2] for m in made if m[2]])
+        worse = [0]
         for options in loose:
-            worse = heapq.nsmallest(self.n, (w + x for w in worse for x in (0.0, *options)))
-        return ids, [score - w for w in worse]
+            worse = heapq.nsmallest(self.n, (w + x for w in worse for x in (0, *options)))
+        return ids, [(score - w) / UNIT for w in worse]
 
     def n_best(self, text: str) -> list[tuple[float, list[int]]]:
         """The n best (score, ids) of a text, best first; ties in any order."""
-        found: list[tuple[float, list[int]]] = [(0.0, [])]
-        for w in self.split(text):
-            found = heapq.nlargest(self.n, ((s + t, [*a, *b]) for s, a in found for t, b in (self.cache.get(w) or self._word(w))[3]), key=lambda x: x[0])
-        return found
+        parts = [(self.cache.get(w) or self._word(w))[3] for w in self.split(text)]
+        return [(s / UNIT, list(ids)) for s, ids in self._joined(parts)]
 
     def decode(self, ids: np.ndarray) -> str:
         of = self.text_of
@@ -160,18 +207,22 @@ def segment_texts(docs: DataFrame, model: str, *, n_best: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), tx.as_bytes().alias("text")).mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, score double, scores array<double>, round_trip boolean")
 
 
-def segment_ids(docs: DataFrame, model: str, *, n_best: int = 1) -> DataFrame:
-    """doc_id and ids (array<int>) of the best segmentation of every row."""
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
+def segment_ids(docs: DataFrame, model: str, *, n_best: int = 3) -> DataFrame:
+    """doc_id, ids (array<int>) of the best segmentation, scores (n best) and round_trip (decoding gives the text) of every row."""
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("scores", pa.list_(pa.float64())), ("round_trip", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = _segmenters.get((model, n_best)) or _segmenters.setdefault((model, n_best), Segmenter(model, n_best))
         for batch in batches:
             for lo in range(0, batch.num_rows, 200):
-                ids = [s.segment(b.decode("utf-8", "replace"))[0].astype(np.int32) for b in batch.column(1).slice(lo, 200).to_pylist()]
-                yield tx.rows(schema, batch.column(0).slice(lo, 200), ids)
+                out = []
+                for b in batch.column(1).slice(lo, 200).to_pylist():
+                    text = b.decode("utf-8", "replace")
+                    ids, scores = s.segment(text)
+                    out.append((ids.astype(np.int32), scores, s.decode(ids) == text.replace(SPACE, " ")))
+                yield tx.rows(schema, batch.column(0).slice(lo, 200), *zip(*out))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), tx.as_bytes().alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), tx.as_bytes().alias("text")).mapInArrow(run, "doc_id long, ids array<int>, scores array<double>, round_trip boolean")
 
 
 def op7_piece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 import itertools
-import math
 import random
+import time
 
+import numpy as np
 import public_tokenizers
 import pytest
 
@@ -16,8 +17,8 @@ def seg():
 
 
 def every_path(seg, word):
-    ends = seg.lattice(word)
-    paths = [[(0.0, ())]]
+    ends = seg.lattice(word)[0]
+    paths = [[(0, ())]]
     for j in range(1, len(word) + 1):
         paths.append([(s + t, a + b) for i, t, b in ends[j] for s, a in paths[i]])
     return paths[-1]
@@ -29,17 +30,44 @@ def test_search_equals_brute_force(seg):
         got = seg.search(word)
         assert [s for s, _ in got] == pytest.approx(want)
         assert len({ids for _, ids in got}) == len(got)
-        assert got[0][1] in [a for s, a in every_path(seg, word) if math.isclose(s, want[0])]
+        assert got[0][1] in [a for s, a in every_path(seg, word) if s == want[0]]
 
 
 def test_text_n_best_is_best_sum_over_words(seg):
     text = "The station ererand on éaux"
     words = [seg.search(w) for w in seg.split(text)]
-    want = sorted((sum(s for s, _ in c) for c in itertools.product(*words)), reverse=True)[:4]
+    want = [s / pieces.UNIT for s in sorted((sum(s for s, _ in c) for c in itertools.product(*words)), reverse=True)[:4]]
     assert seg.segment(text)[1] == pytest.approx(want)
     assert [s for s, _ in seg.n_best(text)] == pytest.approx(want)
 
 
+def test_cuts_change_nothing(seg):
+    rng = random.Random(2)
+    whole = lambda text: seg.search(pieces.SPACE + text.replace(" ", pieces.SPACE))
+    for _ in range(300):
+        text = "".join(rng.choice(["the", "er", " ", "  ", ".", ",", "12", "é", "²", "²." , "日", "\n", "a", "…)"]) for _ in range(1 + rng.randrange(7)))
+        want = [s / pieces.UNIT for s, _ in whole(text)]
+        assert seg.segment(text)[1] == want
+        got = seg.n_best(text)
+        assert [s for s, _ in got] == want and len({tuple(ids) for _, ids in got}) == len(got)
+        assert all(seg.decode(np.array(ids)) == text for _, ids in got)
+
+
+@pytest.mark.parametrize("text", ["a" * 100_000, "ab" * 50_000, "x-" * 50_000, "é" * 100_000, " " * 100_000, "." * 100_000])
+def test_long_words_with_many_ties(seg, text):
+    began = time.process_time()
+    ids, scores = seg.segment(text)
+    assert time.process_time() - began < 4
+    assert seg.decode(ids) == text and 1 <= len(scores) <= 4 and scores == sorted(scores, reverse=True)
+
+
+def test_ties_are_all_found(seg):
+    word = "a" * 9
+    want = sorted((s for s, _ in every_path(seg, word)), reverse=True)[:4]
+    got = seg.search(word)
+    assert [s for s, _ in got] == want and len({ids for _, ids in got}) == 4
+
+
 def test_round_trip(seg):
     rng = random.Random(1)
     for _ in range(200):
