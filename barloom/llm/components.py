@@ -28,8 +28,9 @@ def components(links: DataFrame, *, most_rounds: int = 40) -> DataFrame:
         now = edges.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)))).first()
         if now == before or not now[0]:
             break
-        before = now
-        edges = tx.stored(_stars(_stars(edges, True), False), "links")
+        before, old = now, edges
+        edges = tx.stored(_stars(_stars(old, True), False), "links")
+        tx.discard(old)
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -4,14 +4,17 @@ Words are lower-cased runs of letters, digits and non-ASCII characters. Of every
 the minimum of each window of `span - k + 1` consecutive k-grams is a fingerprint, so any shared run of `span` words leaves a common one.
 Fingerprints of the texts are joined with those of the benchmark; texts with a common fingerprint are read again and their hits are extended to
 all words inside an occurrence of a `span`-word window of an item. Items with fewer words than `span` are one window each and are looked up
-whole.
+whole. Windows meet by two 64-bit hashes of their words.
 
 Edge cases: null texts and items have no words. An empty benchmark contaminates nothing. Rows with the same doc_id are judged each by its
-own text and all are returned. Items with the same item_id count as one. Further columns of the input are ignored.
+own text and all are returned, also those without a doc_id; repeated rows are read once and returned as often as they stand. Ties: none arise.
+Very long texts are rows like others. Items with the same item_id count as one. Further columns of the input are ignored.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,9 +29,9 @@ def words(text: Column | str = "text") -> Column:
     return F.array_remove(F.split(lowered, GAPS, -1), "")
 
 
-def text_key(text: str = "text") -> Column:
-    """Tells apart the texts of rows with one doc_id."""
-    return F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.col(text).isNull())
+def text_key(text: str = "text", doc_id: str = "doc_id") -> Column:
+    """The same for rows with the same doc_id and text, null or not."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.col(text).isNull(), F.col(doc_id), F.col(doc_id).isNull())
 
 
 def _empty() -> Column:
@@ -56,15 +59,20 @@ def _maybe_broadcast(df: DataFrame, most_rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= most_rows else df
 
 
-def _windows(df: DataFrame, width: int) -> DataFrame:
-    """A row (.., at, window) for each place of `width` words; window: their hash."""
-    w = F.col("words")
-    hashes = F.when(F.col("n_words") >= width, F.transform(F.slice(w, F.lit(1), F.col("n_words") - (width - 1)), lambda x, i: F.xxhash64(F.slice(w, i + 1, F.lit(width))))).otherwise(_empty())
-    return df.select(*(c for c in df.columns if c not in ("words", "n_words")), F.posexplode(hashes).alias("at", "window"))
+def _windows(df: DataFrame, widths: list[int]) -> DataFrame:
+    """A row (.., at, width, window, check) for each place of so many words of each width; window, check: two hashes of them."""
+    w, n = F.col("words"), F.col("n_words")
+
+    def of(width: int) -> Column:
+        each = lambda x, i: F.struct(i.alias("at"), F.lit(width).alias("width"), F.xxhash64(F.slice(w, i + 1, F.lit(width))).alias("window"), F.xxhash64(F.lit(width), F.slice(w, i + 1, F.lit(width))).alias("check"))
+        return F.when(n >= width, F.transform(F.slice(w, F.lit(1), n - (width - 1)), each)).otherwise(F.array().cast("array<struct<at:int,width:int,window:bigint,check:bigint>>"))
+
+    found = of(widths[0]) if len(widths) == 1 else F.concat(*map(of, widths))
+    return df.select(*(c for c in df.columns if c not in ("words", "n_words")), F.explode(found).alias("x")).select(*(c for c in df.columns if c not in ("words", "n_words")), "x.*")
 
 
 def occurrences(docs: DataFrame, benchmark: DataFrame, *, span: int = 13, k: int = 5, most_broadcast: int = 500_000) -> tuple[DataFrame, DataFrame]:
-    """(texts, hits). texts: doc_id, text_key, copies (equal rows), n_words. hits: doc_id, text_key, item_id, at, width for each occurrence of a window.
+    """(texts, hits). texts: doc_id, text_key, copies (equal rows), n_words. hits: text_key, item_id, at, width for each occurrence of a window.
 
     most_broadcast: tables of up to so many rows are broadcast, larger ones are shuffled.
     """
@@ -78,24 +86,28 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, *, span: int = 13, k: int
     marked = rows.join(_maybe_broadcast(item_prints.withColumn("found", F.lit(1)), most_broadcast), "fingerprint", "left")
     texts = marked.groupBy("doc_id", "text_key").agg(F.max("n_words").alias("n_words"), F.count(F.when(F.coalesce("nth", F.lit(0)) == 0, 1)).alias("copies"), F.max("found").alias("found"))
     texts = tx.stored(texts, "texts")
-    hit = None
-    for width in [*short, span]:
-        some = texts.where("n_words >= %d%s" % (width, " and found = 1" if width == span else "")).select("doc_id", "text_key")
-        again = read.join(_maybe_broadcast(some, most_broadcast), ["doc_id", "text_key"], "left_semi").dropDuplicates(["doc_id", "text_key"]) if width == span else read.dropDuplicates(["doc_id", "text_key"])
-        of = items.where(F.col("n_words") == width) if width < span else items.where(F.col("n_words") >= span)
-        of = _windows(of, width).select("item_id", "window").distinct()
-        got = _windows(again, width).join(_maybe_broadcast(of, most_broadcast), "window").select("doc_id", "text_key", "item_id", "at", F.lit(width).alias("width"))
-        hit = got if hit is None else hit.union(got)
-    return texts, hit
+    parts = []
+    if short:
+        of = [_windows(items.where(F.col("n_words") == width), [width]) for width in short]
+        parts.append((read.select("text_key", "words", "n_words"), short, reduce(DataFrame.union, of)))
+    some = texts.where("found = 1").select("text_key")
+    again = read.select("text_key", "words", "n_words").join(_maybe_broadcast(some, most_broadcast), "text_key", "left_semi")
+    parts.append((again, [span], _windows(items.where(F.col("n_words") >= span), [span])))
+    hits = []
+    for texts_read, widths, of in parts:
+        of = of.select("item_id", "width", "window", "check").distinct()
+        hits.append(_windows(texts_read, widths).join(_maybe_broadcast(of, most_broadcast), ["width", "window", "check"]).select("text_key", "item_id", "at", "width"))
+    # rows that stand twice give the same hits
+    return texts, reduce(DataFrame.union, hits).distinct()
 
 
 def matches(hits: DataFrame) -> DataFrame:
-    """Hits on one diagonal joined to the longest runs: doc_id, text_key, item_id, start, stop (words, stop exclusive)."""
-    by = Window.partitionBy("doc_id", "text_key", "item_id").orderBy("at", "width")
+    """Hits on one diagonal joined to the longest runs: text_key, item_id, start, stop (words, stop exclusive)."""
+    by = Window.partitionBy("text_key", "item_id").orderBy("at", "width")
     end = F.col("at") + F.col("width")
     run = hits.withColumn("new", (F.col("at") > F.coalesce(F.max(end).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))).cast("int"))
     run = run.withColumn("run", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    return run.groupBy("doc_id", "text_key", "item_id", "run").agg(F.min("at").alias("start"), F.max(end).alias("stop")).drop("run")
+    return run.groupBy("text_key", "item_id", "run").agg(F.min("at").alias("start"), F.max(end).alias("stop")).drop("run")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, percent: int = 5, **how) -> DataFrame:
@@ -103,14 +115,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, percent: int = 5, **
     100 * n_hit >= percent * n_words) of every row of docs."""
     texts, hits = occurrences(docs, benchmark, **how)
     hits = tx.stored(hits, "hits")
-    by = Window.partitionBy("doc_id", "text_key").orderBy("at", "width").rowsBetween(Window.unboundedPreceding, -1)
-    places = hits.select("doc_id", "text_key", "at", "width").distinct()
+    by = Window.partitionBy("text_key").orderBy("at", "width").rowsBetween(Window.unboundedPreceding, -1)
+    places = hits.select("text_key", "at", "width").distinct()
     end = F.col("at") + F.col("width")
     added = places.withColumn("add", F.greatest(F.lit(0), end - F.greatest(F.col("at"), F.coalesce(F.max(end).over(by), F.lit(0)))))
-    covered = added.groupBy("doc_id", "text_key").agg(F.sum("add").cast("long").alias("n_hit"))
-    named = hits.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    found = covered.join(named, ["doc_id", "text_key"])
-    out = texts.join(found, ["doc_id", "text_key"], "left").withColumn("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    covered = added.groupBy("text_key").agg(F.sum("add").cast("long").alias("n_hit"))
+    named = hits.groupBy("text_key").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    found = covered.join(named, "text_key")
+    out = texts.join(found, "text_key", "left").withColumn("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     hit, n = F.coalesce("n_hit", F.lit(0).cast("long")), F.col("n_words").cast("long")
     items = F.coalesce("items", F.array().cast("array<string>"))
     return out.select("doc_id", "text_key", n.alias("n_words"), hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", items).cast("binary"), 256).alias("items_sha256"), ((hit > 0) & (100 * hit >= percent * n)).alias("contaminated"))

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.llm import text as tx
@@ -74,12 +74,17 @@ def parity(shingles: np.ndarray) -> np.ndarray:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), tx.as_bytes().alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), tx.as_bytes().alias("text"), row_key().alias("row_key"))
+
+
+def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """The same for rows with the same doc_id and text, null or not."""
+    return F.xxhash64(F.col(doc_id), F.col(doc_id).isNull(), F.coalesce(F.col(text), F.lit("")), F.col(text).isNull())
 
 
 def _summaries(docs: DataFrame, k: int, cells: int) -> DataFrame:
     """A row (doc_id, n, set) for each document, and of each task rows (chunk, counts) with its part of the sketch of shingle counts."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("set", pa.int64()), ("bits", pa.list_(pa.int64())), ("chunk", pa.int32()), ("counts", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("n", pa.int32()), ("set", pa.int64()), ("bits", pa.list_(pa.int64())), ("chunk", pa.int32()), ("counts", pa.binary())])
     shift = np.uint64(64 - (cells.bit_length() - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,13 +95,13 @@ def _summaries(docs: DataFrame, k: int, cells: int) -> DataFrame:
                 sketch = np.zeros(cells, np.uint32) if sketch is None else sketch
                 np.add.at(sketch, (np.concatenate(sets) >> shift).astype(np.intp), 1)
                 none = [None] * len(sets)
-                yield tx.rows(schema, batch.column(0).slice(lo, _PART), [len(s) for s in sets], [set_key(s) for s in sets], [parity(s) for s in sets], none, none)
+                yield tx.rows(schema, batch.column(0).slice(lo, _PART), batch.column(2).slice(lo, _PART), [len(s) for s in sets], [set_key(s) for s in sets], [parity(s) for s in sets], none, none)
         if sketch is not None:
             parts = np.minimum(sketch, 0xFFFF).astype("<u2").reshape(-1, min(_CHUNK, cells))
             none = [None] * len(parts)
-            yield tx.rows(schema, none, none, none, none, list(range(len(parts))), [zlib.compress(p.tobytes(), 1) for p in parts])
+            yield tx.rows(schema, none, none, none, none, none, list(range(len(parts))), [zlib.compress(p.tobytes(), 1) for p in parts])
 
-    return _texts(docs).mapInArrow(run, "doc_id long, n int, set long, bits array<long>, chunk int, counts binary")
+    return _texts(docs).mapInArrow(run, "doc_id long, row_key long, n int, set long, bits array<long>, chunk int, counts binary")
 
 
 def _sketch(parts: DataFrame, cells: int) -> np.ndarray:
@@ -269,7 +274,8 @@ def _linked(docs: DataFrame, summaries: DataFrame, pairs: DataFrame, k: int, per
 
 
 def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, cells: int = 1 << 20, tries: int = 2, rounds: int = 3, fragment: int = 4096, most_broadcast: int = 200_000) -> DataFrame:
-    """doc_id, n_shingles, set (class of equal sets) and component_id (the smallest doc_id reachable by links) of every row.
+    """doc_id, row_key (the same for rows with the same doc_id and text), n_shingles, set (class of equal sets) and component_id (the smallest
+    doc_id reachable by links) of every row.
 
     Two documents link when 100 * |A and B| >= percent * |A or B|. cells: size of the count sketch (4 bytes each, sent to every task).
     tries, rounds: how many classes a class is held against in each round before the last, exact step; they change the work, not the result.
@@ -278,11 +284,11 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, cells: in
         raise ValueError("percent must be over 50")
     told = tx.stored(_summaries(docs, k, cells), "shingles")
     sketch = _sketch(told.where(F.col("chunk").isNotNull()).select("chunk", "counts"), cells)
-    summaries = told.where(F.col("n").isNotNull()).select("doc_id", "n", "set")
+    summaries = told.where(F.col("n").isNotNull()).select("doc_id", "row_key", "n", "set")
     members = tx.stored(_shared(_postings(docs, k, percent, sketch)), "postings")
     sets = tx.stored(told.where(F.col("n").isNotNull()).select("set", "bits").join(members.select("set").distinct(), "set", "left_semi").dropDuplicates(["set"]), "sets")
-    links = None
-    label = None
+    links = label = None
+    scratch = [told, members, sets]
     for turn in range(rounds):
         if turn == 0:
             near = members.where("set <> first").select(F.col("set").alias("a"), F.col("first").alias("b"), F.col("n").alias("a_n"), F.col("first_n").alias("b_n"), F.col("at").alias("a_at"), F.col("first_at").alias("b_at"))
@@ -300,7 +306,11 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, cells: in
         best = tx.stored(best, "pairs")
         found = _linked(docs, summaries, best, k, percent, fragment, most_broadcast)
         links = found if links is None else links.union(found)
+        scratch += [best, found]
         label = tx.stored(components(links).select(F.col("node").alias("set"), "root"), "labels")
+        scratch.append(label)
+    if label is None:  # no rounds
+        label = members.select("set", F.col("set").alias("root")).limit(0)
     now = members.select("shingle", "set", "n", "at").join(label, "set", "left").withColumn("root", F.coalesce("root", "set"))
     mixed = now.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("shingle")
     now = tx.stored(now.join(mixed, "shingle").join(sets, "set"), "mixed")
@@ -308,13 +318,17 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, cells: in
     left = side("a").join(side("b"), "shingle").where((F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root")) & _can_link(percent) & _bits_fit(percent)).select("a", "b", "a_n", "b_n").distinct()
     left = tx.stored(left, "pairs")
     found = _linked(docs, summaries, left, k, percent, fragment, most_broadcast)
-    label = components(tx.stored(links.union(found), "links")).select(F.col("node").alias("set"), "root")
+    scratch += [now, left, found]
+    label = components(found if links is None else links.union(found)).select(F.col("node").alias("set"), "root")
     sized = summaries.join(label, "set", "left").withColumn("root", F.coalesce("root", "set"))
     full = sized.where("n > 0")
     least_id = full.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    out = full.join(least_id, "root").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "set", "component_id")
-    alone = sized.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), "set", F.col("doc_id").alias("component_id"))
-    return out.union(alone)
+    out = full.join(least_id, "root").select("doc_id", "row_key", F.col("n").cast("long").alias("n_shingles"), "set", "component_id")
+    alone = sized.where("n = 0").select("doc_id", "row_key", F.lit(0).cast("long").alias("n_shingles"), "set", F.col("doc_id").alias("component_id"))
+    result = tx.stored(out.union(alone), "near-duplicates")
+    for table in scratch:
+        tx.discard(table)
+    return result
 
 
 def op8_vertical_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ search and scans it. Spark range-partitions the documents by doc_id and every ta
 share (a temporary name, then a rename, so a task that runs again does no harm).
 
 Edge cases: a null or empty text has the end id alone. Rows with the same doc_id stay apart, in the order of their texts. An empty table makes
-no shard and no rows. Further columns of the input are ignored.
+no shard and no rows. Rows without a doc_id have no key: they are left out. Further columns of the input are ignored.
 """
 
 from __future__ import annotations

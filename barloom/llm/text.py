@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -66,10 +67,13 @@ def rows(schema: pa.Schema, *columns) -> pa.RecordBatch:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the place that driver and executors share (spark.checkpoint.dir); unset, as in tests, a local one is set."""
+    """A new folder in the place that driver and executors share (spark.checkpoint.dir). Where it is unset and all runs in one process, as in
+    tests, a local one is set; on a cluster it must be set."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         import tempfile
 
         base = f"file://{tempfile.mkdtemp(prefix='spark-')}"

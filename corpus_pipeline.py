@@ -3,8 +3,10 @@
 Every stage takes (spark, docs, sf_dir) and works on all rows that the stage before it has kept. All but the last return the columns of
 `documents`.
 
-Edge cases: null texts fail the quality rules. Rows with one doc_id share their fate in the near-duplicate stage and are judged each by its
-text elsewhere. An empty table passes through all stages as an empty table; further columns of the input are kept up to the last stage.
+Edge cases: null and empty texts fail the quality rules. Rows are told apart by doc_id and text, so rows with one doc_id, or with none, are
+judged each by its text; of repeated rows one stays. Ties: of near duplicates the smallest doc_id stays (none counts as smallest), of its texts the one
+with the smallest hash. Very long texts are rows like others. An empty table passes through all stages as an empty table; further columns of the input, whatever
+their names but `row_key`, are kept up to the last stage.
 """
 
 from __future__ import annotations
@@ -18,10 +20,10 @@ from barloom.llm import text as tx
 MOST_BROADCAST = 300_000
 
 
-def _without(docs: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
-    """docs without the rows whose keys are in `gone`; up to MOST_BROADCAST keys are sent to the rows, more are shuffled."""
-    gone = tx.stored(gone.distinct(), "gone")
-    return docs.join(F.broadcast(gone) if gone.count() <= MOST_BROADCAST else gone.hint("shuffle_hash"), keys, "left_anti")
+def _sent(keys: DataFrame) -> DataFrame:
+    """Keys (eight bytes a row) that are broadcast up to MOST_BROADCAST rows, and shuffled beyond."""
+    keys = tx.stored(keys.distinct(), "keys")
+    return F.broadcast(keys) if keys.count() <= MOST_BROADCAST else keys.hint("shuffle_hash")
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,16 +32,25 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the document with the smallest doc_id."""
+    """Of each group of near duplicates, the document with the smallest doc_id; of rows that stand twice, one."""
     found = jaccard.near_duplicates(docs)
-    return _without(docs, found.where("doc_id <> component_id").select("doc_id"), ["doc_id"]).select(*docs.columns)
+    # texts without a shingle are linked with nothing, so each is a group of its own
+    sets = found.where("n_shingles > 0")
+    stays = sets.groupBy("component_id").agg(F.min(F.struct("doc_id", "row_key")).alias("first")).select("component_id", F.col("first.row_key").alias("stays"))
+    both = sets.alias("s").join(stays.alias("k"), F.col("s.component_id").eqNullSafe(F.col("k.component_id")))
+    gone = both.where("row_key <> stays").select("row_key")
+    twice = found.groupBy("row_key").count().where("count > 1").select("row_key")
+    left = docs.withColumn("row_key", jaccard.row_key()).join(_sent(gone), "row_key", "left_anti")
+    twice = _sent(twice)
+    once = left.join(twice, "row_key", "left_anti").unionByName(left.join(twice, "row_key", "left_semi").dropDuplicates(["row_key"]))
+    return once.select(*docs.columns)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth is benchmark passages."""
     found = decontam.contamination(docs, tx.table(spark, sf_dir, "benchmark")).where("contaminated")
-    keyed = docs.withColumn("text_key", decontam.text_key())
-    return _without(keyed, found.select("doc_id", "text_key"), ["doc_id", "text_key"]).select(*docs.columns)
+    keyed = docs.withColumn("row_key", decontam.text_key())
+    return keyed.join(_sent(found.select(F.col("text_key").alias("row_key"))), "row_key", "left_anti").select(*docs.columns)
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,11 +60,11 @@ def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_pieces and ids (best segmentation) of every document."""
+    """doc_id, n_pieces, ids (best segmentation), scores (of the three best) and round_trip (its pieces give the text again) of every document."""
     import public_tokenizers
 
     got = pieces.segment_ids(docs, public_tokenizers.path("piece_bpe_32k.model"))
-    return got.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids")
+    return got.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "scores", "round_trip")
 
 
 STAGES = [("quality rules", good_quality), ("near duplicates", one_of_each), ("decontamination", uncontaminated), ("personal data", redacted), ("pieces", encoded)]

@@ -63,4 +63,13 @@ def test_matches_are_longest_runs(spark):
     item = " ".join(f"w{k}" for k in range(30))
     docs = spark.createDataFrame([(1, f"a b {item} c"), (2, "d " + " ".join(item.split()[5:20]))], "doc_id long, text string")
     _, hits = decontam.occurrences(docs, spark.createDataFrame([(9, item)], "item_id long, text string"))
-    assert sorted((r["doc_id"], r["item_id"], r["start"], r["stop"]) for r in decontam.matches(hits).collect()) == [(1, 9, 2, 32), (2, 9, 1, 16)]
+    keyed = docs.select("doc_id", decontam.text_key().alias("text_key"))
+    assert sorted((r["doc_id"], r["item_id"], r["start"], r["stop"]) for r in decontam.matches(hits).join(keyed, "text_key").collect()) == [(1, 9, 2, 32), (2, 9, 1, 16)]
+
+
+def test_rows_without_an_id_and_repeated_rows(spark):
+    item = " ".join(f"w{k}" for k in range(20))
+    rows = [(None, item), (None, item), (None, None), (7, item), (7, "clean"), (7, item)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = decontam.contamination(docs, spark.createDataFrame([(1, item), (2, "w3 w4")], "item_id long, text string")).drop("text_key").collect()
+    assert sorted((r["doc_id"] or 0, r["n_hit"], r["n_items"], r["contaminated"]) for r in got) == [(0, 0, 0, False), (0, 20, 2, True), (0, 20, 2, True), (7, 0, 0, False), (7, 20, 2, True), (7, 20, 2, True)]

@@ -64,8 +64,9 @@ def test_stages_against_brute_force(spark, folder):
     for k, r in got.items():
         assert r["n_chars"] == len(r["text"]) and not private(r["text"])
         assert re.sub(r"a\.b@example\.com", "[email]", text[k]).replace("10.0.0.1", "[ip]") == r["text"]
-    seg = pieces.Segmenter(public_tokenizers.path("piece_bpe_32k.model"), 1)
+    seg = pieces.Segmenter(public_tokenizers.path("piece_bpe_32k.model"), 3)
     out = after(docs, True).collect()
+    assert all(r["round_trip"] and len(r["scores"]) == 3 for r in out)
     assert {r["doc_id"]: r["ids"] for r in out} == {k: seg.segment(r["text"])[0].tolist() for k, r in got.items()}
 
 
@@ -75,3 +76,14 @@ def test_empty_table(spark, folder, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, path)
     assert docs.count() == 0
+
+
+def test_repeated_rows_and_ids(spark, folder):
+    """Rows with one doc_id are judged by their texts; of repeated rows one stays; clashing columns do no harm."""
+    path, rows, _ = folder
+    a, b, c = (rows[k][1] for k in (1, 2, 3))
+    docs = [(5, a), (5, b), (5, b), (6, a), (None, c), (None, c), (7, c), (8, None), (9, "")]
+    made = spark.createDataFrame([(k, t, "x", "y", 1) for k, t in docs], "doc_id long, text string, n_shingles string, component_id string, n long")
+    got = corpus_pipeline.one_of_each(spark, made, path)
+    assert got.columns == made.columns
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in got.collect()) == sorted([(5, a), (5, b), (0, c), (8, ""), (9, "")])
