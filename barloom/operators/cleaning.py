@@ -66,9 +66,10 @@ def fill_forward(flagged: DataFrame) -> DataFrame:
     """Prices of bad or spiked bars and volumes of empty ones from the last good bar, else from the next. The latter looks ahead."""
     rows = flagged.where(~C("is_duplicate"))
     bad = C("is_bad_price") | C("is_spike")
-    before, after = ordered().rowsBetween(Window.unboundedPreceding, 0), ordered().rowsBetween(0, Window.unboundedFollowing)
+    # frames that grow from one end: those that shrink are worked out anew for every row
+    before, after = (w.rowsBetween(Window.unboundedPreceding, 0) for w in (ordered(), Window.partitionBy("symbol").orderBy(C("ts").desc())))
     held = rows.withColumns({c: F.when(~bad, C(c)) for c in PRICES} | {"volume": F.when(~C("is_zero_volume"), C("volume"))})
-    filled = {c: F.coalesce(F.last(c, ignorenulls=True).over(before), F.first(c, ignorenulls=True).over(after)) for c in (*PRICES, "volume")}
+    filled = {c: F.coalesce(F.last(c, ignorenulls=True).over(before), F.last(c, ignorenulls=True).over(after)) for c in (*PRICES, "volume")}
     return held.withColumns(filled).drop("is_duplicate", "is_bad_price", "is_zero_volume", "is_spike")
 
 
@@ -84,14 +85,16 @@ def quality_report(flagged: DataFrame) -> DataFrame:
 def sessions(first: str, last_day: str, spark, holidays: DataFrame | None = None) -> DataFrame:
     """Weekdays from first to last_day without holidays(date)."""
     days = spark.sql("SELECT explode(sequence(to_date(:a), to_date(:b))) AS date", {"a": first, "b": last_day}).where(F.weekday("date") < 5)
-    return days if holidays is None else days.join(F.broadcast(holidays.select("date")), "date", "left_anti")
+    return days if holidays is None else days.join(holidays.select("date"), "date", "left_anti")
 
 
-def missing_sessions(bars: DataFrame, calendar: DataFrame) -> DataFrame:
-    """symbol, date: sessions between a symbol's first and last bar on which it has none."""
+def missing_sessions(bars: DataFrame, holidays: DataFrame | None = None) -> DataFrame:
+    """symbol, date: weekdays between a symbol's first and last bar on which it has none, but for holidays(date). Each symbol's days come from its
+    own span, so no calendar is sent."""
     own = bars.select("symbol", F.to_date("ts").alias("date"))
     span = own.groupBy("symbol").agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
-    due = span.join(F.broadcast(calendar), C("date").between(C("lo"), C("hi"))).select("symbol", "date")
+    due = span.select("symbol", F.explode(F.sequence("lo", "hi")).alias("date")).where(F.weekday("date") < 5)
+    due = due if holidays is None else due.join(holidays.select("date"), "date", "left_anti").select("symbol", "date")
     return due.join(own.distinct(), ["symbol", "date"], "left_anti")
 
 
@@ -125,12 +128,23 @@ def with_authority(found: DataFrame, known: DataFrame) -> DataFrame:
     return out.unionByName(alone)
 
 
-def adjust_splits(bars: DataFrame, events: DataFrame) -> DataFrame:
-    """Prices divided and volumes multiplied by the product of all later split factors; events(symbol, ts, factor), few for each symbol."""
-    keyed = bars.join(events.select("symbol", C("ts").alias("_at"), "factor"), "symbol", "left")
-    after = F.when(C("_at") > C("ts"), C("factor"))
-    total = keyed.groupBy(*bars.columns).agg(F.coalesce(F.product(after), F.lit(1.0)).alias("_f"))
-    return total.select(*(((C(c) / C("_f")) if c in PRICES else C(c) * C("_f") if c == "volume" else C(c)).alias(c) for c in bars.columns))
+def adjust_splits(bars: DataFrame, events: DataFrame, *, near: float = 0.25) -> DataFrame:
+    """Prices divided and volumes multiplied by the product of all split factors of later days; events(symbol, ts, factor). A split across which closes
+    stay within `near` of each other is in the prices already and counts nothing, nor does a factor of 1 or of 0 and less. Bars and events are
+    stacked, so one shuffle and sort by symbol does it, and equal bars stay apart."""
+    names = [c for c in bars.columns if c not in ("symbol", "ts")]
+    own = bars.select("symbol", "ts", F.struct(*names).alias("_bar"), F.lit(1.0).alias("_factor"))
+    split = events.where("factor > 0 and factor <> 1").select("symbol", C("ts").cast(dict(bars.dtypes)["ts"]).alias("ts"), F.lit(None).cast(dict(own.dtypes)["_bar"]).alias("_bar"), C("factor").cast("double").alias("_factor"))
+    # from the latest day back; of one day the bars come first, as a split's day is not adjusted
+    back = Window.partitionBy("symbol").orderBy(F.to_date("ts").desc(), C("_bar").isNull(), C("ts").desc())
+    after = F.last("_bar.close", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))
+    forth = Window.partitionBy("symbol").orderBy(F.to_date("ts"), C("_bar").isNotNull(), "ts")
+    before = F.last("_bar.close", ignorenulls=True).over(forth.rowsBetween(Window.unboundedPreceding, 0))
+    both = own.unionByName(split).withColumns({"_after": after, "_before": before})
+    known = C("_bar").isNull() & (C("_before") > 0) & (C("_after") > 0) & (F.abs(C("_before") / C("_after") - 1) < near)
+    both = both.withColumn("_f", F.product(F.when(F.coalesce(known, F.lit(False)), 1.0).otherwise(C("_factor"))).over(back.rowsBetween(Window.unboundedPreceding, 0))).where("_bar is not null")
+    new = {c: C(f"_bar.{c}") / C("_f") if c in (*PRICES, "adj_close") else C(f"_bar.{c}") * C("_f") if c == "volume" else C(f"_bar.{c}") for c in names}
+    return both.select(*(new.get(c, C(c)).alias(c) for c in bars.columns))
 
 
 def dividends(bars: DataFrame, least: float = 0.001) -> DataFrame:

@@ -56,8 +56,9 @@ def win_rate(r: Column) -> Column:
 
 
 def profit_factor(r: Column) -> Column:
-    """Gains over losses; null without a loss."""
-    return div(F.sum(F.when(r > 0, r).otherwise(0.0)), -F.sum(F.when(r < 0, r).otherwise(0.0)))
+    """Gains over losses; infinite without a loss, 0 without a gain."""
+    up, down = F.sum(F.when(r > 0, r).otherwise(0.0)), -F.sum(F.when(r < 0, r).otherwise(0.0))
+    return F.when(F.coalesce(down, F.lit(0.0)) > 1e-12, up / down).when(up > 0, float("inf")).otherwise(0.0)
 
 
 def bias_corrected(r: Column) -> tuple[Column, Column]:
@@ -128,6 +129,34 @@ def runs_test(ret: DataFrame) -> DataFrame:
     return runs.groupBy("symbol").agg(F.sum("n").alias("n"), F.count("*").alias("runs"), F.max("n").alias("longest"))
 
 
+def performance(ret: DataFrame, key: str = "symbol", yearly_rate: float = 0.0) -> DataFrame:
+    """key, n, total and annual return, volatility, Sharpe, Sortino and Calmar ratios, drawdown and its longest time, win rate and profit factor
+    of returns(key, ts, ret); all 0 for fewer than two."""
+    own = ret.where(C("ret").isNotNull() & ~F.isnan("ret"))
+    rate = (1 + yearly_rate) ** (1 / YEAR) - 1
+    r, few = C("ret"), F.count("ret") < 2
+    excess = r - rate
+    root = F.sqrt(F.lit(float(YEAR)))
+    down, dev = F.sqrt(F.avg(F.pow(F.least(excess, F.lit(0.0)), 2))), F.stddev_samp(r)
+    ratio = lambda a, b: F.when(few | (b <= 1e-12), 0.0).otherwise(a / b)
+    some = lambda x: F.when(few, 0.0).otherwise(x)
+    parts = own.groupBy(key).agg(
+        F.count(r).alias("n"), some(total_return(r)).alias("total_return"), some(annual_return(r)).alias("annual_return"), some(dev * root).alias("volatility"),
+        ratio(root * F.avg(excess), dev).alias("sharpe"), ratio(root * F.avg(excess), down).alias("sortino"), some(win_rate(r)).alias("win_rate"), some(profit_factor(r)).alias("profit_factor"),
+    )
+    both = parts.join(underwater(drawdowns(own, key), key), key)
+    both = both.withColumns({c: F.when(C("n") < 2, 0).otherwise(C(c)) for c in ("max_drawdown", "longest_drawdown")})
+    return both.withColumn("calmar", F.when((C("n") < 2) | (F.abs("max_drawdown") <= 1e-12), 0.0).otherwise(C("annual_return") / F.abs("max_drawdown")))
+
+
+def strategy_returns(df: DataFrame, prediction: str = "p", future: str = "next", *, long_only: bool = False) -> DataFrame:
+    """df with ret: the future return times the position of a prediction (1: long, 0: short, or flat if long_only; else flat); rows without a
+    prediction or return are left out."""
+    p = C(prediction)
+    side = F.when(p == 1, 1.0).when((p == 0) & ~F.lit(long_only), -1.0).otherwise(0.0)
+    return df.dropna(subset=[prediction, future]).withColumn("ret", side * C(future))
+
+
 def crisis_windows(ret: DataFrame, windows: DataFrame, least: int = 5) -> DataFrame:
     """name, symbol, n, total and volatility of returns within windows(name, start, stop)."""
     on = C("ts").between(C("start"), C("stop"))

@@ -12,30 +12,30 @@ from pyspark.sql import functions as F
 C = F.col
 
 
-def fold_bounds(spark: SparkSession, n: int, *, folds: int = 5, least_train: int = 100, embargo: int = 5, rolling: bool = False) -> DataFrame:
-    """fold, train_start, train_stop, test_start, test_stop (row numbers from 0, stops exclusive). The last test ends with the sample; each
-    test follows its training rows after the embargo."""
-    size = (n - least_train - folds * embargo) // folds
-    if size < 1:
-        raise ValueError("too few rows for these folds")
-    rows = []
-    for k in range(folds):
-        stop = n - (folds - 1 - k) * (size + embargo)
-        start = stop - size
-        train_stop = start - embargo
-        rows.append((k, max(0, train_stop - least_train) if rolling else 0, train_stop, start, stop))
-    return spark.createDataFrame(rows, "fold int, train_start int, train_stop int, test_start int, test_stop int")
-
-
-def symbol_folds(df: DataFrame, *, key: str = "symbol", folds: int = 5, least_train: int = 100, embargo: int = 5, rolling: bool = False) -> DataFrame:
-    """The columns of fold_bounds and key, from the number of rows of each key, so that each key's last test ends with its own sample. Keys
-    with too few rows for these folds have none."""
-    counts = df.groupBy(key).agg(F.count("*").cast("int").alias("n"))
-    size = F.floor((C("n") - least_train - folds * embargo) / folds).cast("int")
-    each = counts.withColumn("size", size).where("size >= 1").withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
-    each = each.withColumn("test_stop", C("n") - (folds - 1 - C("fold")) * (C("size") + embargo)).withColumn("test_start", C("test_stop") - C("size"))
-    stop = C("test_start") - embargo
-    return each.select(key, "fold", (F.greatest(F.lit(0), stop - least_train) if rolling else F.lit(0)).alias("train_start"), stop.alias("train_stop"), "test_start", "test_stop")
+def fold_bounds(counts: DataFrame, *, folds: int = 5, least_train: int = 100, embargo: int = 5, train: int | None = None, rolling: bool = False) -> DataFrame:
+    """fold (from 1), train_start, train_stop, test_start, test_stop (row numbers from 0, stops exclusive) for each row of counts(n, ..), after its
+    other columns.
+
+    Tests follow each other up to the end of the sample; training rows end `embargo` rows before their test, from the start on, or rolling with
+    `train` rows (least_train if not given). Folds with less than that are left out and the others numbered anew; samples too short
+    for any have none.
+    """
+    need = train if rolling and train else least_train
+    keep = [c for c in counts.columns if c != "n"]
+    room = C("n") - need - folds * embargo
+    size = F.greatest(F.lit(1), F.floor(room / folds)).cast("int")
+    each = counts.where((C("n") > least_train + embargo) & (room > 0)).withColumn("_size", size).withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
+    each = each.withColumn("test_start", F.greatest(C("n") - folds * C("_size"), F.lit(need + embargo)) + C("_k") * C("_size"))
+    each = each.withColumns({"test_stop": F.least(C("test_start") + C("_size"), C("n")), "train_stop": C("test_start") - embargo})
+    each = each.withColumn("train_start", F.greatest(F.lit(0), C("train_stop") - (train or least_train)) if rolling else F.lit(0))
+    each = each.where((C("train_stop") - C("train_start") >= need) & (C("test_stop") > C("test_start")))
+    fold = F.row_number().over(Window.partitionBy(*keep, "n").orderBy("_k")) if keep else F.row_number().over(Window.partitionBy("n").orderBy("_k"))
+    return each.select(*keep, fold.alias("fold"), *(C(c).cast("int").alias(c) for c in ("train_start", "train_stop", "test_start", "test_stop")))
+
+
+def symbol_folds(df: DataFrame, *, key: str = "symbol", **how) -> DataFrame:
+    """key and the columns of fold_bounds, from the number of rows of each key."""
+    return fold_bounds(df.groupBy(key).agg(F.count("*").cast("int").alias("n")), **how)
 
 
 def with_folds(df: DataFrame, bounds: DataFrame, order: str = "ts", key: str = "symbol") -> DataFrame:
@@ -68,9 +68,10 @@ def classification(df: DataFrame, keys: list[str], label: str = "y", score: str
     return base.join(auc(df, keys, label, score), keys)
 
 
-def persistence(df: DataFrame, label: str = "y") -> DataFrame:
-    """df with p: the label of the row before, by symbol."""
-    return df.withColumn("p", F.lag(label).over(Window.partitionBy("symbol").orderBy("ts")).cast("double"))
+def persistence(folded: DataFrame, label: str = "y") -> DataFrame:
+    """Test rows of folded(symbol, ts, fold, part, label, ..) with p: the label of the row before; of the first test row, the last training label."""
+    before = F.lag(label).over(Window.partitionBy("symbol", "fold").orderBy("ts"))
+    return folded.withColumn("p", before.cast("double")).where("part = 'test'")
 
 
 def diebold_mariano(df: DataFrame, *, lags: int = 0) -> DataFrame:

@@ -9,26 +9,38 @@ from barloom.operators.joins import as_of
 
 C = F.col
 
+# The lexicon, its smoothing, and the names of tickers must be these for the same scores.
+POSITIVE = ["surge", "surges", "surged", "rally", "rallies", "rallied", "gain", "gains", "gained", "beat", "beats", "beating", "exceed", "exceeds", "exceeded", "record", "growth", "expand", "expansion", "profit", "profitable", "outperform", "outperformed", "bullish", "upgrade", "upgraded", "momentum", "soar", "soars", "high", "rebound"]
+NEGATIVE = ["slump", "slumps", "slumped", "drop", "drops", "dropped", "fall", "falls", "fell", "miss", "misses", "missed", "decline", "declines", "declined", "loss", "losses", "cut", "cuts", "cutting", "downgrade", "downgraded", "bearish", "plunge", "plunges", "recession", "inflation", "layoff", "layoffs", "investigation", "scrutiny", "outage", "dampen", "contract", "contraction", "crash", "threaten", "threatens", "threatened", "constraint", "constraints", "warning", "weak", "weaken", "weakened", "down", "collapse"]
+SMOOTH, LEAST_NEUTRAL, NO_HIT = 0.1, 0.05, (0.075, 0.075, 0.85)
+COMPANIES = {"AAPL": ["APPLE", "APPLE INC", "IPHONE", "TIM COOK"], "MSFT": ["MICROSOFT", "MICROSOFT CORP", "WINDOWS", "AZURE", "SATYA NADELLA"], "SPY": ["S&P 500", "SPDR", "ETF", "FED", "FEDERAL RESERVE", "WALL STREET"]}
+ADDRESS = r"https?://\S+|www\.\S+"
+
+_WORD = r"\p{L}\p{N}_"  # letters and digits of any script
+_SPACE = r"\s\x1c-\x1f\x85\xa0"
+
 
 def normalise(headline: Column) -> Column:
     """Without addresses, with single spaces."""
-    return F.trim(F.regexp_replace(F.regexp_replace(headline, r"https?://\S+|www\.\S+", ""), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(headline, ADDRESS, ""), rf"(?U)[{_SPACE}]+", " "))
 
 
 def headline_hash(headline: Column) -> Column:
-    return F.sha2(F.trim(F.regexp_replace(F.lower(headline), r"[^a-z0-9\s]", "")).cast("binary"), 256)
+    """Of the letters and digits of any script, the underscores and the spaces between them, in lower case."""
+    bare = F.regexp_replace(F.lower(headline), rf"(?U)[^{_WORD}{_SPACE}]", "")
+    return F.sha2(F.regexp_replace(bare, rf"(?U)^[{_SPACE}]+|[{_SPACE}]+$", "").cast("binary"), 256)
 
 
-def map_ticker(headline: Column, names: dict[str, list[str]]) -> Column:
-    """The first ticker that stands as a word, else the first one whose name the headline contains; null if none."""
-    out = None
+def map_ticker(headline: Column, names: dict[str, list[str]] = COMPANIES, default: str | None = None) -> Column:
+    """The first ticker that stands as a word, else the first one whose name the headline contains, in any case; default if none."""
+    upper = F.upper(headline)
+    out = F
     for ticker in names:
-        test = headline.rlike(rf"\b{ticker}\b")
-        out = F.when(test, ticker) if out is None else out.when(test, ticker)
+        out = out.when(upper.rlike(rf"(?<![{_WORD}])\Q{ticker.upper()}\E(?![{_WORD}])"), ticker)
     for ticker, words in names.items():
         for w in words:
-            out = out.when(F.lower(headline).contains(w.lower()), ticker)
-    return out
+            out = out.when(upper.contains(w.upper()), ticker)
+    return out.otherwise(default)
 
 
 def deduplicate(news: DataFrame) -> DataFrame:
@@ -42,21 +54,20 @@ def _hits(words: Column, lexicon: list[str]) -> Column:
     return F.size(F.filter(words, lambda w: w.isin(lexicon)))
 
 
-def lexicon_score(text: Column, positive: list[str], negative: list[str], neutral: float = 0.1) -> Column:
-    """struct(positive, negative, neutral, score) from smoothed counts of lexicon words; a text without any is 85 % neutral."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"[a-z]+"), 0)
-    p, n = _hits(words, positive), _hits(words, negative)
-    total = p + n + 0.3
-    up, down = (p + neutral) / total, (n + neutral) / total
-    rest = F.greatest(F.lit(0.05), 1 - up - down)
-    whole = up + down + rest
-    none = p + n == 0
-    return F.struct(
-        F.when(none, 0.075).otherwise(up / whole).alias("positive"),
-        F.when(none, 0.075).otherwise(down / whole).alias("negative"),
-        F.when(none, 0.85).otherwise(rest / whole).alias("neutral"),
-        F.when(none, 0.0).otherwise((up - down) / whole).alias("score"),
-    )
+def lexicon_scores(df: DataFrame, text: str = "text", positive: list[str] = POSITIVE, negative: list[str] = NEGATIVE) -> DataFrame:
+    """df with label, score, confidence, positive, negative and neutral from smoothed counts of lexicon words; a text without any, or none at
+    all, is neutral. Words, counts and shares are worked out one after another, each once."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"[{_WORD}]+"), 0)
+    out = df.withColumn("_w", words).withColumns({"_p": _hits(C("_w"), positive), "_n": _hits(C("_w"), negative)}).drop("_w")
+    total = C("_p") + C("_n") + 3 * SMOOTH
+    out = out.withColumns({"_u": (C("_p") + SMOOTH) / total, "_d": (C("_n") + SMOOTH) / total})
+    out = out.withColumn("_r", F.greatest(F.lit(LEAST_NEUTRAL), 1 - (C("_u") + C("_d"))))
+    whole, none = C("_u") + C("_d") + C("_r"), C("_p") + C("_n") == 0
+    shares = {name: F.when(none, F.lit(x)).otherwise(C(c) / whole) for name, x, c in zip(("positive", "negative", "neutral"), NO_HIT, ("_u", "_d", "_r"), strict=True)}
+    out = out.withColumns(shares)
+    up, down, flat = C("positive"), C("negative"), C("neutral")
+    label = F.when((up > down) & (up > flat), "positive").when((down > up) & (down > flat), "negative").otherwise("neutral")
+    return out.withColumns({"score": up - down, "label": label, "confidence": F.when(label == "neutral", flat).otherwise(F.greatest(up, down))}).drop("_p", "_n", "_u", "_d", "_r")
 
 
 def daily_sentiment(scored: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,16 +51,17 @@ def hedge(pair: DataFrame, n: int = 60, least: int = 30, z: int = 30) -> DataFra
 
 
 def pair_signals(z: DataFrame, keys: list[str], *, enter: float = 2.0, leave: float = 0.0, stop: float = 3.5) -> DataFrame:
-    """keys, ts, signal: 1 from z <= -enter, -1 from z >= enter, 0 after z comes back to `leave` or passes `stop`. Each bar depends on the
-    one before, so each key is read in order."""
+    """keys, ts, signal: 1 from z <= -enter, -1 from z >= enter, 0 after z comes back to `leave` or passes `stop`, and where z is null; an entry may
+    lie beyond the stop. Each bar depends on the one before, so each key is read in order."""
 
     def scan(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, state, out = pdf.sort_values("ts", kind="stable"), 0, []
         for v in pdf["z"]:
-            v = 0.0 if pd.isna(v) else v
-            if state == 0:
-                state = 1 if -stop < v <= -enter else -1 if enter <= v < stop else 0
-            elif abs(v) >= stop or (state == 1 and v >= -leave) or (state == -1 and v <= leave):
+            if pd.isna(v):
+                state = 0
+            elif state == 0:
+                state = 1 if v <= -enter else -1 if v >= enter else 0
+            elif (state == 1 and (v <= -stop or v >= -leave)) or (state == -1 and (v >= stop or v <= leave)):
                 state = 0
             out.append(state)
         return pdf[[*keys, "ts"]].assign(signal=out)
@@ -68,14 +70,14 @@ def pair_signals(z: DataFrame, keys: list[str], *, enter: float = 2.0, leave: fl
     return z.select(*keys, "ts", "z").groupBy(*keys).applyInPandas(scan, schema)
 
 
-def trade_cost(qty: Column, price: Column, volume: Column, *, commission: float = 1e-4, slippage: float = 5e-4) -> Column:
+def trade_cost(qty: Column, price: Column, volume: Column, *, commission: float = 5e-4, slippage: float = 5e-4) -> Column:
     """Commission and slippage; slippage grows with the square root of the share of the volume above a hundredth."""
-    share = F.coalesce(div(F.abs(qty), volume), F.lit(0.0))
+    share = F.coalesce(div(F.abs(qty), F.when(volume > 0, volume)), F.lit(0.0))
     return F.abs(qty) * price * (commission + slippage * F.greatest(F.lit(1.0), F.sqrt(share / 0.01)))
 
 
-def backtest(prices: DataFrame, weights: DataFrame, *, cost: float = 5e-4) -> DataFrame:
-    """ts, gross, turnover, net, equity of daily target weights(symbol, ts, weight) held from the next bar on prices(symbol, ts, close)."""
+def vector_backtest(prices: DataFrame, weights: DataFrame, *, cost: float = 5e-4) -> DataFrame:
+    """ts, gross, turnover and net return of target weights(symbol, ts, weight) held from the next bar on prices(symbol, ts, close)."""
     w = ordered()
     held = prices.join(weights, ["symbol", "ts"], "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
     held = held.withColumns({"ret": F.coalesce(div(C("close"), F.lag("close").over(w)) - 1, F.lit(0.0)), "own": F.coalesce(F.lag("weight").over(w), F.lit(0.0))})
@@ -84,22 +86,103 @@ def backtest(prices: DataFrame, weights: DataFrame, *, cost: float = 5e-4) -> Da
     return day.withColumn("net", C("gross") - cost * C("turnover"))
 
 
-def risk_gate(intents: DataFrame, *, most_drawdown: float = 0.15, most_daily_loss: float = 0.03, most_position: float = 0.25, most_gross: float = 1.5) -> DataFrame:
-    """intents(ticker, action, quantity, price, is_closing, held, equity, peak, day_start, gross) with status and allowed quantity.
+_LEDGER = "equity double, cash double, ret double, turnover double, commission double, slippage double"
+_TRADE = "symbol string, side string, entry_ts timestamp_ntz, exit_ts timestamp_ntz, quantity double, entry_price double, exit_price double, pnl double, pnl_pct double, bars long"
+
+
+def backtest(bars: DataFrame, *, key: str = "strategy", capital: float = 100_000.0, commission: float = 5e-4, slippage: float = 5e-4, impact: float = 0.5) -> DataFrame:
+    """The books of each strategy over bars(key, symbol, ts, close, volume, weight): a row for each time (symbol null) with equity, cash, ret,
+    turnover, commission and slippage, and one for each closed part of a trade.
+
+    The weight of a bar is traded at the next one, in shares for the equity before that bar's trades; a part of the volume above a hundredth
+    slips more. What a bar trades depends on all before it, so each strategy is read in order, in a task of its own; all its
+    prices must fit there. Bars without a price are not traded and count nothing.
+    """
 
-    Rules in order: drawdown, daily loss, reducing orders pass, position cap, gross cap; a cap resizes the order if something is left.
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        name = pdf[key].iloc[0]
+        wide = {c: pdf.pivot(index="ts", columns="symbol", values=c).sort_index() for c in ("close", "volume", "weight")}
+        price, volume = wide["close"].to_numpy(), wide["volume"].to_numpy()
+        weight = np.vstack([np.zeros(price.shape[1]), wide["weight"].fillna(0.0).to_numpy()[:-1]])
+        symbols, times = list(wide["close"].columns), list(wide["close"].index)
+        cash, shares, books, trades, open_ = capital, np.zeros(len(symbols)), [], [], {}
+        before = capital
+        for i, p in enumerate(price):
+            known = p > 0
+            worth = lambda: float(np.nansum(np.where(np.isnan(p), 0.0, shares * p)))  # noqa: B023, E731
+            equity = cash + worth()
+            step = np.where(known, weight[i] * equity / np.where(known, p, 1.0) - shares, 0.0)
+            step[np.abs(step) < 1e-4] = 0.0
+            size = np.abs(step)
+            value = size * np.where(known, p, 0.0)
+            scale = np.where((volume[i] > 0) & (size > 0), np.maximum(1.0, (size / np.where(volume[i] > 0, volume[i], 1.0) / 0.01) ** impact), 1.0)
+            fee, slip = value * commission, value * slippage * scale
+            done = np.where(known, p, 0.0) + np.sign(step) * np.divide(slip, size, out=np.zeros_like(slip), where=size > 0)
+            cash -= float((step * done + fee).sum())
+            for j in np.flatnonzero(step):
+                now, t = shares[j] + step[j], open_.get(j)
+                if t and t[0] * step[j] < 0:
+                    part = min(t[3], size[j])
+                    pnl = part * (done[j] - t[2]) * t[0] - fee[j] - slip[j]
+                    trades.append((symbols[j], "LONG" if t[0] > 0 else "SHORT", times[t[1]], times[i], part, t[2], done[j], pnl, pnl / (part * t[2]) if t[2] > 0 else 0.0, max(1, i - t[1])))
+                    open_[j] = (t[0], t[1], t[2], abs(now))
+                    if abs(now) < 1e-4:
+                        del open_[j]
+                elif not t and abs(now) > 1e-4:
+                    open_[j] = (np.sign(now), i, done[j], abs(now))
+            shares = shares + step
+            after = cash + worth()
+            books.append((times[i], after, cash, after / before - 1 if before > 0 else 0.0, value.sum(), fee.sum(), slip.sum()))
+            before = after
+        names = ["ts", *(c.split()[0] for c in _LEDGER.split(", "))]
+        out = pd.concat([pd.DataFrame(books, columns=names), pd.DataFrame(trades, columns=[c.split()[0] for c in _TRADE.split(", ")])], ignore_index=True)
+        return out.assign(**{key: name})[[key, *out.columns]]
+
+    return bars.groupBy(key).applyInPandas(run, f"{key} string, ts timestamp_ntz, {_LEDGER}, {_TRADE}")
+
+
+def derisked(forecast: Column, baseline: Column, *, spike: float = 1.5, least: float = 0.2) -> Column:
+    """The share of an order that stays when the volatility forecast exceeds `spike` times its baseline."""
+    calm = forecast.isNull() | baseline.isNull() | (forecast <= 0) | (baseline <= 0) | (forecast <= spike * baseline)
+    return F.when(calm, 1.0).otherwise(F.round(F.greatest(F.lit(least), F.least(F.lit(1.0), div(baseline, forecast))), 4))
+
+
+def risk_gate(intents: DataFrame, *, most_drawdown: float = 0.15, most_daily_loss: float = 0.03, most_position: float = 0.25, most_sector: float = 0.4, most_gross: float = 1.0, most_net: float = 1.0) -> DataFrame:
+    """intents with status (APPROVED, RESIZED, BLOCKED), rule and approved quantity.
+
+    Columns: ticker, action, quantity, price, is_closing; of the book at that moment, in money: equity, peak, day_start, pnl_today, held (of the
+    ticker, signed), gross, net; sector (null: none) and sector_held; forecast_vol and baseline_vol (null: not known). Rules in order:
+    drawdown, daily loss, reducing orders pass, volatility scales, position, sector and gross caps resize, the net cap blocks. The rule is the last that
+    changed the order.
     """
-    drawdown = F.greatest(F.lit(0.0), F.coalesce(div(C("peak") - C("equity"), C("peak")), F.lit(0.0)))
-    loss = F.coalesce(div(C("day_start") - C("equity"), C("day_start")), F.lit(0.0))
-    signed = F.when(F.upper("action") == "BUY", C("quantity")).otherwise(-C("quantity"))
-    reducing = C("is_closing") | ((C("held") > 0) & (signed < 0) & (F.abs(signed) <= C("held"))) | ((C("held") < 0) & (signed > 0) & (signed <= -C("held")))
-    room = F.greatest(F.lit(0.0), most_position * C("equity") / C("price") - F.abs(C("held")))
-    more = F.greatest(F.lit(0.0), (most_gross * C("equity") - C("gross")) / C("price"))
-    allowed = F.floor(F.least(C("quantity"), room, more))
-    status = (
-        F.when((drawdown >= most_drawdown) & ~reducing, "BLOCKED_DRAWDOWN").when((loss >= most_daily_loss) & ~reducing, "BLOCKED_DAILY_LOSS").when(reducing, "APPROVED").when(allowed <= 0, "BLOCKED_LIMIT").when(allowed < C("quantity"), "RESIZED").otherwise("APPROVED")
+    c = lambda x: F.coalesce(C(x), F.lit(0.0))
+    drawdown = F.when(C("peak") <= 0, 0.0).otherwise(F.greatest(F.lit(0.0), (C("peak") - C("equity")) / C("peak")))
+    loss = F.when((C("day_start") <= 0) | (c("pnl_today") >= 0), 0.0).otherwise(-c("pnl_today") / C("day_start"))
+    buys = F.upper("action") == "BUY"
+    equity, price = F.greatest(F.lit(1.0), C("equity")), F.greatest(F.lit(1e-6), C("price"))
+    out = intents.withColumns(
+        {
+            "_reducing": C("is_closing") | ((c("held") > 0) & ~buys) | ((c("held") < 0) & buys),
+            "_scaled": C("quantity") * derisked(C("forecast_vol"), C("baseline_vol")),
+            "_room_position": F.greatest(F.lit(0.0), most_position * equity - F.abs(c("held"))) / price,
+            "_room_sector": F.when(C("sector").isNotNull(), F.greatest(F.lit(0.0), most_sector * equity - c("sector_held")) / price),
+            "_room_gross": F.greatest(F.lit(0.0), most_gross * equity - c("gross")) / price,
+        }
     )
-    return intents.withColumn("status", status).withColumn("allowed", F.when(C("status").startswith("BLOCKED"), 0.0).when(C("status") == "RESIZED", allowed.cast("double")).otherwise(C("quantity")))
+    allowed = {"position": C("_scaled"), "sector": C("_by_position"), "gross": C("_by_sector")}
+    for name, before in allowed.items():
+        out = out.withColumn(f"_by_{name}", F.least(before, C(f"_room_{name}")))
+    net = F.abs(c("net") + F.when(buys, C("_by_gross")).otherwise(-C("_by_gross")) * price)
+    # the first cap without room blocks; a cap is looked at only if the order exceeds it
+    full_at = lambda name, before: (C(f"_room_{name}") <= 0) & (before > C(f"_room_{name}"))
+    none = F.when(~C("_reducing") & (drawdown >= most_drawdown), "DRAWDOWN_KILL_SWITCH").when(~C("_reducing") & (loss >= most_daily_loss), "DAILY_LOSS_LIMIT").when(C("_reducing"), None)
+    none = none.when(full_at("position", C("_scaled")), "POSITION_LIMIT").when(full_at("sector", C("_by_position")), "SECTOR_CONCENTRATION_LIMIT").when(full_at("gross", C("_by_sector")), "GROSS_EXPOSURE_LIMIT").when(net > most_net * equity, "NET_EXPOSURE_LIMIT")
+    cut = F.when(C("_by_gross") < C("_by_sector"), "GROSS_EXPOSURE_LIMIT").when(C("_by_sector") < C("_by_position"), "SECTOR_CONCENTRATION_LIMIT").when(C("_by_position") < C("_scaled"), "POSITION_LIMIT").when(C("_scaled") < C("quantity"), "VOLATILITY_DERISKING").otherwise("NONE")
+    out = out.withColumn("_blocked", none)
+    status = F.when(C("_blocked").isNotNull(), "BLOCKED").when(C("_reducing") | (C("_by_gross") >= C("quantity")), "APPROVED").otherwise("RESIZED")
+    rule = F.coalesce("_blocked", F.when(C("_reducing"), "NONE").otherwise(cut))
+    approved = F.when(status == "BLOCKED", 0.0).when(C("_reducing"), C("quantity")).otherwise(C("_by_gross"))
+    return out.select(*intents.columns, status.alias("status"), rule.alias("rule"), approved.cast("double").alias("approved"))
 
 
 def order_id(cycle: Column, ticker: Column, action: Column, quantity: Column) -> Column:

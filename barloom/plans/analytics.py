@@ -57,19 +57,26 @@ def split_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "missing_days",
     """WITH d AS (SELECT DISTINCT l_returnflag AS symbol, CAST(l_shipdate AS DATE) AS date FROM lineitem), s AS (SELECT symbol, min(date) AS lo, max(date) AS hi FROM d GROUP BY symbol),
-c AS (SELECT CAST(unnest(generate_series(DATE '1992-01-01', DATE '1999-12-31', INTERVAL 1 DAY)) AS DATE) AS date)
+c AS (SELECT CAST(unnest(generate_series((SELECT min(lo) FROM s), (SELECT max(hi) FROM s), INTERVAL 1 DAY)) AS DATE) AS date)
 SELECT s.symbol, c.date FROM s JOIN c ON c.date BETWEEN s.lo AND s.hi WHERE isodow(c.date) < 6 AND NOT EXISTS (SELECT 1 FROM d WHERE d.symbol = s.symbol AND d.date = c.date)""",
 )
 def missing_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cleaning.missing_sessions(flag_bars(spark, sf_dir), cleaning.sessions("1992-01-01", "1999-12-31", spark))
+    return cleaning.missing_sessions(flag_bars(spark, sf_dir))
 
 
-@query("validation")
+@query(
+    "validation",
+    f"""WITH {BARS}, b AS (SELECT *, coalesce(ts <= {lag('ts')}, false) AS back FROM bars),
+n AS (SELECT count_if(least(open, high, low, close) <= 0 OR volume < 0 OR high < low OR high < greatest(open, close) OR low > least(open, close)) AS wrong, count_if(back) AS back, CASE WHEN date_diff('day', CAST(max(ts) AS DATE), DATE '2024-02-01') > 5 THEN 1 ELSE 0 END AS stale,
+  sum(CASE WHEN false THEN 1 ELSE 0 END) AS none FROM b),
+r AS (SELECT 'schema' AS rule, 'critical' AS severity, CAST(none AS BIGINT) AS affected FROM n UNION ALL SELECT 'range', 'critical', wrong FROM n UNION ALL SELECT 'order', 'critical', back FROM n UNION ALL SELECT 'freshness', 'warning', stale FROM n)
+SELECT rule, affected = 0 AS passed, severity, CAST(affected AS BIGINT) AS affected FROM r""",
+)
 def validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.validate(event_bars(spark, sf_dir), "2024-02-01")
 
 
-_CARD = "count(ret) AS n, round(avg(ret), 6) AS mean, round(stddev_samp(ret), 6) AS dev, round(CASE WHEN count(ret) < 2 OR stddev_samp(ret) <= 1e-12 THEN 0 ELSE sqrt(252) * avg(ret) / stddev_samp(ret) END, 6) AS sharpe, round(CASE WHEN count(ret) < 2 OR sqrt(avg(least(ret, 0) ^ 2)) <= 1e-12 THEN 0 ELSE sqrt(252) * avg(ret) / sqrt(avg(least(ret, 0) ^ 2)) END, 6) AS sortino, round(coalesce(count_if(ret > 0) / nullif(count_if(ret <> 0), 0), 0), 6) AS win_rate, round(sum(CASE WHEN ret > 0 THEN ret ELSE 0 END) / nullif(-sum(CASE WHEN ret < 0 THEN ret ELSE 0 END), 0), 6) AS profit_factor, round(skewness(ret), 4) AS skew, round(kurtosis(ret), 4) AS kurtosis, round(min(ret), 6) AS worst, round(max(ret), 6) AS best"
+_CARD = "count(ret) AS n, round(avg(ret), 6) AS mean, round(stddev_samp(ret), 6) AS dev, round(CASE WHEN count(ret) < 2 OR stddev_samp(ret) <= 1e-12 THEN 0 ELSE sqrt(252) * avg(ret) / stddev_samp(ret) END, 6) AS sharpe, round(CASE WHEN count(ret) < 2 OR sqrt(avg(least(ret, 0) ^ 2)) <= 1e-12 THEN 0 ELSE sqrt(252) * avg(ret) / sqrt(avg(least(ret, 0) ^ 2)) END, 6) AS sortino, round(coalesce(count_if(ret > 0) / nullif(count_if(ret <> 0), 0), 0), 6) AS win_rate, round(CASE WHEN sum(CASE WHEN ret < 0 THEN -ret ELSE 0 END) > 1e-12 THEN sum(CASE WHEN ret > 0 THEN ret ELSE 0 END) / sum(CASE WHEN ret < 0 THEN -ret ELSE 0 END) WHEN max(ret) > 0 THEN CAST('inf' AS DOUBLE) ELSE 0 END, 6) AS profit_factor, round(skewness(ret), 4) AS skew, round(kurtosis(ret), 4) AS kurtosis, round(min(ret), 6) AS worst, round(max(ret), 6) AS best"
 
 
 @query("scorecard", f"WITH {RET} SELECT symbol, {_CARD} FROM ret GROUP BY symbol UNION ALL SELECT 'AGGREGATE', {_CARD} FROM ret")
@@ -179,11 +186,48 @@ def kelly_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.withColumn("kelly", portfolio.kelly(F.col("win_rate"), F.col("payoff"))))
 
 
-@query("pair_signals")
+def _pair(n: int) -> str:
+    return f"(PARTITION BY a, b ORDER BY ts ROWS {n - 1} PRECEDING)"
+
+
+_PAIR_Z = f"""{BARS}, p AS (SELECT l.symbol AS a, r.symbol AS b, l.ts, l.close AS x, r.close AS y FROM bars l JOIN bars r ON l.ts = r.ts AND l.symbol < r.symbol),
+h AS (SELECT *, CASE WHEN count(*) OVER {_pair(60)} >= 30 THEN covar_samp(x, y) OVER {_pair(60)} / nullif(var_samp(x) OVER {_pair(60)}, 0) END AS beta, avg(x) OVER {_pair(60)} AS mx, avg(y) OVER {_pair(60)} AS my FROM p),
+s AS (SELECT *, y - beta * x - (my - beta * mx) AS spread FROM h),
+z AS (SELECT a, b, ts, CASE WHEN count(spread) OVER {_pair(30)} >= 10 THEN (spread - avg(spread) OVER {_pair(30)}) / nullif(stddev_samp(spread) OVER {_pair(30)}, 0) END AS z, row_number() OVER (PARTITION BY a, b ORDER BY ts) AS i FROM s)"""
+
+
+@query(
+    "pair_signals",
+    f"""WITH RECURSIVE {_PAIR_Z},
+g AS (SELECT a, b, ts, i, CASE WHEN z <= -2 THEN 1 WHEN z >= 2 THEN -1 ELSE 0 END AS signal FROM z WHERE i = 1
+  UNION ALL SELECT z.a, z.b, z.ts, z.i, CASE WHEN z.z IS NULL THEN 0 WHEN g.signal = 0 THEN CASE WHEN z.z <= -2 THEN 1 WHEN z.z >= 2 THEN -1 ELSE 0 END
+    WHEN g.signal = 1 THEN CASE WHEN z.z <= -3.5 OR z.z >= 0 THEN 0 ELSE 1 END ELSE CASE WHEN z.z >= 3.5 OR z.z <= 0 THEN 0 ELSE -1 END END
+  FROM g JOIN z ON z.a = g.a AND z.b = g.b AND z.i = g.i + 1)
+SELECT a, b, ts, CAST(signal AS INTEGER) AS signal FROM g""",
+)
 def pair_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return portfolio.pair_signals(portfolio.hedge(joins.pairs(event_bars(spark, sf_dir), "close").select("a", "b", "ts", "x", "y")), ["a", "b"])
 
 
+@query("pair_spreads", f"WITH {_PAIR_Z} SELECT s.a, s.b, s.ts, round(beta, 6) AS beta, round(spread, 4) AS spread, round(z, 4) AS z FROM s JOIN z ON s.a = z.a AND s.b = z.b AND s.ts = z.ts")
+def pair_spreads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rolling hedge ratio, spread and its z-score of each pair."""
+    out = portfolio.hedge(joins.pairs(event_bars(spark, sf_dir), "close").select("a", "b", "ts", "x", "y"))
+    return rounded(out.select("a", "b", "ts", "beta", "spread", "z"), rough=("spread", "z"))
+
+
+@query(
+    "performance",
+    f"""WITH {RET}, w AS (SELECT symbol, ts, exp(sum(ln(1 + ret)) OVER {W}) AS wealth FROM ret), d AS (SELECT symbol, ts, wealth / max(wealth) OVER {W} - 1 AS dd FROM w),
+i AS (SELECT *, sum(CASE WHEN dd >= -1e-12 THEN 1 ELSE 0 END) OVER {W} AS run FROM d), g AS (SELECT symbol, run, min(dd) AS low, count_if(dd < -1e-12) AS n FROM i GROUP BY 1, 2), u AS (SELECT symbol, min(low) AS low, max(n) AS longest FROM g GROUP BY symbol),
+m AS (SELECT symbol, count(*) AS n, exp(sum(ln(1 + ret))) - 1 AS total, exp(sum(ln(1 + ret)) * 252 / count(*)) - 1 AS yearly, stddev_samp(ret) * sqrt(252) AS vol, sqrt(252) * avg(ret) / stddev_samp(ret) AS sharpe, sqrt(252) * avg(ret) / sqrt(avg(least(ret, 0) ^ 2)) AS sortino,
+  count_if(ret > 0) / count_if(ret <> 0) AS wins, sum(CASE WHEN ret > 0 THEN ret ELSE 0 END) / sum(CASE WHEN ret < 0 THEN -ret ELSE 0 END) AS pf FROM ret GROUP BY symbol)
+SELECT symbol, n, round(total, 4) AS total_return, round(yearly, 4) AS annual_return, round(vol, 4) AS volatility, round(sharpe, 4) AS sharpe, round(sortino, 4) AS sortino, round(wins, 4) AS win_rate, round(pf, 4) AS profit_factor, round(low, 4) AS max_drawdown, longest AS longest_drawdown, round(yearly / abs(low), 4) AS calmar FROM m JOIN u USING (symbol)""",
+)
+def performance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(metrics.performance(metrics.returns(event_bars(spark, sf_dir))), 4)
+
+
 @query(
     "recurrences",
     f"""WITH RECURSIVE {BARS}, b AS (SELECT *, row_number() OVER {W} AS i, {lag('close')} AS before FROM bars),

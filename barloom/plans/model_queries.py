@@ -45,27 +45,41 @@ def forecast_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(models.diebold_mariano(_labelled(spark, sf_dir), lags=1), rough=("statistic",))
 
 
-@query(
-    "fold_sizes",
-    f"""WITH {RET}, n AS (SELECT *, row_number() OVER {W} - 1 AS nth FROM ret), k AS (SELECT unnest(range(0, 5)) AS fold), b AS (SELECT fold, 600 - (4 - fold) * (95 + 5) AS stop FROM k)
-SELECT symbol, CAST(fold AS INTEGER) AS fold, CASE WHEN nth < stop - 100 THEN 'train' ELSE 'test' END AS part, count(*) AS n, round(avg(ret), 6) AS mean FROM n JOIN b ON nth < stop - 100 OR (nth >= stop - 95 AND nth < stop) GROUP BY 1, 2, 3""",
-)
+def _folds_sql(rows: str, rolling: bool) -> str:
+    """Common table expressions over rows(symbol, ts, ..): parts(.., fold, part), 100 rows or more of training, an embargo of 5."""
+    start = "lo - 105" if rolling else "0"
+    return f"""nth AS (SELECT *, row_number() OVER {W} - 1 AS nth, count(*) OVER (PARTITION BY symbol) AS total FROM {rows}),
+lo AS (SELECT nth.*, fold, greatest(1, (total - 125) // 5) AS size, greatest(total - 5 * greatest(1, (total - 125) // 5), 105) + (fold - 1) * greatest(1, (total - 125) // 5) AS lo FROM nth, (SELECT unnest(range(1, 6)) AS fold) WHERE total > 125),
+parts AS (SELECT * EXCLUDE (fold), CAST(fold AS INTEGER) AS fold, CASE WHEN nth < lo THEN 'train' ELSE 'test' END AS part FROM lo WHERE (nth >= {start} AND nth < lo - 5) OR (nth >= lo AND nth < lo + size))"""
+
+
+def _sizes(spark: SparkSession, sf_dir: str, rolling: bool) -> DataFrame:
+    ret = metrics.returns(event_bars(spark, sf_dir))
+    return rounded(models.with_folds(ret, models.symbol_folds(ret, rolling=rolling)).groupBy("symbol", "fold", "part").agg(F.count("*").alias("n"), F.avg("ret").alias("mean")))
+
+
+@query("fold_sizes", f"WITH {RET}, {_folds_sql('ret', False)} SELECT symbol, fold, part, count(*) AS n, round(avg(ret), 6) AS mean FROM parts GROUP BY 1, 2, 3")
 def fold_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows and mean return of the parts of five expanding folds over 600 rows."""
-    bounds = models.fold_bounds(spark, 600)
-    return rounded(models.with_folds(metrics.returns(event_bars(spark, sf_dir)), bounds).groupBy("symbol", "fold", "part").agg(F.count("*").alias("n"), F.avg("ret").alias("mean")))
+    """Rows and mean return of the parts of five expanding folds over all rows of each symbol."""
+    return _sizes(spark, sf_dir, rolling=False)
+
+
+@query("fold_sizes_rolling", f"WITH {RET}, {_folds_sql('ret', True)} SELECT symbol, fold, part, count(*) AS n, round(avg(ret), 6) AS mean FROM parts GROUP BY 1, 2, 3")
+def fold_sizes_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As fold_sizes, with the 100 rows before each embargo as training rows."""
+    return _sizes(spark, sf_dir, rolling=True)
 
 
 @query(
-    "fold_sizes_whole",
-    f"""WITH {RET}, n AS (SELECT *, row_number() OVER {W} - 1 AS nth, count(*) OVER (PARTITION BY symbol) AS total FROM ret), z AS (SELECT *, (total - 100 - 5 * 5) // 5 AS size FROM n), k AS (SELECT unnest(range(0, 5)) AS fold),
-b AS (SELECT symbol, ret, nth, fold, size, total - (4 - fold) * (size + 5) AS stop FROM z, k WHERE total >= 130)
-SELECT symbol, CAST(fold AS INTEGER) AS fold, CASE WHEN nth < stop - size - 5 THEN 'train' ELSE 'test' END AS part, count(*) AS n, round(avg(ret), 6) AS mean FROM b WHERE nth < stop - size - 5 OR (nth >= stop - size AND nth < stop) GROUP BY 1, 2, 3""",
+    "persistence_scores",
+    f"""WITH {_XY}, {_folds_sql('xy', False)}, l AS (SELECT *, lag(y) OVER (PARTITION BY symbol, fold ORDER BY ts) AS p FROM parts)
+SELECT symbol, fold, count(*) AS n, round(avg(CASE WHEN p = y THEN 1 ELSE 0 END), 6) AS accuracy FROM l WHERE part = 'test' GROUP BY 1, 2""",
 )
-def fold_sizes_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As fold_sizes, over all rows of each symbol."""
-    ret = metrics.returns(event_bars(spark, sf_dir))
-    return rounded(models.with_folds(ret, models.symbol_folds(ret)).groupBy("symbol", "fold", "part").agg(F.count("*").alias("n"), F.avg("ret").alias("mean")))
+def persistence_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the label of the row before is right, by fold."""
+    rows = _labelled(spark, sf_dir)
+    own = models.persistence(models.with_folds(rows.drop("p"), models.symbol_folds(rows)))
+    return rounded(own.groupBy("symbol", "fold").agg(F.count("*").alias("n"), F.avg((F.col("p") == F.col("y")).cast("double")).alias("accuracy")))
 
 
 @query(
