@@ -5,8 +5,12 @@ heuristic of an A* search that runs backward from the end, so complete paths com
 the queue n times is closed, as n paths through it are enough; so a search takes n steps for each place at most, however many paths tie. Scores
 are whole numbers (billionths), so equal paths are exactly equal; of these, any n are given.
 
+Only the n - 1 words of a text that lose least by another reading can have one in the text's n best. So the forward pass, with its best path, is
+made for the words of many texts at once, all of one length as columns; a pass from the end then tells what each piece off the best path
+loses at least, and the search runs over the words that take part.
+
 No piece reaches over a place between two characters that stand side by side in no piece, so texts are cut there (first at the borders of words
-and of runs of letters, if the vocabulary has no piece across them, then by pairs of characters). The parts are searched alone and kept in a
+and of runs of letters, if the vocabulary has no piece across them, then by pairs of characters). The parts are read alone and kept in a
 bounded cache; the best segmentations of a text are the best sums over its parts.
 
 The model file is a byte-pair one: its scores number its merges (0, -1, -2, ..) and are no logarithms of probabilities, so sums of them would
@@ -23,7 +27,7 @@ import heapq
 import math
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +40,11 @@ SPACE = "▁"
 UNIT = 10**9
 BYTE_SCORE = -14 * UNIT
 _LETTER = re.compile(r"[^\W\d_]")
+#: Longest word of the passes over many words, and how many of them are taken at once.
+_LONG, _MANY = 64, 2048
+_NONE = -(1 << 55)
+_ODD = 0x9E3779B97F4A7C15
+_POWER, _UNDER = (np.cumprod(np.array([1, *[x] * _LONG], np.uint64)) for x in (_ODD, pow(_ODD, -1, 1 << 64)))
 
 
 class Segmenter:
@@ -45,7 +54,7 @@ class Segmenter:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.n, self.most, self.cache = n_best, most_words, {}
+        self.n, self.most, self.cache, self.full, self.long = n_best, most_words, {}, {}, ("", [])
         self.text_of: list[bytes] = []
         self.byte_id: dict[int, int] = {}
         pieces: dict[str, int] = {}
@@ -61,9 +70,16 @@ class Segmenter:
                 self.text_of.append(piece.replace(SPACE, " ").encode())
         self.kind = "<u2" if len(self.text_of) <= 0x10000 else "<u4"
         order = sorted(pieces, key=lambda p: (-model.get_score(pieces[p]), pieces[p]))
-        #: Of every piece and its beginnings: (id, score), or none for a beginning that is no piece.
-        self.tree: dict[str, tuple[int, int] | None] = {p[:k]: None for p in order for k in range(1, len(p))}
-        self.tree |= {p: (pieces[p], round(-math.log(r + 2) * UNIT)) for r, p in enumerate(order)}
+        #: Of every piece and its beginnings: ((id,), score), or none for a beginning that is no piece.
+        self.tree: dict[str, tuple[tuple[int], int] | None] = {p[:k]: None for p in order for k in range(1, len(p))}
+        self.tree |= {p: ((pieces[p],), round(-math.log(r + 2) * UNIT)) for r, p in enumerate(order)}
+        some = [p for p in order if len(p) <= _LONG]
+        self.longest = max(map(len, some))
+        hashes = np.array([int(self._sums([p])[-1, 0]) for p in some], np.uint64)
+        by = np.argsort(hashes)
+        self.hashes, self.numbers, self.scores = hashes[by], *(np.array([v(self.tree[p]) for p in some])[by] for v in (lambda t: t[0][0], lambda t: t[1]))
+        if (self.hashes[1:] == self.hashes[:-1]).any():
+            raise ValueError("two pieces have one hash")
         inner = [p for p in order if SPACE in p.lstrip(SPACE)]
         if inner:
             raise ValueError(f"pieces reach over word boundaries: {inner[:3]}")
@@ -87,7 +103,7 @@ class Segmenter:
             for j in range(i + 1, n + 1):
                 hit = get(word[i:j], False)
                 if hit:
-                    ends[j].append((i, hit[1], (hit[0],)))
+                    ends[j].append((i, hit[1], hit[0]))
                     if so_far + hit[1] > best[j]:
                         best[j] = so_far + hit[1]
                     alone = alone and j > i + 1
@@ -103,38 +119,122 @@ class Segmenter:
     def search(self, word: str) -> list[tuple[int, tuple[int, ...]]]:
         """The n best (score, ids), best first."""
         ends, best = self.lattice(word)
-        most, taken = self.n, [0] * (len(word) + 1)
-        queue: list[tuple[int, int, int, int, tuple]] = [(-best[-1], len(word), 0, 0, ())]
+        if not word:
+            return [(0, ())]
+        most, taken, last = self.n, [0] * (len(word) + 1), len(word)
+        ways: dict[int, list[tuple[int, int, tuple[int, ...]]]] = {}
+        # a way that waits is the k-th best piece before a place; only when it is taken, the next one waits
+        queue: list[tuple[int, int, int, int, int, tuple]] = []
         found, serial, push, pop = [], 0, heapq.heappush, heapq.heappop
+
+        def reach(at: int, score: int, tail: tuple) -> None:
+            nonlocal serial
+            own = ways.get(at)
+            if own is None:
+                own = ways[at] = sorted(ends[at], key=lambda e: -best[e[0]] - e[1])
+            serial += 1
+            push(queue, (-(best[own[0][0]] + own[0][1] + score), serial, at, 0, score, tail))
+
+        reach(last, 0, ())
         while queue and len(found) < most:
-            _, at, _, score, tail = pop(queue)
-            if not at:
-                ids: list[tuple[int, ...]] = []
+            _, _, at, k, score, tail = pop(queue)
+            own = ways[at]
+            i, s, part = own[k]
+            if k + 1 < len(own):
+                serial += 1
+                push(queue, (-(best[own[k + 1][0]] + own[k + 1][1] + score), serial, at, k + 1, score, tail))
+            if i == 0:
+                ids: list[tuple[int, ...]] = [part]
                 while tail:
                     ids.append(tail[0])
                     tail = tail[1]
-                found.append((score, tuple(k for part in ids for k in part)))
-                continue
-            if taken[at] == most:
-                continue
-            taken[at] += 1
-            for i, s, part in ends[at]:
-                if taken[i] < most:
-                    serial += 1
-                    push(queue, (-(best[i] + s + score), i, serial, s + score, (part, tail)))
+                found.append((score + s, tuple(x for p in ids for x in p)))
+            elif taken[i] < most:
+                taken[i] += 1
+                reach(i, score + s, (part, tail))
         return found
 
-    def _best(self, word: str) -> list[tuple[int, tuple[int, ...]]]:
+    @staticmethod
+    def _sums(words: list[str]) -> np.ndarray:
+        """Of words of one length, sums of characters times powers: differences of two, brought to one power, are hashes of what stands between."""
+        n = len(words[0])
+        codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(-1, n).T.astype(np.uint64)
+        out = np.zeros((n + 1, len(words)), np.uint64)
+        np.cumsum((codes + np.uint64(1)) * _POWER[:n, None], axis=0, out=out[1:])
+        return out
+
+    def learn(self, words: Iterable[str]) -> None:
+        """Puts words into the cache, many at once."""
+        new = set(words).difference(self.cache)
+        if len(self.cache) + len(new) > self.most:
+            self.cache.clear()
+            new = set(words)
+        by: dict[int, list[str]] = {}
+        for w in new:
+            by.setdefault(len(w), []).append(w)
+        for n, group in by.items():
+            for lo in range(0, len(group) if n <= _LONG else 0, _MANY):
+                self._learn(group[lo : lo + _MANY])
+
+    def _learn(self, words: list[str]) -> None:
+        n, w = len(words[0]), len(words)
+        m, col, sums = min(n, self.longest), np.arange(w), self._sums(words)
+        score, ids = np.full((n, m, w), _NONE, np.int64), np.zeros((n, m, w), np.int32)
+        for i in range(n):
+            k = min(m, n - i)
+            h = (sums[i + 1 : i + 1 + k] - sums[i]) * _UNDER[i]
+            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            score[i, :k] = np.where(self.hashes[at] == h, self.scores[at], _NONE)
+            ids[i, :k] = self.numbers[at]
+        best, step = np.zeros((n + 1, w), np.int64), np.zeros((n + 1, w), np.int64)
+        for j in range(1, n + 1):
+            ways = np.stack([best[j - k] + score[j - k, k - 1] for k in range(1, min(m, j) + 1)])
+            step[j] = ways.argmax(axis=0)
+            best[j] = ways[step[j], col]
+        rest = np.zeros((n + 1, w), np.int64)
+        for i in reversed(range(n)):
+            rest[i] = np.stack([score[i, k - 1] + rest[i + k] for k in range(1, min(m, n - i) + 1)]).max(axis=0)
+        # the best path, from the end, and the best of those that leave it
+        path, place, count = np.zeros((w, n), np.int32), np.full(w, n), np.zeros(w, np.int64)
+        on = np.zeros((n, m, w), bool)
+        for t in range(1, n + 1):
+            live = np.flatnonzero(place > 0)
+            if not len(live):
+                break
+            k = step[place[live], live]
+            place[live] -= k + 1
+            on[place[live], k, live] = True
+            path[live, n - t] = ids[place[live], k, live]
+            count[live] += 1
+        other = np.full(w, _NONE, np.int64)
+        for i in range(n):
+            for k in range(1, min(m, n - i) + 1):
+                np.maximum(other, np.where(on[i, k - 1], _NONE, best[i] + score[i, k - 1] + rest[i + k]), out=other)
+        known = (score[:, 0] > _NONE).all(axis=0)  # a character that is no piece has its bytes: see `lattice`
+        raw, wide = path.astype(self.kind).tobytes(), np.dtype(self.kind).itemsize
+        loss = (best[n] - other).tolist()
+        top, lone, size = best[n].tolist(), (other <= _NONE // 2).tolist(), count.tolist()
+        for c in np.flatnonzero(known).tolist():
+            self.cache[words[c]] = (raw[((c + 1) * n - size[c]) * wide : (c + 1) * n * wide], top[c], None if lone[c] else loss[c])
+
+    def readings(self, word: str) -> list[tuple[int, tuple[int, ...]]]:
         """The n best of a word, from those of the parts that no piece joins."""
+        found = self.full.get(word) or (self.long[1] if self.long[0] == word else None)
+        if found:
+            return found
         pairs, cuts = self.pairs, [0]
         cuts += [k for k in range(1, len(word)) if word[k - 1 : k + 1] not in pairs]
         if len(cuts) == 1:
-            return self.search(word)
-        parts: list[list[tuple[int, tuple[int, ...]]]] = []
-        for lo, hi in zip(cuts, [*cuts[1:], len(word)]):
-            part = word[lo:hi]
-            parts.append((self.cache.get(part) or self._word(part))[3] if hi - lo < len(word) and hi - lo <= 64 else self.search(part))
-        return self._joined(parts)
+            found = self.search(word)
+        else:
+            found = self._joined([self.readings(word[lo:hi]) for lo, hi in zip(cuts, [*cuts[1:], len(word)])])
+        if len(word) <= _LONG:
+            if len(self.full) >= self.most // 4:
+                self.full.clear()
+            self.full[word] = found
+        else:
+            self.long = word, found  # kept for the text at hand
+        return found
 
     def _joined(self, parts: list[list[tuple[int, tuple[int, ...]]]]) -> list[tuple[int, tuple[int, ...]]]:
         """The n best of parts one after another: best first, then those that lose least in few of the parts."""
@@ -146,13 +246,13 @@ class Segmenter:
             found = heapq.nsmallest(self.n, ((loss + parts[k][0][0] - s, {**chosen, k: way}) for loss, chosen in found for way, (s, _) in enumerate(parts[k])), key=lambda x: x[0])
         return [(base - loss, tuple(i for k, p in enumerate(parts) for i in p[chosen.get(k, 0)][1])) for loss, chosen in found]
 
-    def _word(self, word: str) -> tuple[bytes, int, tuple[int, ...], list]:
-        """(ids of the best as bytes, its score, how much worse the others are, all)."""
-        if len(self.cache) >= self.most:
-            self.cache.clear()
-        found = self._best(word)
-        out = (np.array(found[0][1], self.kind).tobytes(), found[0][0], tuple(found[0][0] - s for s, _ in found[1:]), found)
-        if len(word) <= 64:
+    def _word(self, word: str) -> tuple[bytes, int, int | None]:
+        """(ids of the best as bytes, its score, what the next best loses, if there is one)."""
+        found = self.readings(word)
+        out = (np.array(found[0][1], self.kind).tobytes(), found[0][0], found[0][0] - found[1][0] if len(found) > 1 else None)
+        if len(word) <= _LONG:
+            if len(self.cache) >= self.most:
+                self.cache.clear()
             self.cache[word] = out
         return out
 
@@ -163,21 +263,31 @@ class Segmenter:
         cut = self.at_spaces if any(c in text for c in self.joining) else self.words
         return cut(SPACE + text.replace(" ", SPACE))
 
-    def segment(self, text: str) -> tuple[np.ndarray, list[float]]:
-        """(ids of the best segmentation, scores of the n best)."""
+    def _made(self, words: list[str]) -> tuple[list[tuple[bytes, int, int | None]], list[int]]:
+        """The best of each word, and the places of those that take part in the n best."""
         get = self.cache.get
-        made = [get(w) or self._word(w) for w in self.split(text)]
+        made = [get(w) or self._word(w) for w in words]
+        loose = heapq.nsmallest(self.n - 1, [(m[2], k) for k, m in enumerate(made) if m[2] is not None])
+        return made, [k for _, k in loose]
+
+    def segment(self, text: str, words: list[str] | None = None) -> tuple[np.ndarray, list[float]]:
+        """(ids of the best segmentation, scores of the n best); words: `split` of the text, if it is known."""
+        words = self.split(text) if words is None else words
+        made, loose = self._made(words)
         ids = np.frombuffer(b"".join([m[0] for m in made]), self.kind)
-        score = sum([m[1] for m in made])
-        loose = heapq.nsmallest(self.n - 1, [m[2] for m in made if m[2]])
-        worse = [0]
-        for options in loose:
-            worse = heapq.nsmallest(self.n, (w + x for w in worse for x in (0, *options)))
+        score, worse = sum([m[1] for m in made]), [0]
+        for k in loose:
+            found = self.readings(words[k])
+            worse = heapq.nsmallest(self.n, (w + found[0][0] - s for w in worse for s, _ in found))
         return ids, [(score - w) / UNIT for w in worse]
 
     def n_best(self, text: str) -> list[tuple[float, list[int]]]:
         """The n best (score, ids) of a text, best first; ties in any order."""
-        parts = [(self.cache.get(w) or self._word(w))[3] for w in self.split(text)]
+        words = self.split(text)
+        made, loose = self._made(words)
+        parts = [[(m[1], tuple(np.frombuffer(m[0], self.kind).tolist()))] for m in made]
+        for k in loose:
+            parts[k] = self.readings(words[k])
         return [(s / UNIT, list(ids)) for s, ids in self._joined(parts)]
 
     def decode(self, ids: np.ndarray) -> str:
@@ -189,20 +299,29 @@ class Segmenter:
 _segmenters: dict[tuple[str, int], Segmenter] = {}
 
 
+def _segmented(batches: Iterator[pa.RecordBatch], model: str, n_best: int) -> Iterator[tuple[pa.Array, list[tuple[np.ndarray, list[float], bool]]]]:
+    """(doc_id, [(ids of the best, scores, decoding gives the text)]) of some rows at a time."""
+    s = _segmenters.get((model, n_best)) or _segmenters.setdefault((model, n_best), Segmenter(model, n_best))
+    for batch in batches:
+        _, off = tx.blobs(batch.column(1))
+        for lo, hi in tx.slices(off, 1 << 21):
+            texts = [b.decode("utf-8", "replace") for b in batch.column(1).slice(lo, hi - lo).to_pylist()]
+            words = [s.split(t) for t in texts]
+            s.learn(set().union(*words))
+            out = []
+            for text, own in zip(texts, words, strict=True):
+                ids, scores = s.segment(text, own)
+                out.append((ids, scores, s.decode(ids) == text.replace(SPACE, " ")))
+            yield batch.column(0).slice(lo, hi - lo), out
+
+
 def segment_texts(docs: DataFrame, model: str, *, n_best: int = 3) -> DataFrame:
     """doc_id, n_pieces, ids_crc32 (of the best ids as little-endian 32-bit numbers), score, scores (n best) and round_trip (decoding gives the text) of every row."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("ids_crc32", pa.int64()), ("score", pa.float64()), ("scores", pa.list_(pa.float64())), ("round_trip", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = _segmenters.get((model, n_best)) or _segmenters.setdefault((model, n_best), Segmenter(model, n_best))
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 200):
-                out = []
-                for b in batch.column(1).slice(lo, 200).to_pylist():
-                    text = b.decode("utf-8", "replace")
-                    ids, scores = s.segment(text)
-                    out.append((len(ids), zlib.crc32(ids.astype("<u4").tobytes()), scores[0], scores, s.decode(ids) == text.replace(SPACE, " ")))
-                yield tx.rows(schema, batch.column(0).slice(lo, 200), *zip(*out))
+        for doc_id, out in _segmented(batches, model, n_best):
+            yield tx.rows(schema, doc_id, *zip(*((len(ids), zlib.crc32(ids.astype("<u4").tobytes()), scores[0], scores, same) for ids, scores, same in out)))
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), tx.as_bytes().alias("text")).mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, score double, scores array<double>, round_trip boolean")
 
@@ -212,15 +331,8 @@ def segment_ids(docs: DataFrame, model: str, *, n_best: int = 3) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("scores", pa.list_(pa.float64())), ("round_trip", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = _segmenters.get((model, n_best)) or _segmenters.setdefault((model, n_best), Segmenter(model, n_best))
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 200):
-                out = []
-                for b in batch.column(1).slice(lo, 200).to_pylist():
-                    text = b.decode("utf-8", "replace")
-                    ids, scores = s.segment(text)
-                    out.append((ids.astype(np.int32), scores, s.decode(ids) == text.replace(SPACE, " ")))
-                yield tx.rows(schema, batch.column(0).slice(lo, 200), *zip(*out))
+        for doc_id, out in _segmented(batches, model, n_best):
+            yield tx.rows(schema, doc_id, *zip(*((ids.astype(np.int32), scores, same) for ids, scores, same in out)))
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), tx.as_bytes().alias("text")).mapInArrow(run, "doc_id long, ids array<int>, scores array<double>, round_trip boolean")
 

@@ -41,6 +41,19 @@ def test_text_n_best_is_best_sum_over_words(seg):
     assert [s for s, _ in seg.n_best(text)] == pytest.approx(want)
 
 
+def test_many_words_at_once_equal_the_search(seg):
+    rng = random.Random(3)
+    words = {pieces.SPACE * rng.randrange(2) + "".join(rng.choice(["the", "er", "e", "n", "a", "é", "日", "…", "12", "\n"]) for _ in range(1 + rng.randrange(9))) for _ in range(600)}
+    s = pieces.Segmenter(MODEL, 4)
+    s.learn(words)
+    assert 0.5 * len(words) < len(s.cache) <= len(words)
+    for w, (ids, score, loss) in s.cache.items():
+        got = s.search(w)
+        assert score == got[0][0] and loss == (got[0][0] - got[1][0] if len(got) > 1 else None)
+        own = [(t, a) for t, a in every_path(s, w) if t == score] if len(w) < 12 else []
+        assert not own or tuple(np.frombuffer(ids, s.kind).tolist()) in [a for _, a in own]
+
+
 def test_cuts_change_nothing(seg):
     rng = random.Random(2)
     whole = lambda text: seg.search(pieces.SPACE + text.replace(" ", pieces.SPACE))
