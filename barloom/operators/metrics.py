@@ -33,7 +33,8 @@ def total_return(r: Column) -> Column:
 
 
 def annual_return(r: Column) -> Column:
-    return F.pow(F.product(1 + r), YEAR / F.count(r)) - 1
+    """-1 where all is lost."""
+    return F.when(F.product(1 + r) <= 0, -1.0).otherwise(F.pow(F.product(1 + r), YEAR / F.count(r)) - 1)
 
 
 def drawdowns(ret: DataFrame, key: str = "symbol") -> DataFrame:
@@ -149,6 +150,24 @@ def performance(ret: DataFrame, key: str = "symbol", yearly_rate: float = 0.0) -
     return both.withColumn("calmar", F.when((C("n") < 2) | (F.abs("max_drawdown") <= 1e-12), 0.0).otherwise(C("annual_return") / F.abs("max_drawdown")))
 
 
+def by_regime(ret: DataFrame, key: str = "symbol", label: str = "regime") -> DataFrame:
+    """key, label, n, share of the time and the performance of the returns in each regime; returns of one regime count as if they followed each other."""
+    own = ret.dropna(subset=["ret", label])
+    both = own.withColumn("_k", F.struct(key, label))
+    total = own.groupBy(key).agg(F.count("*").alias("_all"))
+    out = performance(both, "_k").select(C(f"_k.{key}").alias(key), C(f"_k.{label}").alias(label), "*").drop("_k")
+    return out.join(total, key).withColumn("share", C("n") / C("_all")).drop("_all")
+
+
+def volatility_regime(ret: DataFrame, n: int = 20, low: float = 1 / 3, high: float = 2 / 3) -> DataFrame:
+    """ret with regime 0, 1, 2 of the volatility of the last n returns against its quantiles over the whole sample (so it looks ahead: for reports only)."""
+    w = Window.partitionBy("symbol").orderBy("ts").rowsBetween(-(n - 1), 0)
+    v = ret.withColumn("_v", F.when(F.count("ret").over(w) == n, F.stddev_samp("ret").over(w)))
+    q = v.groupBy("symbol").agg(F.percentile("_v", low).alias("_lo"), F.percentile("_v", high).alias("_hi"))
+    out = v.join(q, "symbol").withColumn("regime", F.when(C("_v").isNull(), None).when(C("_v") <= C("_lo"), 0).when(C("_v") <= C("_hi"), 1).otherwise(2))
+    return out.drop("_v", "_lo", "_hi")
+
+
 def strategy_returns(df: DataFrame, prediction: str = "p", future: str = "next", *, long_only: bool = False) -> DataFrame:
     """df with ret: the future return times the position of a prediction (1: long, 0: short, or flat if long_only; else flat); rows without a
     prediction or return are left out."""

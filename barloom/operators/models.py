@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 C = F.col
 
 
-def fold_bounds(counts: DataFrame, *, folds: int = 5, least_train: int = 100, embargo: int = 5, train: int | None = None, rolling: bool = False) -> DataFrame:
+def fold_bounds(counts: DataFrame, *, folds: int = 5, least_train: int | Column = 100, embargo: int = 5, train: int | None = None, rolling: bool = False) -> DataFrame:
     """fold (from 1), train_start, train_stop, test_start, test_stop (row numbers from 0, stops exclusive) for each row of counts(n, ..), after its
     other columns.
 
@@ -20,14 +20,15 @@ def fold_bounds(counts: DataFrame, *, folds: int = 5, least_train: int = 100, em
     `train` rows (least_train if not given). Folds with less than that are left out and the others numbered anew; samples too short
     for any have none.
     """
-    need = train if rolling and train else least_train
+    least_train = F.lit(least_train) if isinstance(least_train, int) else least_train
+    need = F.lit(train) if rolling and train else least_train
     keep = [c for c in counts.columns if c != "n"]
     room = C("n") - need - folds * embargo
     size = F.greatest(F.lit(1), F.floor(room / folds)).cast("int")
     each = counts.where((C("n") > least_train + embargo) & (room > 0)).withColumn("_size", size).withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
-    each = each.withColumn("test_start", F.greatest(C("n") - folds * C("_size"), F.lit(need + embargo)) + C("_k") * C("_size"))
+    each = each.withColumn("test_start", F.greatest(C("n") - folds * C("_size"), need + embargo) + C("_k") * C("_size"))
     each = each.withColumns({"test_stop": F.least(C("test_start") + C("_size"), C("n")), "train_stop": C("test_start") - embargo})
-    each = each.withColumn("train_start", F.greatest(F.lit(0), C("train_stop") - (train or least_train)) if rolling else F.lit(0))
+    each = each.withColumn("train_start", F.greatest(F.lit(0), C("train_stop") - (train if train else least_train)) if rolling else F.lit(0))
     each = each.where((C("train_stop") - C("train_start") >= need) & (C("test_stop") > C("test_start")))
     fold = F.row_number().over(Window.partitionBy(*keep, "n").orderBy("_k")) if keep else F.row_number().over(Window.partitionBy("n").orderBy("_k"))
     return each.select(*keep, fold.alias("fold"), *(C(c).cast("int").alias(c) for c in ("train_start", "train_stop", "test_start", "test_stop")))
@@ -50,6 +51,47 @@ def with_folds(df: DataFrame, bounds: DataFrame, order: str = "ts", key: str = "
     return df.withColumn("nth", n).join(F.broadcast(bounds), on).select(*df.columns, "nth", "fold", part.alias("part"))
 
 
+def temporal_split(df: DataFrame, *, test: float = 0.2, key: str = "symbol", order: str = "ts") -> DataFrame:
+    """df with part: the last rows of each key are `test`, from row floor(n * (1 - test)) on, the others `train`."""
+    nth, n = F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1, F.count("*").over(Window.partitionBy(key))
+    return df.withColumn("part", F.when(nth < F.floor(n * (1 - test)), "train").otherwise("test"))
+
+
+def ensemble(probabilities: dict[str, Column], accuracy: dict[str, float] | None = None, *, by: str = "mean") -> Column:
+    """One probability of several models: their mean, or weighted by conviction (how far each is from one half), or by accuracy (above 0.45)."""
+    names = list(probabilities)
+    if by == "mean":
+        weight = {n: F.lit(1.0) for n in names}
+    elif by == "conviction":
+        weight = {n: F.abs(probabilities[n] - 0.5) + 1e-4 for n in names}
+    elif by == "accuracy":
+        weight = {n: F.lit(max(accuracy[n] - 0.45, 0.01)) for n in names}
+    else:
+        raise ValueError(f"no such ensemble: {by}")
+    return sum(weight[n] * probabilities[n] for n in names) / sum(weight.values())
+
+
+def sharpe_difference(ret: DataFrame, a: str, b: str, *, paths: int = 1000, block: int = 10, seed: int = 42) -> DataFrame:
+    """symbol, difference of the yearly Sharpe ratios of two return columns, its 95 % interval and two-sided p, by blocks that don't wrap round.
+
+    The draws are rows: each path's block starts come from a hash, their places are joined to the numbered returns, and a path is an aggregate; so
+    no series is held whole.
+    """
+    own = ret.dropna(subset=[a, b]).withColumn("nth", (F.row_number().over(Window.partitionBy("symbol").orderBy("ts")) - 1).cast("long")).select("symbol", "nth", C(a).cast("double").alias("x"), C(b).cast("double").alias("y"))
+    n = own.groupBy("symbol").agg(F.count("*").alias("n"), _sharpe("x").alias("sx"), _sharpe("y").alias("sy")).where(C("n") >= block)
+    draws = n.withColumn("path", F.explode(F.sequence(F.lit(0), F.lit(paths - 1)))).withColumn("part", F.explode(F.sequence(F.lit(0), (F.ceil(C("n") / block) - 1).cast("int"))))
+    draws = draws.withColumn("start", F.pmod(F.xxhash64("symbol", "path", "part", F.lit(seed)), C("n") - block + 1))
+    places = draws.select("symbol", "n", "path", "part", (F.explode(F.sequence(F.lit(0), F.lit(block - 1)))).alias("k"), "start").where(C("part") * block + C("k") < C("n")).select("symbol", "path", (C("start") + C("k")).alias("nth"))
+    each = places.join(own, ["symbol", "nth"]).groupBy("symbol", "path").agg((_sharpe("x") - _sharpe("y")).alias("d"))
+    out = each.groupBy("symbol").agg(F.percentile("d", 0.025).alias("low"), F.percentile("d", 0.975).alias("high"), F.avg((C("d") <= 0).cast("double")).alias("down"), F.avg((C("d") >= 0).cast("double")).alias("up"))
+    return out.join(n, "symbol").select("symbol", (C("sx") - C("sy")).alias("difference"), "low", "high", F.least(F.lit(1.0), 2 * F.least("down", "up")).alias("p_value"))
+
+
+def _sharpe(c: str) -> Column:
+    dev = F.stddev_samp(c)
+    return F.when((F.count(c) < 2) | (dev <= 1e-12), 0.0).otherwise(F.sqrt(F.lit(252.0)) * F.avg(c) / dev)
+
+
 def auc(df: DataFrame, keys: list[str], label: str = "y", score: str = "p") -> DataFrame:
     """Area under the curve by rank sums; equal scores share their mean rank. One row for each keys."""
     counts = df.groupBy(*keys, score).agg(F.sum(label).alias("up"), F.count("*").alias("n"))  # first by score: few rows where scores repeat

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.functions.windows import div
 from barloom.operators.joins import as_of
 
 C = F.col
@@ -76,6 +77,34 @@ def daily_sentiment(scored: DataFrame) -> DataFrame:
     return by.agg(F.avg("score").alias("mean"), F.coalesce(F.stddev_samp("score"), F.lit(0.0)).alias("dev"), F.count("*").alias("n"), F.count_if(C("score") > 0.05).alias("n_positive"), F.count_if(C("score") < -0.05).alias("n_negative"))
 
 
+def known_by(news: DataFrame, cutoff: Column) -> DataFrame:
+    """The headlines published up to a moment; later ones would leak."""
+    return news.where(C("published_at") <= cutoff)
+
+
+def leaks(news: DataFrame, bars: DataFrame) -> DataFrame:
+    """Rows of news(symbol, ts, published_at) that were published after the bar that they are joined to."""
+    return news.join(bars.select("symbol", "ts"), ["symbol", "ts"], "left_semi").where(C("published_at") > C("ts").cast("timestamp"))
+
+
+def call_features(calls: DataFrame, hedges: list[str], most_words: int = 350) -> DataFrame:
+    """ticker, call_date and seven features of transcripts(ticker, call_date, text): sentiment of all, of the prepared part and of the answers (means over
+    chunks weighted by their words; without answers that of the prepared part), their difference, hedge words in 1000, words, and the answers' share."""
+    both = calls.withColumn("_id", F.monotonically_increasing_id()).withColumn("_s", sections(C("text")))
+    heads = both.select("_id", "ticker", "call_date", hedge_density(C("text"), hedges).alias("uncertainty"), F.size(F.regexp_extract_all(F.lower("text"), F.lit(r"\b[a-z]{2,}\b"), 0)).alias("word_count"))
+    parts = both.select("_id", F.explode(F.array(F.struct(F.lit("prepared").alias("part"), C("_s.prepared").alias("t")), F.struct(F.lit("answers").alias("part"), C("_s.answers").alias("t")))).alias("p"))
+    pieces = parts.select("_id", "p.part", F.explode(chunks(C("p.t"), most_words)).alias("chunk"))
+    scored = lexicon_scores(pieces, "chunk").withColumn("w", F.size(F.array_remove(F.split(F.trim("chunk"), r"\s+"), "")))
+    on = lambda part: (C("part") == part)
+    mean = lambda c: div(F.sum(F.when(c, C("score") * C("w"))), F.sum(F.when(c, C("w"))))
+    sums = scored.groupBy("_id").agg(mean(on("prepared")).alias("a"), mean(on("answers")).alias("b"), mean(F.lit(True)).alias("whole"), F.coalesce(div(F.sum(F.when(on("answers"), C("w"))), F.sum("w")), F.lit(0.0)).alias("share"))
+    out = heads.join(sums, "_id", "left")
+    prepared = F.coalesce("a", F.lit(0.0))
+    answers = F.coalesce("b", prepared)
+    four = lambda c, name: F.round(F.coalesce(c, F.lit(0.0)), 4).alias(name)
+    return out.select("ticker", "call_date", four(C("whole"), "overall"), four(prepared, "prepared"), four(answers, "answers"), four(answers - prepared, "delta"), four(C("uncertainty"), "uncertainty"), C("word_count"), four(C("share"), "answer_share"))
+
+
 def hedge_density(text: Column, hedges: list[str]) -> Column:
     """Hedge words per 1000 words of two letters or more."""
     words = F.regexp_extract_all(F.lower(text), F.lit(r"\b[a-z]{2,}\b"), 0)

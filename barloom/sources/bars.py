@@ -70,6 +70,26 @@ class BarStore:
             out = out.where((F.col("year") <= F.year(at)) & (ts <= at))
         return out.select(*(columns or [c for c in out.columns if c != "year"])).orderBy(*(["ts"] if not columns or "ts" in columns else []))
 
+    def read(self, symbol: str) -> DataFrame:
+        """All rows of a symbol; an error if there is none."""
+        out = self.query(symbol)
+        if out.isEmpty():
+            raise KeyError(f"no bars of {symbol}")
+        return out
+
+    def delete(self, symbol: str) -> bool:
+        """Deletes all rows of a symbol; whether there were any."""
+        jvm = self.spark._jvm
+        # special characters stand escaped in the names of folders
+        name = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(symbol)
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/symbol={name}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def latest(self, n: int, skip: int = 0) -> DataFrame:
+        """The last n rows of each symbol, after the `skip` last ones."""
+        nth = F.row_number().over(Window.partitionBy("symbol").orderBy(F.col("ts").desc()))
+        return self.scan().withColumn("_n", nth).where((F.col("_n") > skip) & (F.col("_n") <= skip + n)).drop("_n", "year")
+
     def symbols(self, prefix: str = "") -> DataFrame:
         return self.scan().select("symbol").where(F.col("symbol").startswith(prefix)).distinct().orderBy("symbol")
 
