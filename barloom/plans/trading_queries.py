@@ -67,8 +67,8 @@ def regime_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _book(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two strategies over all symbols: those that rose over five bars, and those that fell, in equal parts."""
     b = features.compute(event_bars(spark, sf_dir), ["mom_5d"]).select("symbol", "ts", "close", "volume", "mom_5d")
-    # volume counts events here, not shares: orders must not move the price by it
-    own = b.withColumn("volume", F.lit(1e15)).withColumn("strategy", F.explode(F.array(F.lit("rising"), F.lit("falling"))))
+    # values of events are no prices, and their numbers no shares: a price moves with a hundredth of the value, and orders don't move it
+    own = b.withColumns({"close": 100 + F.col("close") / 100, "volume": F.lit(1e15)}).withColumn("strategy", F.explode(F.array(F.lit("rising"), F.lit("falling"))))
     weight = F.when((F.col("strategy") == "rising") == (F.col("mom_5d") > 0), 0.1).otherwise(0.0)
     return portfolio.backtest(own.withColumn("weight", F.coalesce(weight, F.lit(0.0))).drop("mom_5d"))
 
