@@ -11,6 +11,7 @@ no shard and no rows. Rows without a doc_id have no key: they are left out. Furt
 
 from __future__ import annotations
 
+import json
 import bisect
 import struct
 import unicodedata
@@ -178,22 +179,34 @@ class Shard:
 class WordEncoder:
     """Token ids of texts by a `tokenizers` file with word ends, with a bounded cache of words.
 
-    The file's BPE model sees each distinct word once. Texts beyond Latin-1, with control separators or with the text of a special token go
-    through the library's whole pipeline.
+    Where the file normalises and splits by a pattern, as `FORM` has it, its BPE model sees each distinct word once; the pattern is the file's own. All
+    texts under other files, and those beyond Latin-1, with control separators or with the text of a special token, go through the library's whole pipeline.
     """
 
-    #: Words as the file's own splitting has them; "." here stands for the lower-cased text.
-    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    #: The parts of a file whose words can be encoded one by one.
+    FORM = (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"], ("Removed", True, False, False), r"\s+")
 
     def __init__(self, path: str, most_words: int = 400_000):
         import regex
         from tokenizers import Tokenizer
 
         self.whole, self.most, self.cache = Tokenizer.from_file(path), most_words, {}
-        self.model, self.find = self.whole.model, regex.compile(self.PATTERN).findall
+        parts = json.loads(self.whole.to_str())
+        pattern = self._pattern(parts)
+        self.model, self.find = self.whole.model, regex.compile(pattern).findall if pattern else None
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.byte_chars = self._byte_chars()
 
+    @classmethod
+    def _pattern(cls, parts: dict) -> str | None:
+        """The pattern by which the file splits, or none if it has another form."""
+        norm, pre = ((parts.get(k) or {}).get(name, []) for k, name in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers")))
+        if [x["type"] for x in norm] != cls.FORM[0] or [x["type"] for x in pre] != cls.FORM[1] or parts.get("post_processor") or parts["model"]["type"] != "BPE":
+            return None
+        split, level = pre
+        same = (split["behavior"], split["invert"], level["add_prefix_space"], level["use_regex"]) == cls.FORM[2]
+        return split["pattern"].get("Regex") if same and norm[1]["pattern"].get("Regex") == cls.FORM[3] and norm[1]["content"] == " " else None
+
     @staticmethod
     def _byte_chars() -> dict[int, str]:
         """The usual printable stand-ins of bytes: printable bytes stand for themselves, the others follow from U+0100."""
@@ -211,7 +224,7 @@ class WordEncoder:
         text = b.decode("utf-8", "replace")
         try:
             text.encode("latin-1")
-            plain = not any(c in text for c in "\x1c\x1d\x1e\x1f\x85\xa0") and not any(s in text for s in self.special)
+            plain = self.find is not None and not any(c in text for c in "\x1c\x1d\x1e\x1f\x85\xa0") and not any(s in text for s in self.special)
         except UnicodeEncodeError:
             plain = False
         if not plain:

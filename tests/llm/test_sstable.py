@@ -35,6 +35,14 @@ def test_encoder_equals_library():
         assert enc.encode(t.encode()).tolist() == whole.encode(t, add_special_tokens=False).ids
 
 
+def test_other_files_go_through_the_library():
+    other = public_tokenizers.path("byte_bpe_50k.json")
+    whole, enc = Tokenizer.from_file(other), sstable.WordEncoder(other)
+    assert enc.find is None and sstable.WordEncoder(PATH).find is not None
+    for t in ("", "Hello WORLD  don't", " é 12"):
+        assert enc.encode(t.encode()).tolist() == whole.encode(t, add_special_tokens=False).ids
+
+
 def test_files_hold_every_document(spark, odd_docs, no_docs):
     folder = text.scratch(spark, "test-sst")
     shards = sstable.write_shards(odd_docs, folder, PATH)
