@@ -5,7 +5,7 @@ The codeword with the least loss over the bits, each weighted by how well its cl
 gap to the next codeword flags the text as ambiguous.
 
 Edge cases: null, empty and letterless texts give `und` with score 0. With one learned language every text with letters gets it; with none,
-all texts get `und`. Repeated rows give one row each. Further columns of the input are ignored.
+all texts get `und`. Of languages with equal losses the first by name is predicted. Repeated rows give one row each, and very long texts are rows like others. Further columns of the input are ignored.
 """
 
 from __future__ import annotations
