@@ -178,8 +178,9 @@ def strategy_returns(df: DataFrame, prediction: str = "p", future: str = "next",
 
 def crisis_windows(ret: DataFrame, windows: DataFrame, least: int = 5) -> DataFrame:
     """name, symbol, n, total and volatility of returns within windows(name, start, stop)."""
-    on = C("ts").between(C("start"), C("stop"))
-    both = ret.join(F.broadcast(windows), on)
+    month = lambda c: F.trunc(C(c).cast("date"), "month")
+    parts = windows.withColumn("_month", F.explode(F.sequence(month("start"), month("stop"), F.expr("interval 1 month"))))
+    both = ret.withColumn("_month", month("ts")).join(parts, "_month").where(C("ts").between(C("start"), C("stop")))
     out = both.groupBy("name", "symbol").agg(F.count("*").alias("n"), total_return(C("ret")).alias("total"), (F.stddev_samp("ret") * F.sqrt(F.lit(float(YEAR)))).alias("volatility"))
     return out.where(C("n") >= least)
 

@@ -48,6 +48,7 @@ def with_folds(df: DataFrame, bounds: DataFrame, order: str = "ts", key: str = "
     if key in bounds.columns:
         bounds = bounds.withColumnRenamed(key, "_key")
         return df.withColumn("nth", n).join(bounds, (C(key) == C("_key")) & on).select(*df.columns, "nth", "fold", part.alias("part"))
+    # without a key, bounds has a row for each fold
     return df.withColumn("nth", n).join(F.broadcast(bounds), on).select(*df.columns, "nth", "fold", part.alias("part"))
 
 

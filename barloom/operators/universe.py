@@ -22,14 +22,22 @@ def intervals(constituents: DataFrame, changes: DataFrame) -> DataFrame:
     return stays.unionByName(early).unionByName(always)
 
 
+def _on_dates(membership: DataFrame, dates: DataFrame) -> DataFrame:
+    """Stays and the dates that lie in them. Both sides are dealt out by month, so that neither must be sent whole."""
+    days = dates.select("date").distinct().withColumn("_month", F.trunc("date", "month"))
+    lo, hi = (F.lit(x).cast("date") for x in days.agg(F.min("date"), F.max("date")).first())
+    span = F.sequence(F.trunc(F.greatest(F.coalesce("valid_from", lo), lo), "month"), F.least(F.coalesce("valid_to", hi), hi), F.expr("interval 1 month"))
+    some = membership.where((F.coalesce("valid_from", lo) <= hi) & (F.coalesce("valid_to", hi) >= lo) & (F.coalesce("valid_from", lo) <= F.coalesce("valid_to", hi)))
+    on = (C("valid_from").isNull() | (C("valid_from") <= C("date"))) & (C("valid_to").isNull() | (C("date") < C("valid_to")))
+    return some.withColumn("_month", F.explode(span)).join(days, "_month").where(on).drop("_month")
+
+
 def members(membership: DataFrame, dates: DataFrame) -> DataFrame:
     """date, symbol of the members on each of dates(date)."""
-    on = (F.coalesce(C("valid_from"), F.lit("0001-01-01").cast("date")) <= C("date")) & (C("valid_to").isNull() | (C("date") < C("valid_to")))
-    return membership.join(F.broadcast(dates.select("date").distinct()), on).select("date", "symbol").distinct()
+    return _on_dates(membership, dates).select("date", "symbol").distinct()
 
 
 def detail(membership: DataFrame, dates: DataFrame, delisted: DataFrame) -> DataFrame:
     """Members with active_from, active_to and the delisting (symbol, delisting_date, reason) known on the date."""
-    on = (F.coalesce(C("valid_from"), F.lit("0001-01-01").cast("date")) <= C("date")) & (C("valid_to").isNull() | (C("date") < C("valid_to")))
-    out = membership.join(F.broadcast(dates.select("date").distinct()), on)
-    return out.join(delisted, "symbol", "left").select("date", "symbol", C("valid_from").alias("active_from"), C("valid_to").alias("active_to"), "delisting_date", "reason", F.coalesce(C("delisting_date") <= C("date"), F.lit(False)).alias("is_delisted"))
+    out = _on_dates(membership, dates).join(delisted, "symbol", "left")
+    return out.select("date", "symbol", C("valid_from").alias("active_from"), C("valid_to").alias("active_to"), "delisting_date", "reason", F.coalesce(C("delisting_date") <= C("date"), F.lit(False)).alias("is_delisted"))

@@ -40,7 +40,7 @@ class BarStore:
         else:
             both = bars.withColumn("_new", F.lit(1))
             if self.exists():
-                touched = F.broadcast(bars.select("symbol", F.year("ts").alias("year")).distinct())  # a row for each symbol and year
+                touched = bars.select("symbol", F.year("ts").alias("year")).distinct()
                 old = self.scan().join(touched, ["symbol", "year"], "left_semi")
                 both = both.unionByName(old.drop("year").withColumn("_new", F.lit(0)), allowMissingColumns=True)
             w = Window.partitionBy("symbol", "ts").orderBy("_new", *(c for c in bars.columns if c not in ("symbol", "ts")))
