@@ -3,7 +3,7 @@
 The pieces that match a text form a lattice. A forward Viterbi pass gives the best score of reaching each place; these scores are the exact
 heuristic of an A* search that runs backward from the end, so complete paths come off its queue in order of score. A place that has come off
 the queue n times is closed, as n paths through it are enough; so a search takes n steps for each place at most, however many paths tie. Scores
-are whole numbers (billionths), so equal paths are exactly equal; of these, any n are given.
+are whole numbers (billionths), so equal paths are exactly equal; of these, any n are given, but the best of a word is the same in every task.
 
 Only the n - 1 words of a text that lose least by another reading can have one in the text's n best. So the forward pass, with its best path, is
 made for the words of many texts at once, all of one length as columns; a pass from the end then tells what each piece off the best path
@@ -248,11 +248,15 @@ class Segmenter:
 
     def _word(self, word: str) -> tuple[bytes, int, int | None]:
         """(ids of the best as bytes, its score, what the next best loses, if there is one)."""
+        if len(self.cache) >= self.most:
+            self.cache.clear()
+        if len(word) <= _LONG:
+            self._learn([word])  # as among many others, so that of equal paths the same one is given
+            if word in self.cache:
+                return self.cache[word]
         found = self.readings(word)
         out = (np.array(found[0][1], self.kind).tobytes(), found[0][0], found[0][0] - found[1][0] if len(found) > 1 else None)
         if len(word) <= _LONG:
-            if len(self.cache) >= self.most:
-                self.cache.clear()
             self.cache[word] = out
         return out
 

@@ -54,6 +54,14 @@ def test_many_words_at_once_equal_the_search(seg):
         assert not own or tuple(np.frombuffer(ids, s.kind).tolist()) in [a for _, a in own]
 
 
+def test_ties_do_not_depend_on_the_company():
+    words = ["▁" + a + b for a in ("abab", "cdcd", "the", "hfgb") for b in ("aa", "er", "gb", "…x")]
+    together, alone = pieces.Segmenter(MODEL, 3), pieces.Segmenter(MODEL, 3, most_words=1)
+    together.learn(words)
+    for w in words:
+        assert together.segment("", [w])[0].tolist() == alone.segment("", [w])[0].tolist()
+
+
 def test_cuts_change_nothing(seg):
     rng = random.Random(2)
     whole = lambda text: seg.search(pieces.SPACE + text.replace(" ", pieces.SPACE))
