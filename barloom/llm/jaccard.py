@@ -274,8 +274,9 @@ def _linked(docs: DataFrame, summaries: DataFrame, pairs: DataFrame, k: int, per
 
 
 def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, cells: int = 1 << 20, tries: int = 2, rounds: int = 3, fragment: int = 4096, most_broadcast: int = 200_000) -> DataFrame:
-    """doc_id, row_key (the same for rows with the same doc_id and text), n_shingles, set (class of equal sets) and component_id (the smallest
-    doc_id reachable by links) of every row.
+    """doc_id, row_key (the same for rows with the same doc_id and text), n_shingles, set (class of equal sets), root (the same for sets that
+    links join; null without shingles) and component_id (the smallest doc_id reachable by links) of every row. Where texts share a doc_id,
+    several roots can have one component_id.
 
     Two documents link when 100 * |A and B| >= percent * |A or B|. cells: size of the count sketch (4 bytes each, sent to every task).
     tries, rounds: how many classes a class is held against in each round before the last, exact step; they change the work, not the result.
@@ -323,8 +324,8 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, cells: in
     sized = summaries.join(label, "set", "left").withColumn("root", F.coalesce("root", "set"))
     full = sized.where("n > 0")
     least_id = full.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    out = full.join(least_id, "root").select("doc_id", "row_key", F.col("n").cast("long").alias("n_shingles"), "set", "component_id")
-    alone = sized.where("n = 0").select("doc_id", "row_key", F.lit(0).cast("long").alias("n_shingles"), "set", F.col("doc_id").alias("component_id"))
+    out = full.join(least_id, "root").select("doc_id", "row_key", F.col("n").cast("long").alias("n_shingles"), "set", "root", "component_id")
+    alone = sized.where("n = 0").select("doc_id", "row_key", F.lit(0).cast("long").alias("n_shingles"), "set", F.lit(None).cast("long").alias("root"), F.col("doc_id").alias("component_id"))
     result = tx.stored(out.union(alone), "near-duplicates")
     for table in scratch:
         tx.discard(table)

@@ -36,8 +36,9 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = jaccard.near_duplicates(docs)
     # texts without a shingle are linked with nothing, so each is a group of its own
     sets = found.where("n_shingles > 0")
-    stays = sets.groupBy("component_id").agg(F.min(F.struct("doc_id", "row_key")).alias("first")).select("component_id", F.col("first.row_key").alias("stays"))
-    both = sets.alias("s").join(stays.alias("k"), F.col("s.component_id").eqNullSafe(F.col("k.component_id")))
+    # groups are told by their root: texts under one doc_id can lie in several groups
+    stays = sets.groupBy("root").agg(F.min(F.struct("doc_id", "row_key")).alias("first")).select("root", F.col("first.row_key").alias("stays"))
+    both = sets.join(stays, "root")
     gone = both.where("row_key <> stays").select("row_key")
     twice = found.groupBy("row_key").count().where("count > 1").select("row_key")
     left = docs.withColumn("row_key", jaccard.row_key()).join(_sent(gone), "row_key", "left_anti")
