@@ -282,12 +282,12 @@ def forecast(fits: DataFrame, horizon: int = 5) -> DataFrame:
     return rows.select("symbol", "model", "h", (F.sqrt(F.when(C("model") == "egarch", own).otherwise(plain)) / SCALE).alias("vol"))
 
 
-def refit_windows(rows: DataFrame, values: Column, window: int, every: int) -> DataFrame:
-    """symbol, refit and x: the values, in order, of the `window` rows before each refit. rows(symbol, nth, ..) has its row numbers from 0; refits are at window, window + every,
-    .. up to the last row. Each row is dealt to the refits that see it, so a group holds a window."""
+def refit_windows(rows: DataFrame, values: Column, window: int, every: int, skip: int = 0) -> DataFrame:
+    """symbol, refit and x: the values, in order, of the `window` rows before each refit but for the first `skip` of them. rows(symbol, nth, ..) has its row numbers from 0; refits are
+    at window, window + every, .. up to the last row. Each row is dealt to the refits that see it, so a group holds a window."""
     last = F.floor((C("_n") - 1 - window) / every)
-    # row j is seen by refit i = window + k * every when i - window <= j < i
-    first, stop = F.greatest(F.lit(0), F.ceil((C("nth") + 1 - window) / every)), F.least(last, F.floor(C("nth") / every))
+    # row j is seen by refit i = window + k * every when i - window + skip <= j < i
+    first, stop = F.greatest(F.lit(0), F.ceil((C("nth") + 1 - window) / every)), F.least(last, F.floor((C("nth") - skip) / every))
     sized = rows.withColumn("_n", F.count("*").over(Window.partitionBy("symbol")))
     dealt = sized.withColumns({"_first": first.cast("int"), "_stop": stop.cast("int")}).where("_first <= _stop").withColumn("_k", F.explode(F.sequence("_first", "_stop")))
     out = dealt.groupBy("symbol", (C("_k") * every + window).cast("int").alias("refit")).agg(F.array_sort(F.collect_list(F.struct("nth", values.alias("x")))).alias("_s"))
