@@ -21,6 +21,7 @@ import os
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,32 +40,24 @@ _ODD_SPACE = frozenset(chr(c) for c in range(0x3001) if chr(c).isspace()) - {" "
 _CUT = re.compile(r"(?<=\S)(?=[ \n])")
 
 
-def overlaps(a_ends: list[int], b_ends: list[int]) -> list[tuple[int, int]]:
-    """(A token, B token) of every pair of tokens whose ranges overlap; both lists of ends rise to the same last end."""
-    found, i, j = [], 0, 0
-    while i < len(a_ends):
-        found.append((i, j))
-        a, b = a_ends[i], b_ends[j]
-        i += a <= b
-        j += b <= a
-    return found
+def overlaps(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(A token, B token) of every pair of tokens whose ranges overlap, in order; both arrays of ends rise to the same last end."""
+    ends = np.union1d(a_ends, b_ends)
+    return np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
 
 
-def components(edges: list[tuple[int, int]], n_a: int, n_b: int) -> list[list[tuple[int, int]]]:
-    """The edges of every connected component of a bipartite graph, by union-find with path halving; in order of the first edges."""
-    root = list(range(n_a + n_b))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = x = root[root[x]]
-        return x
-
-    for i, j in edges:
-        root[find(n_a + j)] = find(i)
-    out: dict[int, list[tuple[int, int]]] = {}
-    for e in edges:
-        out.setdefault(find(e[0]), []).append(e)
-    return list(out.values())
+def components(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """The least node of the component of each of n nodes, by union-find over all edges (u, v) at once: roots are hooked to smaller roots, then paths are compressed."""
+    root = np.arange(n)
+    while True:
+        a, b = root[u], root[v]
+        apart = a != b
+        if not apart.any():
+            return root
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(up := root[root], root):
+            root = up
 
 
 class Aligner:
@@ -78,9 +71,13 @@ class Aligner:
         self.a, self.b = Tokenizer.from_file(a_file), sentencepiece.SentencePieceProcessor(model_file=b_file)
         self.a.encode_special_tokens = True
         byte_of = {c: b for b, c in WordEncoder._byte_chars().items()}
-        self.a_bytes = {k: bytes(byte_of[c] for c in t) if all(c in byte_of for c in t) else t.encode() for t, k in self.a.get_vocab().items()}
+        a_bytes = {k: bytes(byte_of[c] for c in t) if all(c in byte_of for c in t) else t.encode() for t, k in self.a.get_vocab().items()}
+        self.a_bytes = [a_bytes.get(k, b"") for k in range(max(a_bytes) + 1)]
         pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace(SPACE, " ").encode() for k, p in enumerate(pieces)]
+        #: Lengths of the tokens, and ids as text with what can follow them: another id of the group, the other side, the next group, the unit's end.
+        self.a_size, self.b_size = (np.array([*map(len, x)]) for x in (self.a_bytes, self.b_bytes))
+        self.a_text, self.b_text = (np.array([[b"%d%s" % (k, end) for k in range(len(x))] for end in ends], object) for x, ends in ((self.a_bytes, (b",", b"|")), (self.b_bytes, (b",", b";", b""))))
         self.mark = self.b.piece_to_id(SPACE)
         parts = json.loads(self.a.to_str())
         level = parts.get("pre_tokenizer") or {}
@@ -102,18 +99,42 @@ class Aligner:
     def named(unit: str) -> str:
         return unit[1:] if unit[0] == "\r" else unit if unit[0] == "\n" else " " + unit
 
-    def _aligned(self, raw: str, a: list[int], b: list[int]) -> tuple[bytes, bytes, bytes] | None:
-        """(n_a, n_b, n_groups and n_links; groups as text; pairs a * 2**32 + b of all links) of a unit; none if the tokens are not its bytes."""
-        a_parts, b_parts, want = [self.a_bytes[k] for k in a], [self.b_bytes[k] for k in b], raw.encode("utf-8", "replace")
-        if b"".join(a_parts) != want or b"".join(b_parts) != want:
-            return None
-        if len(a) == 1 or len(b) == 1:
-            groups = [[(i, j) for i in range(len(a)) for j in range(len(b))]]
-        else:
-            groups = components(overlaps(np.cumsum([*map(len, a_parts)]).tolist(), np.cumsum([*map(len, b_parts)]).tolist()), len(a), len(b))
-        text = ";".join(",".join(str(a[i]) for i in range(g[0][0], g[-1][0] + 1)) + "|" + ",".join(str(b[j]) for j in range(g[0][1], g[-1][1] + 1)) for g in groups)
-        links = [a[i] << 32 | b[j] for g in groups for i, j in g]
-        return np.array([len(a), len(b), len(groups), len(links)], np.int64).tobytes(), text.encode(), np.array(links, np.int64).tobytes()
+    def _aligned(self, raw: list[str], a: list[list[int]], b: list[list[int]]) -> list[tuple[bytes, bytes, bytes] | None]:
+        """Of every unit (n_a, n_b, n_groups and n_links; groups as text; pairs a * 2**32 + b of all links), or none if its tokens are not its bytes."""
+        want = [r.encode("utf-8", "replace") for r in raw]
+        a_of, b_of = self.a_bytes, self.b_bytes
+        good = [b"".join([a_of[k] for k in x]) == w == b"".join([b_of[k] for k in y]) for x, y, w in zip(a, b, want, strict=True)]
+        out: list[tuple[bytes, bytes, bytes] | None] = [None] * len(raw)
+        a, b, at = ([x for x, g in zip(every, good, strict=True) if g] for every in (a, b, range(len(raw))))
+        if not at:
+            return out
+        n_a, n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
+        ia, ib = (np.fromiter(chain.from_iterable(x), np.int64, n.sum()) for x, n in ((a, n_a), (b, n_b)))
+        a_ends, b_ends = np.cumsum(self.a_size[ia]), np.cumsum(self.b_size[ib])
+        i, j = overlaps(a_ends, b_ends)
+        # every component has an A token, so its least node is its first A token; units end where both sides do, so none is joined with the next
+        root = components(i, len(ia) + j, len(ia) + len(ib))
+        first = root[: len(ia)] == np.arange(len(ia))
+        a_group = np.cumsum(first) - 1
+        b_group = a_group[root[len(ia) :]]
+        a_stop, b_stop = np.cumsum(n_a), np.cumsum(n_b)
+        n_groups = np.diff(a_group[a_stop - 1] + 1, prepend=0)
+        links = np.searchsorted(i, a_stop - 1, "right")
+        # a group's A ids stand before its B ids
+        a_last, b_last = np.append(first[1:], True), np.append(b_group[1:] != b_group[:-1], True)
+        b_kind = b_last.astype(int)
+        b_kind[b_stop - 1] = 2
+        stream = np.empty(len(ia) + len(ib), object)
+        stream[np.arange(len(ia)) + np.searchsorted(b_group, a_group)] = self.a_text[a_last.astype(int), ia]
+        stream[np.arange(len(ib)) + np.searchsorted(a_group, b_group, "right")] = self.b_text[b_kind, ib]
+        parts, stop = stream.tolist(), (a_stop + b_stop).tolist()
+        heads = np.stack([n_a, n_b, n_groups, np.diff(links, prepend=0)], axis=1).astype(np.int64).tobytes()
+        pairs, links = (ia[i] << 32 | ib[j]).tobytes(), (8 * links).tolist()
+        lo = link = 0
+        for k, (unit, hi, end) in enumerate(zip(at, stop, links, strict=True)):
+            out[unit] = heads[32 * k : 32 * k + 32], b"".join(parts[lo:hi]), pairs[link:end]
+            lo, link = hi, end
+        return out
 
     def learn(self, units: Iterable[str]) -> dict[str, tuple[bytes, bytes, bytes] | None]:
         """What is known of each unit; new ones are aligned, many at once."""
@@ -123,11 +144,8 @@ class Aligner:
         # a unit with a space in front gets that space from the model; before others its mark goes
         spaced = [r[0] == " " for r in raw]
         b_ids = self.b.encode([r[1:] if s else r for r, s in zip(raw, spaced, strict=True)], num_threads=1)
-        made = {}
-        for u, r, s, a, b in zip(new, raw, spaced, self.a.encode_batch(raw, add_special_tokens=False), b_ids, strict=True):
-            if r == " ":
-                b = [self.mark]
-            made[u] = self._aligned(r, a.ids, b if s else b[1:])
+        b_ids = [[self.mark] if r == " " else b if s else b[1:] for r, s, b in zip(raw, spaced, b_ids, strict=True)]
+        made = dict(zip(new, self._aligned(raw, [e.ids for e in self.a.encode_batch_fast(raw, add_special_tokens=False)], b_ids), strict=True))
         found = {u: young[u] if u in young else old[u] if u in old else made[u] for u in units}
         young.update((u, e) for u, e in found.items() if len(u) <= LONG)
         if len(young) > self.most:
@@ -137,7 +155,7 @@ class Aligner:
     def whole(self, text: str) -> tuple[bytes, bytes, bytes] | None:
         """A whole text as one unit."""
         b = self.b.encode(text, num_threads=1)
-        return self._aligned(" " + text, self.a.encode(" " + text, add_special_tokens=False).ids, b)
+        return self._aligned([" " + text], [self.a.encode(" " + text, add_special_tokens=False).ids], [b])[0]
 
 
 _aligners: dict[tuple[str, str], Aligner] = {}

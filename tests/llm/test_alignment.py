@@ -3,6 +3,7 @@ import itertools
 import random
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -78,11 +79,24 @@ def test_components_are_the_minimal_groups():
     for _ in range(300):
         n = rng.randrange(1, 40)
         a, b = (sorted({n, *(rng.randrange(1, n + 1) for _ in range(rng.randrange(0, 12)))}) for _ in range(2))
-        edges = al.overlaps(a, b)
+        i, j = al.overlaps(np.array(a), np.array(b))
         at = lambda ends, k: (ends[k - 1] if k else 0, ends[k])
-        assert sorted(edges) == [(i, j) for i in range(len(a)) for j in range(len(b)) if at(a, i)[0] < at(b, j)[1] and at(b, j)[0] < at(a, i)[1]]
-        found = al.components(edges, len(a), len(b))
-        assert [a[g[-1][0]] for g in found] == sorted(set(a) & set(b)) and sum(map(len, found)) == len(edges)
+        assert sorted(zip(i.tolist(), j.tolist())) == [(i, j) for i in range(len(a)) for j in range(len(b)) if at(a, i)[0] < at(b, j)[1] and at(b, j)[0] < at(a, i)[1]]
+        root = al.components(i, len(a) + j, len(a) + len(b))
+        ends = {r: max(e for e, x in zip(a, root) if x == r) for r in set(root.tolist())}
+        assert sorted(ends.values()) == sorted(set(a) & set(b)) and sorted(max(e for e, x in zip(b, root[len(a) :]) if x == r) for r in ends) == sorted(ends.values())
+
+
+def test_components_of_any_graph():
+    rng = np.random.default_rng(1)
+    for _ in range(100):
+        n = int(rng.integers(1, 30))
+        u, v = rng.integers(0, n, (2, int(rng.integers(0, 40))))
+        want = np.arange(n)
+        for _ in range(n):
+            for x, y in zip(u, v):
+                want[x] = want[y] = min(want[x], want[y])
+        assert (al.components(u, v, n) == want).all()
 
 
 @pytest.mark.parametrize("most_pairs", [1_000_000, 0])
