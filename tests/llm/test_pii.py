@@ -74,3 +74,41 @@ def test_digest(spark, tmp_path):
         assert r["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest()
         assert [r[f"n_{k}"] for k in pii.BASE] == [sum(w.startswith(k) for w in want) for k in pii.BASE]
         assert set(want) <= set(r["spans"].split(","))  or not want
+
+
+def test_long_keys_are_found_and_redacted(spark):
+    keys = ["a1" * 80, "k" * 60 + "9" + "Zx_" * 40, "q7-" * 1700]
+    texts = spark.createDataFrame([(k, f"token={key} end") for k, key in enumerate(keys)] + [(9, "password = b7db7aa4a5fcc78305")], "doc_id long, text string")
+    spans = {r["doc_id"]: r["s"] for r in pii.personal_data(texts).select("doc_id", pii.listed(pii.F.col("added")).alias("s")).collect()}
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(texts).collect()}
+    for k, key in enumerate(keys):
+        assert f"secret:6:{6 + len(key)}" in spans[k].split(",") and clean[k] == "token=[secret] end"
+
+
+def test_many_matches_in_one_text(spark):
+    parts = [x for k in range(7000) for x in (f"u{k}@é{k}.x.com", f"10.{k % 256}.0.1", "日本 and")]
+    text = " ".join(parts)
+    frame = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = pii.personal_data(frame).select(pii.listed(pii.F.col("base")).alias("s")).first()["s"].split(",")
+    assert got == brute(text) and len(got) > 7000
+    spans = sorted((int(s), int(e), k) for k, s, e in (x.split(":") for x in got))
+    want, at = "", 0
+    for s, e, k in spans:
+        want += text[at : max(at, s)] + (f"[{k}]" if e > at else "")
+        at = max(at, e)
+    assert pii.redact(frame).first()["text"] == want + text[at:]
+
+
+def test_candidates_that_overlap_base_spans_are_left_out(spark):
+    rng = np.random.default_rng(4)
+    frame, want = [], {}
+    for k in range(200):
+        cands = []
+        for _ in range(rng.integers(0, 12)):
+            s = int(rng.integers(0, 60))
+            cands.append((int(rng.integers(0, 5)), s, s + int(rng.integers(1, 9)), bool(rng.random() < 0.5), "1"))
+        frame.append((k, cands))
+        want[k] = sorted((c[0], c[1], c[2]) for c in cands if not c[3] and not any(b[3] and b[1] < c[2] and c[1] < b[2] for b in cands))
+    df = spark.createDataFrame(frame, f"k int, cands {pii._NONE}")
+    got = {r["k"]: sorted((c["kind"], c["start"], c["stop"]) for c in r["a"]) for r in df.select("k", pii._apart(pii.F.col("cands")).alias("a")).collect()}
+    assert got == want
