@@ -4,19 +4,30 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """The rows, written to the folder that driver and executors share (spark.checkpoint.dir), so that later jobs neither compute them again nor lose them with an executor. Where
-    the folder is unset and all runs in one process, as in tests, a local one is taken; on a cluster it must be set."""
-    sc = df.sparkSession.sparkContext
+def _shared(spark: SparkSession) -> str:
+    """The folder that driver and executors share (spark.checkpoint.dir). Where it is unset and all runs in one process, as in tests, a local one is taken; on a cluster it must be set."""
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
     if not sc.getCheckpointDir():
-        base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
-                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-            base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         sc.setCheckpointDir(base)
+    return base.rstrip("/")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """The name of a new folder in the shared one."""
+    return f"{_shared(spark)}/barloom-{name}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The rows, written to the shared folder, so that later jobs neither compute them again nor lose them with an executor."""
+    _shared(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -86,3 +86,20 @@ def incremental_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What two volume features add to two price features, over five folds."""
     rows = _rows(spark, sf_dir, [*BASE, *MORE])
     return rounded(learning.incremental_value(rows, BASE, MORE, "y", "next", models.symbol_folds(rows), learning.logistic()), 4)
+
+
+@query("stored_model")
+def stored_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The production model trained, saved, promoted and read back: its manifest, and how many of its predictions differ from the stored one's."""
+    from barloom.functions.lineage import shared_folder
+    from barloom.operators import artifacts, production
+
+    data = production.dataset(price_bars(spark, sf_dir))
+    root = shared_folder(spark, "models")
+    artifacts.train(data, root, "v1")
+    model, manifest = artifacts.load(spark, root)
+    again, _ = artifacts.load(spark, root, "v1")
+    both = model.transform(data).select("symbol", "ts", C("prediction").alias("p")).join(again.transform(data).select("symbol", "ts", C("prediction").alias("q")), ["symbol", "ts"])
+    seen = both.agg(F.count("*").alias("predicted"), F.count_if(C("p") != C("q")).alias("apart"))
+    told = artifacts.versions(spark, root).select("name", "version", F.size("features").alias("n_features"), "rows", "first", "last", F.round(C("metrics")["accuracy"], 4).alias("accuracy"), F.round(C("metrics")["brier"], 4).alias("brier"))
+    return told.where(C("version") == manifest["version"]).join(seen, F.lit(True))

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from barloom.plans.bars_sql import BARS
 from barloom.plans.registry import query
-from barloom.streaming import bars
+from barloom.sources import reports
+from barloom.streaming import bars, sinks
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -41,3 +42,16 @@ def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"))
     out = bars.sessions(e)
     return out.select("symbol", F.col("start").cast("timestamp_ntz").alias("start"), F.col("stop").cast("timestamp_ntz").alias("stop"), "n")
+
+
+@query(
+    "stream_reports",
+    """WITH c AS (SELECT event_type AS symbol, count(*) AS total_rows, count_if(value <= 0) AS wrong, count(ts) - count(DISTINCT ts) AS twice, CASE WHEN datediff('day', max(ts)::DATE, DATE '2024-02-01') > 5 THEN 1 ELSE 0 END AS old FROM events GROUP BY 1),
+r AS (SELECT symbol, total_rows, 'schema' AS rule, 'critical' AS severity, 0 AS affected FROM c UNION ALL SELECT symbol, total_rows, 'range', 'critical', wrong FROM c UNION ALL SELECT symbol, total_rows, 'order', 'critical', twice FROM c UNION ALL SELECT symbol, total_rows, 'freshness', 'warning', old FROM c)
+SELECT symbol, total_rows, rule, affected = 0 AS passed, severity, CAST(affected AS BIGINT) AS affected FROM r""",
+)
+def stream_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a stream into an idempotent table, and what the reports on its micro-batches say of each symbol."""
+    table, told, log = (_folder(spark, n) for n in ("bars", "reports", "bars-log"))
+    sinks.start(sinks.tick_bars(bars.event_ticks(spark, sf_dir)), table, log, told, at="2024-02-01 00:00:00").awaitTermination()
+    return reports.read_reports(spark, told).select("symbol", "total_rows", F.explode("results").alias("r")).select("symbol", "total_rows", "r.*")
