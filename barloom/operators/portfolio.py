@@ -7,7 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.functions.lineage import settled
 from barloom.functions.windows import div, last, ordered
+from barloom.operators import ledger
 
 C = F.col
 
@@ -139,59 +141,11 @@ def vector_backtest(prices: DataFrame, weights: DataFrame, *, cost: float = 5e-4
     return day.withColumn("net", C("gross") - cost * C("turnover"))
 
 
-_LEDGER = "equity double, cash double, ret double, turnover double, commission double, slippage double"
-_TRADE = "symbol string, side string, entry_ts timestamp_ntz, exit_ts timestamp_ntz, quantity double, entry_price double, exit_price double, pnl double, pnl_pct double, bars long"
-
-
-def backtest(bars: DataFrame, *, key: str = "strategy", capital: float = 100_000.0, commission: float = 5e-4, slippage: float = 5e-4, impact: float = 0.5) -> DataFrame:
+def backtest(bars: DataFrame, *, key: str = "strategy", capital: float = 100_000.0, commission: float = 5e-4, slippage: float = 5e-4, impact: float = 0.5, gate: ledger.Gate | None = None) -> DataFrame:
     """The books of each strategy over bars(key, symbol, ts, close, volume, weight): a row for each time (symbol null) with equity, cash, ret,
-    turnover, commission and slippage, and one for each closed part of a trade.
-
-    The weight of a bar is traded at the next one, in shares for the equity before that bar's trades; a part of the volume above a hundredth
-    slips more. What a bar trades depends on all before it, so each strategy is read in order, in a task of its own; all its
-    prices must fit there. Bars without a price are not traded and count nothing.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        name = pdf[key].iloc[0]
-        wide = {c: pdf.pivot(index="ts", columns="symbol", values=c).sort_index() for c in ("close", "volume", "weight")}
-        price, volume = wide["close"].to_numpy(), wide["volume"].to_numpy()
-        weight = np.vstack([np.zeros(price.shape[1]), wide["weight"].fillna(0.0).to_numpy()[:-1]])
-        symbols, times = list(wide["close"].columns), list(wide["close"].index)
-        cash, shares, books, trades, open_ = capital, np.zeros(len(symbols)), [], [], {}
-        before = capital
-        for i, p in enumerate(price):
-            known = p > 0
-            worth = lambda: float(np.nansum(np.where(np.isnan(p), 0.0, shares * p)))  # noqa: B023, E731
-            equity = cash + worth()
-            step = np.where(known, weight[i] * equity / np.where(known, p, 1.0) - shares, 0.0)
-            step[np.abs(step) < 1e-4] = 0.0
-            size = np.abs(step)
-            value = size * np.where(known, p, 0.0)
-            scale = np.where((volume[i] > 0) & (size > 0), np.maximum(1.0, (size / np.where(volume[i] > 0, volume[i], 1.0) / 0.01) ** impact), 1.0)
-            fee, slip = value * commission, value * slippage * scale
-            done = np.where(known, p, 0.0) + np.sign(step) * np.divide(slip, size, out=np.zeros_like(slip), where=size > 0)
-            cash -= float((step * done + fee).sum())
-            for j in np.flatnonzero(step):
-                now, t = shares[j] + step[j], open_.get(j)
-                if t and t[0] * step[j] < 0:
-                    part = min(t[3], size[j])
-                    pnl = part * (done[j] - t[2]) * t[0] - fee[j] - slip[j]
-                    trades.append((symbols[j], "LONG" if t[0] > 0 else "SHORT", times[t[1]], times[i], part, t[2], done[j], pnl, pnl / (part * t[2]) if t[2] > 0 else 0.0, max(1, i - t[1])))
-                    open_[j] = (t[0], t[1], t[2], abs(now))
-                    if abs(now) < 1e-4:
-                        del open_[j]
-                elif not t and abs(now) > 1e-4:
-                    open_[j] = (np.sign(now), i, done[j], abs(now))
-            shares = shares + step
-            after = cash + worth()
-            books.append((times[i], after, cash, after / before - 1 if before > 0 else 0.0, value.sum(), fee.sum(), slip.sum()))
-            before = after
-        names = ["ts", *(c.split()[0] for c in _LEDGER.split(", "))]
-        out = pd.concat([pd.DataFrame(books, columns=names), pd.DataFrame(trades, columns=[c.split()[0] for c in _TRADE.split(", ")])], ignore_index=True)
-        return out.assign(**{key: name})[[key, *out.columns]]
-
-    return bars.groupBy(key).applyInPandas(run, f"{key} string, ts timestamp_ntz, {_LEDGER}, {_TRADE}")
+    turnover, commission and slippage, and one for each closed part of a trade, by ledger.run() and ledger.trades()."""
+    books = settled(ledger.run(bars, key=key, capital=capital, commission=commission, slippage=slippage, impact=impact, gate=gate))
+    return books.drop("fills", "nth", "blocked", "resized").unionByName(ledger.trades(ledger.fills(books, key), key), allowMissingColumns=True)
 
 
 def derisked(forecast: Column, baseline: Column, *, spike: float = 1.5, least: float = 0.2) -> Column:
@@ -273,11 +227,13 @@ def expected_return(p: Column, volatility: Column, scale: float = 1.0) -> Column
 
 def rebalance_days(ret: DataFrame, unit: str = "month", skip: int = 126) -> DataFrame:
     """period_end and ts: the first time at or after the last day of each month, quarter or year, after the first `skip` times; if none is, the period has none."""
-    days = ret.select("ts").distinct().withColumn("_n", F.row_number().over(Window.orderBy("ts")))
+    days = ret.select("ts").distinct()
+    begun = days.orderBy("ts").offset(skip).limit(1).select(C("ts").alias("_from"))
+    late = days.join(F.broadcast(begun), C("ts") >= C("_from")).select("ts")
     end = F.last_day(F.date_trunc(unit, "ts").cast("date") + F.make_ym_interval(F.lit(0), F.lit({"month": 0, "quarter": 2, "year": 11}[unit])))
-    late = days.where(C("_n") > skip)
-    ends = late.select(end.alias("period_end")).distinct()
-    return ends.join(late, C("ts") >= C("period_end").cast("timestamp_ntz")).groupBy("period_end").agg(F.min("ts").alias("ts"))
+    each = late.withColumn("period_end", end).groupBy("period_end").agg(F.min("ts").alias("_first"), F.min(F.when(C("ts") >= C("period_end").cast("timestamp_ntz"), C("ts"))).alias("_at"))
+    # where a period has no time from its last day on, the next period's first is the one; a row for each period stands in that window
+    return each.withColumn("ts", F.coalesce("_at", F.lead("_first").over(Window.orderBy("period_end")))).where("ts is not null").select("period_end", "ts")
 
 
 ENDED = ("FILLED", "CANCELLED", "EXPIRED", "REJECTED")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.operators import features, metrics, models, nlp, policy, portfolio
+from barloom.operators import features, ledger, metrics, models, nlp, policy, portfolio
 from barloom.plans.analytics import RET
 from barloom.plans.bars_sql import BARS, full
 from barloom.plans.registry import query, rounded
@@ -64,28 +64,60 @@ def regime_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.volatility_regime(metrics.returns(event_bars(spark, sf_dir))).where("regime is not null").groupBy("symbol", "regime").agg(F.count("*").alias("n"))
 
 
-def _book(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two strategies over all symbols: those that rose over five bars, and those that fell, in equal parts."""
-    b = features.compute(event_bars(spark, sf_dir), ["mom_5d"]).select("symbol", "ts", "close", "volume", "mom_5d")
-    # values of events are no prices, and their numbers no shares: a price moves with a hundredth of the value, and orders don't move it
-    own = b.withColumns({"close": 100 + F.col("close") / 100, "volume": F.lit(1e15)}).withColumn("strategy", F.explode(F.array(F.lit("rising"), F.lit("falling"))))
+_RUN = f"""{BARS.replace("arg_max(value, ts) AS close", "100 + arg_max(value, ts) / 100 AS close")}, m AS (SELECT *, close / nullif(lag(close, 5) OVER (PARTITION BY symbol ORDER BY ts), 0) - 1 AS mom FROM bars),
+g AS (SELECT strategy, symbol, ts, close, volume, CASE WHEN (strategy = 'rising') = (mom > 0) THEN 0.1 ELSE 0.0 END AS weight FROM m, (SELECT unnest(['rising', 'falling']) AS strategy)),
+l AS (SELECT *, coalesce(lag(weight) OVER (PARTITION BY strategy, symbol ORDER BY ts), 0.0) AS w FROM g),
+grid AS (SELECT strategy, symbol, ts FROM (SELECT DISTINCT strategy, ts FROM g), (SELECT DISTINCT symbol FROM g)),
+t AS (SELECT strategy, ts, row_number() OVER (PARTITION BY strategy ORDER BY ts) AS i, list(symbol ORDER BY symbol) AS names, list(coalesce(close, 0) ORDER BY symbol) AS p, list(coalesce(volume, 0) ORDER BY symbol) AS v, list(coalesce(w, 0) ORDER BY symbol) AS w FROM grid LEFT JOIN l USING (strategy, symbol, ts) GROUP BY strategy, ts),
+b AS (SELECT DISTINCT strategy, CAST(0 AS BIGINT) AS i, 100000.0::DOUBLE AS cash, 100000.0::DOUBLE AS equity, 0.0::DOUBLE AS ret, 0.0::DOUBLE AS turnover, 0.0::DOUBLE AS slippage, list_transform(p, lambda x: 0.0::DOUBLE) AS shares, list_transform(p, lambda x: 0.0::DOUBLE) AS step, list_transform(p, lambda x: 0.0::DOUBLE) AS slip FROM t
+UNION ALL SELECT strategy, i, cash - list_dot_product(step, p) - list_sum(slip) - 5e-4 * turnover AS cash, cash - list_dot_product(step, p) - list_sum(slip) - 5e-4 * turnover + list_dot_product(list_transform(shares, lambda x, j: x + step[j]), p) AS equity,
+  (cash - list_dot_product(step, p) - list_sum(slip) - 5e-4 * turnover + list_dot_product(list_transform(shares, lambda x, j: x + step[j]), p)) / before - 1 AS ret, turnover, list_sum(slip) AS slippage, list_transform(shares, lambda x, j: x + step[j]) AS shares, step, slip
+FROM (SELECT *, list_dot_product(list_transform(step, lambda x: abs(x)), p) AS turnover, list_transform(step, lambda x, j: abs(x) * p[j] * 5e-4 * greatest(1, sqrt(CASE WHEN v[j] > 0 THEN abs(x) / v[j] / 0.01 ELSE 0 END))) AS slip
+  FROM (SELECT *, list_transform(shares, lambda x, j: CASE WHEN p[j] > 0 AND abs(w[j] * worth / p[j] - x) >= 1e-4 THEN w[j] * worth / p[j] - x ELSE 0 END) AS step
+    FROM (SELECT b.strategy, t.i, b.cash, b.equity AS before, b.shares, t.p, t.v, t.w, b.cash + list_dot_product(b.shares, t.p) AS worth FROM b JOIN t ON t.strategy = b.strategy AND t.i = b.i + 1))))"""
+
+
+def _priced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two strategies over all symbols: those that rose over five bars, and those that fell, in equal parts. A price moves with a hundredth of the events' value, as values of events are no
+    prices; volumes are the numbers of events, so that larger orders slip."""
+    b = features.compute(event_bars(spark, sf_dir).withColumn("close", 100 + F.col("close") / 100), ["mom_5d"]).select("symbol", "ts", "close", "volume", "mom_5d")
+    own = b.withColumn("strategy", F.explode(F.array(F.lit("rising"), F.lit("falling"))))
     weight = F.when((F.col("strategy") == "rising") == (F.col("mom_5d") > 0), 0.1).otherwise(0.0)
-    return portfolio.backtest(own.withColumn("weight", F.coalesce(weight, F.lit(0.0))).drop("mom_5d"))
+    return own.withColumn("weight", F.coalesce(weight, F.lit(0.0))).drop("mom_5d")
 
 
-@query("backtest_books")
+@query("backtest_books", f"WITH RECURSIVE {_RUN} SELECT strategy, ts, round(equity, 4) AS equity, round(cash, 4) AS cash, round(ret, 4) AS ret, round(turnover, 4) AS turnover, round(5e-4 * turnover, 4) AS commission, round(slippage, 4) AS slippage FROM b JOIN t USING (strategy, i)")
 def backtest_books(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_book(spark, sf_dir).where("symbol is null").select("strategy", "ts", "equity", "cash", "ret", "turnover", "commission", "slippage"), 4)
+    return rounded(ledger.run(_priced(spark, sf_dir)).select("strategy", "ts", "equity", "cash", "ret", "turnover", "commission", "slippage"), 4)
+
+
+@query("gated_books")
+def gated_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same strategies four times as large, with the risk gate: blocked and cut orders beside the books."""
+    big = _priced(spark, sf_dir).withColumn("weight", 4 * F.col("weight"))
+    return rounded(ledger.run(big, gate=ledger.Gate()).drop("fills", "nth"), 4)
 
 
 @query("backtest_performance")
 def backtest_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(metrics.performance(_book(spark, sf_dir).where("symbol is null").select("strategy", "ts", "ret"), "strategy"), 4)
+    return rounded(metrics.performance(ledger.run(_priced(spark, sf_dir)).select("strategy", "ts", "ret"), "strategy"), 4)
+
 
+_TRADES = f"""{_RUN}, u AS (SELECT strategy, i, ts, unnest(names) AS symbol, unnest(step) AS step, unnest(slip) AS slip, unnest(p) AS p FROM b JOIN t USING (strategy, i)),
+f AS (SELECT *, p + sign(step) * slip / abs(step) AS price, abs(step) * p * 5e-4 AS fee, sum(step) OVER (PARTITION BY strategy, symbol ORDER BY i) AS s FROM u WHERE step <> 0),
+h AS (SELECT *, CASE WHEN abs(s) < 1e-4 THEN 0 ELSE s END AS now, coalesce(lag(CASE WHEN abs(s) < 1e-4 THEN 0 ELSE s END) OVER (PARTITION BY strategy, symbol ORDER BY i), 0) AS held FROM f),
+o AS (SELECT *, CASE WHEN now <> 0 AND sign(now) <> sign(held) THEN i END AS opened, CASE WHEN now <> 0 AND sign(now) <> sign(held) THEN price END AS paid FROM h),
+e AS (SELECT *, last_value(opened IGNORE NULLS) OVER q AS entry, last_value(paid IGNORE NULLS) OVER q AS entry_price FROM o WINDOW q AS (PARTITION BY strategy, symbol ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+tr AS (SELECT strategy, greatest(1, i - entry) AS bars, least(abs(step), abs(held)) * (price - entry_price) * sign(held) - fee - slip AS pnl FROM e WHERE held * step < 0 AND entry IS NOT NULL)"""
 
-@query("backtest_trades")
+
+@query(
+    "backtest_trades",
+    f"""WITH RECURSIVE {_TRADES}, a AS (SELECT strategy, count(*) AS n_trades, count_if(pnl > 0) AS n_wins, count_if(pnl < 0) AS n_losses, coalesce(sum(pnl) FILTER (pnl > 0), 0) AS gain, coalesce(-sum(pnl) FILTER (pnl < 0), 0) AS lost, avg(pnl) AS mean_pnl, coalesce(avg(pnl) FILTER (pnl > 0), 0) AS mean_win, coalesce(avg(pnl) FILTER (pnl < 0), 0) AS mean_loss, max(pnl) AS best, min(pnl) AS worst, avg(bars) AS mean_bars, max(bars) AS longest_bars FROM tr GROUP BY strategy)
+SELECT strategy, n_trades, n_wins, n_losses, round(100 * n_wins / n_trades, 2) AS win_rate_pct, round(CASE WHEN lost > 0 THEN gain / lost WHEN gain > 0 THEN gain ELSE 1 END, 2) AS profit_factor, round(mean_pnl, 2) AS mean_pnl, round(mean_win, 2) AS mean_win, round(mean_loss, 2) AS mean_loss, round(CASE WHEN mean_loss <> 0 THEN abs(mean_win / mean_loss) ELSE mean_win END, 2) AS payoff, round(best, 2) AS best, round(worst, 2) AS worst, round(mean_bars, 2) AS mean_bars, longest_bars FROM a""",
+)
 def backtest_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(portfolio.trade_statistics(_book(spark, sf_dir).where("symbol is not null")), 2)
+    return rounded(portfolio.trade_statistics(ledger.trades(ledger.fills(ledger.run(_priced(spark, sf_dir))))), 2)
 
 
 @query("sharpe_differences")
