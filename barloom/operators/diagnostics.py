@@ -94,6 +94,16 @@ def portmanteau(acf: DataFrame, lags: int, alpha: float = 0.05) -> DataFrame:
     return q.withColumn("p_value", chi_square_above(C("q"), lags)).withColumn("dependent", C("p_value") < alpha)
 
 
+def dependence(acf: DataFrame, lags: tuple[int, ...] = (10, 20), alpha: float = 0.05, least: int = 20) -> DataFrame:
+    """symbol, lags and p_values (arrays), any_lag and all_lags (some, or each, of the Ljung-Box tests over these numbers of lags rejects) of the symbols with `least` values or more. Returns count as
+    autocorrelated if any test rejects; volatility, of squared returns, as clustered only if all do."""
+    out = acf.where(C("n") >= least).select("symbol").distinct()
+    for k in lags:
+        out = out.join(portmanteau(acf, k, alpha).select("symbol", C("p_value").alias(f"_{k}")), "symbol")
+    p = F.array(*(C(f"_{k}") for k in lags))
+    return out.select("symbol", F.lit(list(lags)).alias("lags"), p.alias("p_values"), F.exists(p, lambda x: x < alpha).alias("any_lag"), F.forall(p, lambda x: x < alpha).alias("all_lags"))
+
+
 def variance_ratios(prices: DataFrame, horizons: tuple[int, ...] = (2, 5, 10, 20), price: str = "close") -> DataFrame:
     """symbol, k, ratio, z, z_robust, p_value (of z_robust) and verdict of overlapping k-bar log returns; symbols of under 30 returns, and horizons
     of half the sample or more, are left out."""

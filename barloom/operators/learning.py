@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.lineage import settled
-from barloom.operators import diagnostics, models
+from barloom.operators import models
 
 C = F.col
 Learner = Callable[[], object]
@@ -128,7 +128,7 @@ def incremental_value(df: DataFrame, base: list[str], more: list[str], label: st
     rows = rows.withColumns({"held": side("p"), "held_more": side("q")})
     hit = lambda p: F.avg(((C(p) >= 0.5).cast("int") == C("y")).cast("double"))
     sums = rows.groupBy("symbol").agg(F.count("*").alias("n"), hit("p").alias("accuracy_base"), hit("q").alias("accuracy_more"), F.avg(F.pow(C("p") - C("y"), 2)).alias("brier_base"), F.avg(F.pow(C("q") - C("y"), 2)).alias("brier_more"), models._sharpe("held").alias("sharpe_base"), models._sharpe("held_more").alias("sharpe_more"))
-    loss = models.diebold_mariano(rows).select("symbol", "statistic", diagnostics.two_sided(C("statistic")).alias("p_value"))
+    loss = models.diebold_mariano(rows).select("symbol", "statistic", models.student_p(C("statistic"), C("n") - 1).alias("p_value"))
     apart = models.sharpe_difference(rows, "held_more", "held", paths=paths).select("symbol", "low", "high")
     out = sums.join(loss, "symbol").join(apart, "symbol", "left").withColumn("sharpe_delta", C("sharpe_more") - C("sharpe_base"))
     sure = (F.coalesce(C("p_value"), F.lit(1.0)) < 0.05) | (F.coalesce(C("low"), F.lit(-1.0)) > 0)

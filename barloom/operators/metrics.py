@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -168,6 +170,13 @@ def volatility_regime(ret: DataFrame, n: int = 20, low: float = 1 / 3, high: flo
     return out.drop("_v", "_lo", "_hi")
 
 
+def median_regime(ret: DataFrame, n: int = 21, quantile: float = 0.5) -> DataFrame:
+    """ret with volatility (yearly, in percent, of the last n returns) and wild (above its quantile over the whole sample, so it looks ahead: for reports only)."""
+    w = Window.partitionBy("symbol").orderBy("ts").rowsBetween(-(n - 1), 0)
+    v = ret.withColumn("volatility", F.when(F.count("ret").over(w) == n, F.stddev_samp("ret").over(w) * math.sqrt(YEAR) * 100))
+    return v.join(v.groupBy("symbol").agg(F.percentile("volatility", quantile).alias("_q")), "symbol").withColumn("wild", C("volatility") > C("_q")).drop("_q")
+
+
 def strategy_returns(df: DataFrame, prediction: str = "p", future: str = "next", *, long_only: bool = False) -> DataFrame:
     """df with ret: the future return times the position of a prediction (1: long, 0: short, or flat if long_only; else flat); rows without a
     prediction or return are left out."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from collections.abc import Callable
 
 import numpy as np
@@ -117,11 +119,50 @@ def persistence(folded: DataFrame, label: str = "y") -> DataFrame:
     return folded.withColumn("p", before.cast("double")).where("part = 'test'")
 
 
-def diebold_mariano(df: DataFrame, *, lags: int = 0) -> DataFrame:
-    """symbol, n, mean loss difference and statistic of two forecasts (y, p, q) by squared error, with Bartlett weights up to `lags` and the
-    small-sample factor."""
+LOSSES = {
+    "brier": lambda y, p: F.pow(p - y, 2),
+    "logloss": lambda y, p: -(y * F.log(F.greatest(F.lit(1e-7), F.least(F.lit(1 - 1e-7), p))) + (1 - y) * F.log(1 - F.greatest(F.lit(1e-7), F.least(F.lit(1 - 1e-7), p)))),
+    "directional": lambda y, p: ((p >= 0.5).cast("double") != y.cast("double")).cast("double"),
+}
+
+
+def student_two_sided(t: float, freedom: float) -> float:
+    """The probability of a Student-t value at least as far from 0, by the continued fraction of the incomplete beta function."""
+    x = freedom / (freedom + t * t)
+    a, b = freedom / 2, 0.5
+    if x >= 1:
+        return 1.0
+    turned = x > (a + 1) / (a + b + 2)
+    if turned:
+        a, b, x = b, a, 1 - x
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1))
+    out = d
+    for m in range(1, 300):
+        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / (1 + num * d)
+            c = 1 + num / c
+            out *= c * d
+        if abs(c * d - 1) < 1e-14:
+            break
+    return 1 - front * out if turned else front * out
+
+
+def student_p(t: Column | str, freedom: Column) -> Column:
+    """Two-sided p-values of a statistic."""
+
+    @F.pandas_udf("double")
+    def p(t: pd.Series, freedom: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(v) else student_two_sided(float(v), float(f)) for v, f in zip(t, freedom, strict=True)], dtype="float64")
+
+    return p(t, freedom)
+
+
+def diebold_mariano(df: DataFrame, *, lags: int = 0, loss: str = "brier") -> DataFrame:
+    """symbol, n, mean loss difference and statistic of two forecasts (y, p, q) by squared error (or logloss, or directional: whether the side is wrong), with Bartlett weights up to `lags` and
+    the small-sample factor. student_p(statistic, n - 1) is the p-value."""
     w = Window.partitionBy("symbol").orderBy("ts")
-    d = df.select("symbol", "ts", (F.pow(C("p") - C("y"), 2) - F.pow(C("q") - C("y"), 2)).alias("d"))
+    d = df.select("symbol", "ts", (LOSSES[loss](C("y"), C("p")) - LOSSES[loss](C("y"), C("q"))).alias("d"))
     off = d.withColumn("e", C("d") - F.avg("d").over(Window.partitionBy("symbol")))
     off = off.withColumns({f"e{k}": F.lag("e", k).over(w) for k in range(1, lags + 1)})
     gamma = [F.sum(C("e") * C("e")) / F.count("e"), *(F.sum(C("e") * C(f"e{k}")) / F.count("e") for k in range(1, lags + 1))]

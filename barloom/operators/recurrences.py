@@ -7,7 +7,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+C = F.col
 
 
 def ema(x: np.ndarray, span: int) -> np.ndarray:
@@ -59,3 +62,23 @@ def _kernel(pdf: pd.DataFrame) -> pd.DataFrame:
 def recurrences(bars: DataFrame) -> DataFrame:
     """symbol, ts, ema_20, rsi_wilder_14, atr_14, macd_line, macd_signal. Close, high and low must not be null."""
     return bars.select("symbol", "ts", "close", "high", "low").groupBy("symbol").applyInPandas(_kernel, "symbol string, ts timestamp_ntz, ema_20 double, rsi_wilder_14 double, atr_14 double, macd_line double, macd_signal double")
+
+
+def derived(bars: DataFrame, *, low: float = 30.0, high: float = 70.0, windows: tuple[int, ...] = (20, 50)) -> DataFrame:
+    """symbol, ts and what follows from recurrences(): of MACD the histogram, its share of the price, whether it is bullish (line above signal) and where that turns; of RSI the reversion signal (1
+    below `low`, -1 above `high`, else 0) and the stretch from the middle; and the price's distance from its means in true ranges. Null in the warm-up, but for the turns, which are 0."""
+    w = Window.partitionBy("symbol").orderBy("ts")
+    both = recurrences(bars).join(bars.select("symbol", "ts", "close"), ["symbol", "ts"])
+    line, signal, rsi_ = C("macd_line"), C("macd_signal"), C("rsi_wilder_14")
+    both = both.withColumn("macd_bullish", F.when(line.isNotNull() & signal.isNotNull(), (line > signal).cast("double")))
+    out = both.withColumns(
+        {
+            "macd_hist": line - signal, "macd_norm": F.try_divide(line, C("close")), "macd_cross": F.coalesce(C("macd_bullish") - F.lag("macd_bullish").over(w), F.lit(0.0)),
+            "rsi_reversion_signal": F.when(rsi_ < low, 1.0).when(rsi_ > high, -1.0).when(rsi_.isNotNull(), 0.0), "rsi_stretch": (rsi_ - 50) / 50,
+        }
+    )
+    for n in windows:
+        near = w.rowsBetween(-(n - 1), 0)
+        mean = F.when(F.count("close").over(near) == n, F.avg("close").over(near))
+        out = out.withColumn(f"ma_dist_atr_{n}", F.when((C("atr_14") == 0) & (C("close") == mean), 0.0).otherwise(F.try_divide(C("close") - mean, C("atr_14"))))
+    return out.select("symbol", "ts", "macd_hist", "macd_norm", "macd_bullish", "macd_cross", "rsi_reversion_signal", "rsi_stretch", *(f"ma_dist_atr_{n}" for n in windows))

@@ -228,18 +228,35 @@ def performance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics.performance(metrics.returns(event_bars(spark, sf_dir))), 4)
 
 
-@query(
-    "recurrences",
-    f"""WITH RECURSIVE {BARS}, b AS (SELECT *, row_number() OVER {W} AS i, {lag('close')} AS before FROM bars),
+_RECURRED = f"""{BARS}, b AS (SELECT *, row_number() OVER {W} AS i, {lag('close')} AS before FROM bars),
 c AS (SELECT *, greatest(high - low, abs(high - before), abs(low - before)) AS tr, greatest(close - before, 0) AS up, greatest(before - close, 0) AS down FROM b),
 s AS (SELECT *, avg(tr) OVER {frame(14)} AS tr14, avg(up) OVER {frame(14)} AS up14, avg(down) OVER {frame(14)} AS down14 FROM c),
 e AS (SELECT symbol, i, ts, close AS e20, close AS e12, close AS e26, CAST(NULL AS DOUBLE) AS sig, CAST(NULL AS DOUBLE) AS atr, CAST(NULL AS DOUBLE) AS u, CAST(NULL AS DOUBLE) AS d FROM s WHERE i = 1
   UNION ALL SELECT s.symbol, s.i, s.ts, e.e20 * (1 - 2 / 21.0) + s.close * 2 / 21.0, e.e12 * (1 - 2 / 13.0) + s.close * 2 / 13.0, e.e26 * (1 - 2 / 27.0) + s.close * 2 / 27.0,
     CASE WHEN s.i < 26 THEN NULL WHEN s.i = 26 THEN e.e12 * (1 - 2 / 13.0) + s.close * 2 / 13.0 - e.e26 * (1 - 2 / 27.0) - s.close * 2 / 27.0 ELSE e.sig * 0.8 + 0.2 * (e.e12 * (1 - 2 / 13.0) + s.close * 2 / 13.0 - e.e26 * (1 - 2 / 27.0) - s.close * 2 / 27.0) END,
     CASE WHEN s.i < 14 THEN NULL WHEN s.i = 14 THEN s.tr14 ELSE (e.atr * 13 + s.tr) / 14 END, CASE WHEN s.i < 15 THEN NULL WHEN s.i = 15 THEN s.up14 ELSE (e.u * 13 + s.up) / 14 END, CASE WHEN s.i < 15 THEN NULL WHEN s.i = 15 THEN s.down14 ELSE (e.d * 13 + s.down) / 14 END
-  FROM e JOIN s ON s.symbol = e.symbol AND s.i = e.i + 1)
+  FROM e JOIN s ON s.symbol = e.symbol AND s.i = e.i + 1)"""
+
+
+@query(
+    "recurrences",
+    f"""WITH RECURSIVE {_RECURRED}
 SELECT symbol, ts, round(e20, 6) AS ema_20, round(CASE WHEN d = 0 THEN CASE WHEN u = 0 THEN 50 ELSE 100 END ELSE 100 - 100 / (1 + u / d) END, 6) AS rsi_wilder_14, round(atr, 6) AS atr_14,
   round(CASE WHEN i >= 26 THEN e12 - e26 END, 6) AS macd_line, round(CASE WHEN i >= 34 THEN sig END, 6) AS macd_signal FROM e""",
 )
 def recurrence_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(recurrences.recurrences(event_bars(spark, sf_dir)))
+
+
+_DIST = ", ".join(f"round(CASE WHEN atr = 0 AND close = {full('avg(close)', 'close', n)} THEN 0 ELSE (close - {full('avg(close)', 'close', n)}) / nullif(atr, 0) END, 6) AS ma_dist_atr_{n}" for n in (20, 50))
+
+
+@query(
+    "recurrence_features",
+    f"""WITH RECURSIVE {_RECURRED}, g AS (SELECT symbol, ts, close, atr, CASE WHEN e.i >= 26 THEN e12 - e26 END AS line, CASE WHEN e.i >= 34 THEN sig END AS signal, CASE WHEN d = 0 THEN CASE WHEN u = 0 THEN 50 ELSE 100 END ELSE 100 - 100 / (1 + u / d) END AS rsi FROM e JOIN b USING (symbol, ts)),
+h AS (SELECT *, CASE WHEN line > signal THEN 1.0 WHEN line <= signal THEN 0.0 END AS bullish FROM g)
+SELECT symbol, ts, round(line - signal, 6) AS macd_hist, round(line / nullif(close, 0), 6) AS macd_norm, CAST(bullish AS DOUBLE) AS macd_bullish, CAST(coalesce(bullish - {lag('bullish')}, 0.0) AS DOUBLE) AS macd_cross,
+  CAST(CASE WHEN rsi < 30 THEN 1.0 WHEN rsi > 70 THEN -1.0 WHEN rsi IS NOT NULL THEN 0.0 END AS DOUBLE) AS rsi_reversion_signal, round((rsi - 50) / 50, 6) AS rsi_stretch, {_DIST} FROM h""",
+)
+def recurrence_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(recurrences.derived(event_bars(spark, sf_dir)))

@@ -57,6 +57,23 @@ def portmanteau(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(diagnostics.portmanteau(diagnostics.correlogram(_returns(spark, sf_dir)), 10), 4)
 
 
+def _dependence_sql(name: str, x: str) -> str:
+    return f"""m_{name} AS (SELECT symbol, ts, {x} - avg({x}) OVER (PARTITION BY symbol) AS d, row_number() OVER {W} AS i FROM ret), v_{name} AS (SELECT symbol, sum(d * d) AS v, count(*) AS n FROM m_{name} GROUP BY symbol),
+a_{name} AS (SELECT a.symbol, v.n, l.lag, sum(a.d * b.d) / any_value(v.v) AS acf FROM m_{name} a JOIN l ON true JOIN m_{name} b ON a.symbol = b.symbol AND a.i = b.i + l.lag JOIN v_{name} v ON v.symbol = a.symbol GROUP BY 1, 2, 3),
+q_{name} AS (SELECT '{name}' AS series, symbol, n, sum(n * (n + 2) * acf * acf / (n - lag)) FILTER (lag <= 10) AS q10, sum(n * (n + 2) * acf * acf / (n - lag)) AS q20 FROM a_{name} GROUP BY symbol, n)"""
+
+
+_DEPENDENT = " UNION ALL ".join(f"SELECT series, symbol, {_above('q10', 10)} < 0.05 OR {_above('q20', 20)} < 0.05 AS any_lag, {_above('q10', 10)} < 0.05 AND {_above('q20', 20)} < 0.05 AS all_lags FROM q_{n} WHERE n >= 20" for n in ("raw", "squared"))
+
+
+@query("dependence", f"WITH {RET}, l AS (SELECT unnest(range(1, 21)) AS lag), {_dependence_sql('raw', 'ret')}, {_dependence_sql('squared', 'ret * ret')} {_DEPENDENT}")
+def dependence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether any, or each, of the tests over 10 and 20 lags finds returns (raw) or their squares (squared) dependent."""
+    ret = _returns(spark, sf_dir)
+    each = [diagnostics.dependence(diagnostics.correlogram(diagnostics.proxies(ret), c, 20)).select(F.lit(n).alias("series"), "symbol", "any_lag", "all_lags") for n, c in (("raw", "ret"), ("squared", "squared"))]
+    return each[0].unionByName(each[1])
+
+
 def _ratio_sql(k: int) -> str:
     theta = " + ".join(f"({2 * (k - j) / k!r}) ^ 2 * d{j}" for j in range(1, k))
     return f"SELECT symbol, {k} AS k, n, v{k} / ({k} * (n - {k} + 1) * (1 - {k} / n)) / (s / (n - 1)) AS ratio, sqrt(2.0 * {(2 * k - 1) * (k - 1)} / (3.0 * {k} * n)) AS plain, sqrt(({theta}) / (s * s)) AS robust FROM g WHERE n >= 30 AND {k} < n // 2"

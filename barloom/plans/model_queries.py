@@ -45,6 +45,38 @@ def forecast_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(models.diebold_mariano(_labelled(spark, sf_dir), lags=1), rough=("statistic",))
 
 
+def _loss_sql(name: str, form: str) -> str:
+    return f"SELECT '{name}' AS loss, symbol, ts, {form.format(p='p')} - {form.format(p='q')} AS d FROM s"
+
+
+_CLIP = "least(greatest({p}, 1e-7), 1 - 1e-7)"
+_LOSSES = " UNION ALL ".join((_loss_sql("brier", "({p} - y) ^ 2"), _loss_sql("logloss", f"-(y * ln({_CLIP}) + (1 - y) * ln(1 - {_CLIP}))"), _loss_sql("directional", "CASE WHEN CAST({p} >= 0.5 AS INTEGER) = y THEN 0 ELSE 1 END")))
+
+
+@query(
+    "forecast_losses",
+    f"""WITH {_XY}, d AS ({_LOSSES}), v AS (SELECT loss, symbol, count(*) AS n, avg(d) AS m, var_pop(d) AS g FROM d GROUP BY 1, 2)
+SELECT loss, symbol, n, round(m, 6) AS mean, round(sqrt((n - 1.0) / n) * m / sqrt(g / n), 4) AS statistic FROM v""",
+)
+def forecast_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The comparison of two forecasts by three losses."""
+    rows = _labelled(spark, sf_dir)
+    out = None
+    for loss in ("brier", "logloss", "directional"):
+        one = models.diebold_mariano(rows, loss=loss).select(F.lit(loss).alias("loss"), "*")
+        out = one if out is None else out.unionByName(one)
+    return rounded(out, rough=("statistic",))
+
+
+@query(
+    "volatility_halves",
+    f"""WITH {RET}, v AS (SELECT *, {full('stddev_samp(ret)', 'ret', 21)} * sqrt(252) * 100 AS v FROM ret), q AS (SELECT symbol, quantile_cont(v, 0.5) AS q FROM v GROUP BY symbol)
+SELECT symbol, ts, round(v, 4) AS volatility, v > q AS wild FROM v JOIN q USING (symbol) WHERE v IS NOT NULL""",
+)
+def volatility_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(metrics.median_regime(metrics.returns(event_bars(spark, sf_dir))).where("volatility is not null").select("symbol", "ts", "volatility", "wild"), 4)
+
+
 def _folds_sql(rows: str, rolling: bool) -> str:
     """Common table expressions over rows(symbol, ts, ..): parts(.., fold, part), 100 rows or more of training, an embargo of 5."""
     start = "lo - 105" if rolling else "0"
