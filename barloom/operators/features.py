@@ -263,3 +263,14 @@ def cross_momentum(bars: DataFrame, n: int = 252, skip: int = 21) -> DataFrame:
 def target(x: Column, horizon: int = 1) -> Column:
     """What comes `horizon` rows later, relative to now."""
     return div(F.lead(x, horizon).over(ordered()) - x, x)
+
+
+def chart_rows(bars: DataFrame, n: int = 30, digits: int = 2) -> DataFrame:
+    """symbol, ts, prices and volume of the last n bars of each symbol, with means over 20 and 60 bars and bands of two deviations. The windows begin at the first of these bars and take what there is, and all is rounded to
+    `digits` places."""
+    w = Window.partitionBy("symbol")
+    late = bars.withColumn("_nth", F.row_number().over(w.orderBy(F.desc("ts")))).where(C("_nth") <= n)
+    near = lambda k: w.orderBy("ts").rowsBetween(-(k - 1), 0)
+    mean, dev = F.avg("close").over(near(20)), F.coalesce(F.stddev_samp("close").over(near(20)), F.lit(0.0))
+    two = lambda c, name: F.round(c, digits).alias(name)
+    return late.select("symbol", "ts", *(two(C(c), c) for c in ("open", "high", "low", "close")), "volume", two(mean, "sma20"), two(F.avg("close").over(near(60)), "sma60"), two(mean + 2 * dev, "bb_upper"), two(mean - 2 * dev, "bb_lower"))

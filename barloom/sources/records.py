@@ -92,6 +92,26 @@ def read_events(spark: SparkSession, root: str, date: str | None = None) -> Data
     return rows if date is None else rows.where(C("date") == F.lit(date).cast("date"))
 
 
+def event_page(events: DataFrame, kind: str | None = None, ticker: str | None = None, *, limit: int = 50, offset: int = 0) -> tuple[DataFrame, int]:
+    """(a page of the events of a kind and ticker, oldest first, their number before paging). The ticker stands in the events' data."""
+    if not 1 <= limit <= 500 or offset < 0:
+        raise ValueError("limit from 1 to 500, offset from 0")
+    rows = events
+    if kind is not None:
+        rows = rows.where(C("kind") == kind.upper())
+    if ticker is not None:
+        rows = rows.where(F.upper(F.get_json_object("data", "$.ticker")) == ticker.upper())
+    return rows.orderBy("timestamp", "kind", "message", "data").offset(offset).limit(limit), rows.count()
+
+
+def decision_summary(events: DataFrame) -> DataFrame:
+    """kind, status, direction, ticker, rule and n of the log, with the totals over every one of them alone (the others null); what an event's data do not tell is 'none'."""
+    told = {"status": "$.status", "direction": "$.direction", "ticker": "$.ticker", "rule": "$.rule"}
+    rows = events.select("kind", *(F.coalesce(F.upper(F.get_json_object("data", p)), F.lit("none")).alias(c) for c, p in told.items()))
+    sets = [[C(c)] for c in ("kind", *told)] + [[C(c) for c in ("kind", *told)]]
+    return rows.groupingSets(sets, C("kind"), *(C(c) for c in told)).agg(F.count("*").alias("n"))
+
+
 def event_summary(events: DataFrame) -> DataFrame:
     """date, kind, severity and n of the log."""
     return events.groupBy("date", "kind", "severity").agg(F.count("*").alias("n"))

@@ -5,7 +5,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.operators import diagnostics, metrics, models, recurrences
+from barloom.operators import diagnostics, features, metrics, models, recurrences
+from barloom.sources import records
 
 AT = dt.datetime(2024, 1, 1)
 
@@ -71,3 +72,24 @@ def test_turns_and_stretches(spark):
         else:
             assert r["rsi_reversion_signal"] == (1 if b["rsi_wilder_14"] < 30 else -1 if b["rsi_wilder_14"] > 70 else 0) and math.isclose(r["rsi_stretch"], (b["rsi_wilder_14"] - 50) / 50)
         assert r["ma_dist_atr_20"] is None if k < 19 else math.isclose(r["ma_dist_atr_20"], (close[k] - close[k - 19 : k + 1].mean()) / b["atr_14"])
+
+
+def test_pages_and_summaries_of_the_log(spark):
+    rows = [(f"2024-01-0{k + 1}", "RISK_DECISION" if k % 2 else "ORDER_SUBMITTED", "info", f"m{k}", '{"ticker": "%s", "status": "approved", "rule": "NONE"}' % ("aapl" if k < 4 else "MSFT")) for k in range(7)] + [("2024-01-09", "SYSTEM_EVENT", "info", "up", None)]
+    log = spark.createDataFrame(rows, "timestamp string, kind string, severity string, message string, data string")
+    page, total = records.event_page(log, "risk_decision", "aapl", limit=1, offset=1)
+    assert total == 2 and [r["message"] for r in page.collect()] == ["m3"]
+    page, total = records.event_page(log, limit=500)
+    assert total == 8 and page.count() == 8
+    with pytest.raises(ValueError):
+        records.event_page(log, limit=501)
+    got = [tuple(r) for r in records.decision_summary(log).collect()]
+    assert ("RISK_DECISION", None, None, None, None, 3) in got and (None, None, None, "AAPL", None, 4) in got and (None, "APPROVED", None, None, None, 7) in got and ("SYSTEM_EVENT", "none", "none", "none", "none", 1) in got
+
+
+def test_chart_rows_begin_with_what_there_is(spark):
+    df = spark.createDataFrame([("a", AT + dt.timedelta(hours=k), 1.0, 1.0, 1.0, float(k * k), 5.0) for k in range(40)], "symbol string, ts timestamp_ntz, open double, high double, low double, close double, volume double")
+    rows = features.chart_rows(df, 25).orderBy("ts").collect()
+    c = np.array([k * k for k in range(15, 40)], float)
+    assert len(rows) == 25 and rows[0]["sma20"] == 225 == rows[0]["bb_upper"] and rows[1]["bb_upper"] == round(c[:2].mean() + 2 * c[:2].std(ddof=1), 2)
+    assert rows[24]["sma20"] == round(c[5:].mean(), 2) and rows[24]["sma60"] == round(c.mean(), 2)
