@@ -10,7 +10,7 @@ from barloom.operators import models as models_
 from barloom.plans.analytics import _ACF, _PAIR_Z, RET
 from barloom.plans.bars_sql import BARS, W, full, lag
 from barloom.plans.model_queries import _XY, _labelled
-from barloom.plans.registry import query, rounded
+from barloom.plans.registry import oracle_sql, query, rounded
 from barloom.sources.bars import event_bars
 
 
@@ -47,7 +47,14 @@ def correlogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(diagnostics.correlogram(_returns(spark, sf_dir)).drop("pacf", "pacf_half"))
 
 
-@query("partial_autocorrelation")
+@query(
+    "partial_autocorrelation",
+    f"""WITH RECURSIVE {_ACF}, c AS (SELECT symbol, any_value(n) AS n, list_prepend(1.0, list(acf * n / (n - lag) ORDER BY lag)) AS c FROM acf GROUP BY symbol),
+p AS (SELECT symbol, n, c, 1 AS lag, [c[2]] AS phi FROM c
+  UNION ALL SELECT symbol, n, c, lag + 1, list_append(list_transform(phi, lambda x, j: x - last * phi[lag + 1 - j]), last)
+  FROM (SELECT *, (c[lag + 2] - list_sum(list_transform(phi, lambda x, j: x * c[lag + 2 - j]))) / (1 - list_sum(list_transform(phi, lambda x, j: x * c[j + 1]))) AS last FROM p WHERE lag < 10))
+SELECT symbol, CAST(lag AS INTEGER) AS lag, round(phi[lag], 6) AS pacf, round(1.959963984540054 / sqrt(n), 6) AS pacf_half FROM p""",
+)
 def partial_autocorrelation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(diagnostics.correlogram(_returns(spark, sf_dir)).select("symbol", "lag", "pacf", "pacf_half"))
 
@@ -134,7 +141,10 @@ def kpss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(diagnostics.kpss(event_bars(spark, sf_dir)), 4)
 
 
-@query("stationarity")
+_BOTH_ROOTS = f"SELECT symbol, a.stationary AS adf, k.stationary AS kpss, CASE WHEN a.stationary AND k.stationary THEN 'stationary' WHEN NOT a.stationary AND NOT k.stationary THEN 'non-stationary' WHEN a.stationary THEN 'difference-stationary' ELSE 'trend-stationary' END AS verdict FROM ({oracle_sql()['dickey_fuller']}) a JOIN ({oracle_sql()['kpss']}) k USING (symbol)"
+
+
+@query("stationarity", _BOTH_ROOTS)
 def stationarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diagnostics.stationarity(event_bars(spark, sf_dir))
 
