@@ -50,7 +50,7 @@ _POWER, _UNDER = (np.cumprod(np.array([1, *[x] * _LONG], np.uint64)) for x in (_
 class Segmenter:
     """Segmentations of texts by a SentencePiece model file, best first."""
 
-    def __init__(self, path: str, n_best: int = 3, most_words: int = 500_000):
+    def __init__(self, path: str, n_best: int = 3, most_words: int = 300_000):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
