@@ -158,6 +158,15 @@ def cross_reference(ranks: DataFrame, df: DataFrame, features: list[str], label:
     return out.withColumn("lift", C("corr_rank") - C("shap_rank"))
 
 
+def rules(model, features: list[str]) -> list[tuple[str, float, float]]:
+    """(conditions, value, share of the training rows) of every leaf of a fitted tree or ensemble, in words."""
+    out = []
+    for leaf in leaves(model):
+        parts = [f"{features[f]} > {lo:g}" for f, lo in zip(leaf.features, leaf.low, strict=True) if lo > -math.inf] + [f"{features[f]} <= {hi:g}" for f, hi in zip(leaf.features, leaf.high, strict=True) if hi < math.inf]
+        out.append((" and ".join(sorted(parts)) or "always", leaf.value, float(np.prod(leaf.share))))
+    return out
+
+
 def tree_importance(df: DataFrame, features: list[str], label: str, *, depth: int = 5, regression: bool = False, seed: int = 42) -> DataFrame:
     """feature and importance (shares of impurity removed, which add up to 1) in one decision tree over rows without nulls."""
     from pyspark.ml.classification import DecisionTreeClassifier

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.lineage import settled
-from barloom.operators import models
+from barloom.operators import models, scaling
 
 C = F.col
 Learner = Callable[[], object]
@@ -134,3 +134,12 @@ def incremental_value(df: DataFrame, base: list[str], more: list[str], label: st
     sure = (F.coalesce(C("p_value"), F.lit(1.0)) < 0.05) | (F.coalesce(C("low"), F.lit(-1.0)) > 0)
     return out.withColumn("decision", F.when((C("sharpe_delta") > 0) & sure, "ACCEPTED").when(C("sharpe_delta") > 0, "PARTIAL").otherwise("REJECTED"))
 
+
+def fold_sequences(df: DataFrame, columns: list[str], bounds: DataFrame, length: int = 20, stride: int = 1, *, target: str | None = None, kind: str = "standard", clip: float | None = None) -> DataFrame:
+    """symbol, ts, fold, part, x, mask and target: windows of `length` rows as models.sequences() gives them, within one part of a fold, so that none reaches from training into test rows; the columns are
+    scaled by what the fold's training rows of the symbol tell."""
+    rows = models.with_folds(df.select(*KEY, *columns, *([target] if target else [])), bounds).withColumn("symbol", F.struct("symbol", "fold"))
+    scaled = scaling.transform(rows, scaling.fit(rows.where(C("part") == "train"), columns, kind), columns, kind, clip)
+    apart = scaled.withColumn("symbol", F.struct(C("symbol.symbol").alias("symbol"), C("symbol.fold").alias("fold"), "part"))
+    out = models.sequences(apart, columns, length, stride, target=target)
+    return out.select("symbol.symbol", "ts", "symbol.fold", "symbol.part", *(c for c in out.columns if c not in KEY))

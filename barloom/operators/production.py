@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.windows import change, full, lag, last
@@ -11,8 +11,24 @@ from barloom.operators import metrics, models
 from barloom.operators.recurrences import ema
 
 C = F.col
+# The names of the production features, and what keeps ratios from dividing by 0.
 FEATURES = ["ret_1d", "ret_5d", "ret_20d", "vol_20d", "rsi_14", "macd_line", "macd_signal", "natr_14", "volume_ratio_20", "news_headline_volume", "news_sentiment_volatility"]
 EPS = 1e-9
+# Features that were tried and left out of production.
+EXCLUDED = {
+    "news_mean_sentiment": "no gain out of fold",
+    "earnings_overall_sentiment": "too few values a year",
+    "earnings_prepared_sentiment": "scripted text, no relation with what follows",
+    "earnings_qa_sentiment": "varies much, and volatility tells the same",
+    "earnings_qa_vs_prepared_delta": "does not carry over to other symbols",
+    "earnings_linguistic_uncertainty": "collinear with volatility",
+}
+
+
+def status(spark: SparkSession) -> DataFrame:
+    """feature, status (production or excluded) and reason (of the excluded ones)."""
+    rows = [(f, "production", None) for f in FEATURES] + [(f, "excluded", why) for f, why in EXCLUDED.items()]
+    return spark.createDataFrame(rows, "feature string, status string, reason string")
 
 
 def with_macd(bars: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from barloom.operators import attributions, features, learning, models
 from barloom.plans.bars_sql import W, full, lag
+from barloom.plans.model_queries import _XY, _folds_sql, _labelled
 from barloom.plans.registry import query, rounded
 from barloom.plans.volatility_queries import PRICES, price_bars
 
@@ -103,3 +104,16 @@ def stored_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = both.agg(F.count("*").alias("predicted"), F.count_if(C("p") != C("q")).alias("apart"))
     told = artifacts.versions(spark, root).select("name", "version", F.size("features").alias("n_features"), "rows", "first", "last", F.round(C("metrics")["accuracy"], 4).alias("accuracy"), F.round(C("metrics")["brier"], 4).alias("brier"))
     return told.where(C("version") == manifest["version"]).join(seen, F.lit(True))
+
+
+@query(
+    "fold_sequences",
+    f"""WITH {_XY}, {_folds_sql('xy', False)}, t AS (SELECT symbol, fold, avg(mom) AS c, stddev_samp(mom) AS s FROM parts WHERE part = 'train' GROUP BY 1, 2),
+w AS (SELECT symbol, fold, part, (mom - c) / s AS z, row_number() OVER (PARTITION BY symbol, fold, part ORDER BY ts) AS k FROM parts JOIN t USING (symbol, fold))
+SELECT symbol, fold, part, count(*) AS n, round(avg(z), 6) AS mean_last FROM w WHERE k >= 20 GROUP BY 1, 2, 3""",
+)
+def fold_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many windows of 20 rows each part of five folds has, and the mean of their last values, scaled by the fold's training rows."""
+    rows = _labelled(spark, sf_dir)
+    found = learning.fold_sequences(rows.select("symbol", "ts", "mom_5d"), ["mom_5d"], models.symbol_folds(rows))
+    return rounded(found.groupBy("symbol", "fold", "part").agg(F.count("*").alias("n"), F.avg(F.element_at("x", -1)[0]).alias("mean_last")))

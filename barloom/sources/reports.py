@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.operators.cleaning import missing_sessions
 from barloom.sources.bars import BarStore
 
 C = F.col
@@ -15,18 +16,27 @@ PRICES = ["open", "high", "low", "close"]
 SEVERITY = {"schema": "critical", "range": "critical", "order": "critical", "freshness": "warning"}
 
 
-def validation_reports(bars: DataFrame, at: str, *, now: str | None = None, most_age_days: int = 5) -> DataFrame:
-    """REPORT rows, one for each symbol of bars(symbol, ts, open, high, low, close, volume): columns without any value, values out of range, times that stand twice, and a last time more than
-    most_age_days before `now` (at, if not given). The given times make runs repeat."""
+def validation_reports(bars: DataFrame, at: str, *, now: str | None = None, most_age_days: int = 5, most_missing: int | None = None, holidays: DataFrame | None = None) -> DataFrame:
+    """REPORT rows, one for each symbol of bars(symbol, ts, open, high, low, close, volume): columns without any value or that hold no numbers, values out of range, times that stand twice, and a last time more than
+    most_age_days before `now` (at, if not given). The given times make runs repeat.
+
+    With most_missing there is the rule continuity too: more weekdays than that, but for holidays(date), without a bar between a symbol's first and last."""
+    texts = sum(t not in ("double", "float", "bigint", "int", "smallint", "tinyint") and not t.startswith("decimal") for c, t in bars.dtypes if c in (*PRICES, "volume"))
+    bars = bars.withColumns({c: C(c).try_cast("double") for c in (*PRICES, "volume")})
     wrong = (F.least(*PRICES) <= 0) | (C("volume") < 0) | (C("high") < C("low")) | (C("high") < F.greatest("open", "close")) | (C("low") > F.least("open", "close"))
     sums = bars.groupBy("symbol").agg(
         F.count("*").alias("total_rows"),
-        sum((F.when(F.count(c) == 0, 1).otherwise(0) for c in [*PRICES, "volume"]), F.lit(0)).cast("long").alias("schema"),
+        sum((F.when(F.count(c) == 0, 1).otherwise(0) for c in [*PRICES, "volume"]), F.lit(texts)).cast("long").alias("schema"),
         F.count_if(wrong).alias("range"),
         (F.count("ts") - F.count_distinct("ts")).alias("order"),
         F.when(F.datediff(F.lit(now or at).cast("date"), F.max(F.to_date("ts"))) > most_age_days, 1).otherwise(0).cast("long").alias("freshness"),
     )
-    results = F.array(*(F.struct(F.lit(r).alias("rule"), (C(r) == 0).alias("passed"), F.lit(s).alias("severity"), C(r).alias("affected")) for r, s in SEVERITY.items()))
+    rules = dict(SEVERITY)
+    if most_missing is not None:
+        rules["continuity"] = "warning"
+        gaps = missing_sessions(bars, holidays).groupBy("symbol").agg(F.count("*").alias("_gaps"))
+        sums = sums.join(gaps, "symbol", "left").withColumn("continuity", F.when(C("_gaps") > most_missing, C("_gaps")).otherwise(0).cast("long"))
+    results = F.array(*(F.struct(F.lit(r).alias("rule"), (C(r) == 0).alias("passed"), F.lit(s).alias("severity"), C(r).alias("affected")) for r, s in rules.items()))
     out = sums.withColumn("results", results)
     failed = lambda s: F.size(F.filter("results", lambda x: ~x["passed"] & (x["severity"] == s))).cast("long")
     out = out.withColumns({"critical": failed("critical"), "warnings": failed("warning")})

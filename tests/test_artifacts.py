@@ -91,3 +91,19 @@ def test_models_are_saved_promoted_and_read_back(spark, data, tmp_path):
     for bad in (lambda: ar.promote(spark, root, "v9"), lambda: ar.load(spark, root, "v9")):
         with pytest.raises(KeyError):
             bad()
+
+
+def test_types_and_continuity(spark):
+    texts = spark.createDataFrame([("a", AT + dt.timedelta(days=k), "2", "3", "1", "x" if k else "2", 5.0) for k in (0, 1, 8)], "symbol string, ts timestamp_ntz, open string, high string, low string, close string, volume double")
+    got = {r["rule"]: (r["passed"], r["severity"], r["affected"]) for r in reports.validation_reports(texts, "2024-01-10", most_missing=2).first()["results"]}
+    assert got["schema"] == (False, "critical", 4) and got["continuity"] == (False, "warning", 4)
+    holidays = spark.createDataFrame([(dt.date(2024, 1, 3),), (dt.date(2024, 1, 4),)], "date date")
+    out = reports.validation_reports(texts, "2024-01-10", most_missing=2, holidays=holidays).first()
+    assert {r["rule"]: r["affected"] for r in out["results"]}["continuity"] == 0 and out["warnings"] == 0
+
+
+def test_production_status(spark):
+    from barloom.operators import production
+
+    got = {r["feature"]: (r["status"], r["reason"]) for r in production.status(spark).collect()}
+    assert sum(s == "production" for s, _ in got.values()) == 11 and sum(s == "excluded" and bool(why) for s, why in got.values()) == 6

@@ -152,3 +152,23 @@ def test_incremental_value(spark, rows):
     assert len(got) == 2 and all(r["decision"] == "ACCEPTED" and r["accuracy_more"] > 0.95 and r["p_value"] < 0.05 and r["low"] > 0 and r["sharpe_delta"] > 0 for r in got)
     same = learning.incremental_value(good.withColumn("again", F.lit(1.0)), ["told"], ["again"], "y", "next", bounds, learning.logistic(), paths=50).collect()
     assert all(r["decision"] == "REJECTED" and r["n"] > 50 for r in same)
+
+
+def test_rules_in_words(rows):
+    model = DecisionTreeClassifier(maxDepth=2, featuresCol="x", labelCol="y").fit(assembled(rows))
+    found = at.rules(model, ["u", "v", "w"])
+    assert 2 <= len(found) <= 4 and np.isclose(sum(s for _, _, s in found), 1) and all(0 <= v <= 1 and (">" in r or "<=" in r) for r, v, _ in found)
+
+
+def test_sequences_stay_within_a_part(spark, rows):
+    bounds = models.symbol_folds(rows, folds=2)
+    got = learning.fold_sequences(rows, ["u", "v"], bounds, 10, target="y").collect()
+    parts = {}
+    for r in models.with_folds(rows, bounds).collect():
+        parts.setdefault((r["symbol"], r["fold"], r["part"]), []).append((r["ts"], r["u"], r["y"]))
+    assert len(got) == sum(max(0, len(p) - 9) for p in parts.values())
+    for r in got[:200]:
+        own = sorted(parts[r["symbol"], r["fold"], r["part"]])
+        k = [t for t, _, _ in own].index(r["ts"])
+        train = np.array([u for _, u, _ in parts[r["symbol"], r["fold"], "train"]])
+        assert np.allclose([x[0] for x in r["x"]], (np.array([u for _, u, _ in own[k - 9 : k + 1]]) - train.mean()) / train.std(ddof=1)) and r["target"] == own[k][2]
