@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: Rows of the stream: symbol, ts and what a bar holds.
 TICK = "symbol string, ts timestamp, value double"
+NEWEST = "symbol string, newest timestamp"
 
 
 def event_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,28 +19,36 @@ def event_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), "value")
 
 
-def _timely(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Rows of one symbol in one micro-batch. The cutoff moves at the end of the batch, so rows out of order within it stay."""
-    cutoff = pd.Timestamp(state.get[0], unit="us") if state.exists else None
-    newest, seen = cutoff, set()
-    for part in parts:
-        part = part if cutoff is None else part[part["ts"] > cutoff]
-        part = part.drop_duplicates("ts", keep="first")
-        part = part[~part["ts"].isin(seen)]
-        seen.update(part["ts"])
-        if len(part):
-            newest = part["ts"].max() if newest is None else max(newest, part["ts"].max())
-            yield part
-    if newest is not None:
-        state.update((int(newest.value // 1000),))
+@dataclass(frozen=True)
+class Timely:
+    """A stream of rows of which `run_once` lets through those that are later than all rows of their symbol in earlier micro-batches."""
 
+    ticks: DataFrame
+    once: bool
 
-def timely(ticks: DataFrame) -> DataFrame:
-    """Rows later than all rows of their symbol in earlier micro-batches, one for each (symbol, ts).
+    def write(self, batch: DataFrame, number: int, out: str) -> None:
+        """Writes what a micro-batch lets through and the newest time of each symbol after it, both in folders of its number, so a micro-batch that is replayed replaces itself.
+        Rows meet the newest times in a join and are told apart by symbol and time, so a symbol's rows are dealt over all tasks."""
+        spark = batch.sparkSession
+        kept, past = batch, None
+        if number:
+            past = spark.read.schema(NEWEST).parquet(f"{out}/newest-{number - 1}")
+            late = past.select(F.col("symbol").alias("of"), "newest")
+            kept = batch.join(F.broadcast(late), F.col("symbol").eqNullSafe(F.col("of")), "left").where("ts > newest or newest is null or ts is null").select(*batch.columns)
+        kept = kept.dropDuplicates(["symbol", "ts"]) if self.once else kept
+        kept.write.mode("overwrite").parquet(f"{out}/rows-{number}")
+        newest = spark.read.schema(batch.schema).parquet(f"{out}/rows-{number}").select("symbol", F.col("ts").alias("newest"))
+        newest = newest.unionByName(past) if past is not None else newest
+        newest.groupBy("symbol").agg(F.max("newest").alias("newest")).write.mode("overwrite").parquet(f"{out}/newest-{number}")
 
-    A watermark would cut all symbols at one time; here every symbol has its own cutoff. The checkpoint keeps it over restarts.
+
+def timely(ticks: DataFrame, once: bool = True) -> Timely:
+    """Rows later than all rows of their symbol in earlier micro-batches, one for each (symbol, ts) of a micro-batch (once=False: all). The cutoff moves at the end of a micro-batch, so rows
+    out of order within it stay; rows without a time are never late.
+
+    A watermark would cut all symbols at one time; here every symbol has its own cutoff. The output keeps it over restarts.
     """
-    return ticks.groupBy("symbol").applyInPandasWithState(_timely, TICK, "newest long", "append", GroupStateTimeout.NoTimeout)
+    return Timely(ticks, once)
 
 
 def window_bars(ticks: DataFrame, width: str = "1 hour", late: str = "2 hours", slide: str | None = None) -> DataFrame:
@@ -65,8 +72,12 @@ def staleness(newest: DataFrame, expected: DataFrame, now: str, seconds: int = 3
     return expected.join(newest, "symbol", "left").select("symbol", status.alias("status"))
 
 
-def run_once(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
+def run_once(stream: DataFrame | Timely, out: str, checkpoint: str) -> DataFrame:
     """Everything there is so far, appended to Parquet at `out` exactly once; returns the table."""
+    if isinstance(stream, Timely):
+        ticks = stream.ticks
+        ticks.writeStream.foreachBatch(lambda batch, number: stream.write(batch, number, out)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+        return ticks.sparkSession.read.schema(ticks.schema).parquet(f"{out}/rows-*")
     query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(out)

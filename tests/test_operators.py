@@ -230,6 +230,36 @@ def test_stream_cuts_each_symbol_by_itself(spark, tmp_path):
     assert state == {"A": "LIVE", "B": "STALE", "C": "WAITING"}
 
 
+def test_a_symbol_is_cut_by_many_tasks(spark, tmp_path):
+    src, out, log = (str(tmp_path / n) for n in ("src", "out", "log"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the rows are few
+    for lo in (0, 3000):
+        day = F.timestamp_seconds(F.lit(1704067200) + F.expr(f"id * 2 + {lo}"))
+        spark.range(4000).select(F.when(F.col("id") < 3990, "A").alias("symbol"), day.alias("ts"), F.col("id").cast("double").alias("value")).write.mode("append").parquet(src)
+        ticks = spark.readStream.schema(streams.TICK).parquet(src)
+        got = streams.run_once(streams.timely(ticks), out, log)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    # the second part of A ends 3000 s after the first; the rows without a symbol have a cutoff of their own
+    n = {r["symbol"]: r["count"] for r in got.groupBy("symbol").count().collect()}
+    assert n == {"A": 3990 + 1500, None: 20}
+    files = [f for f in (tmp_path / "out" / "rows-0").iterdir() if f.suffix == ".parquet" and spark.read.parquet(str(f)).where("symbol = 'A'").count()]
+    assert len(files) > 1
+    # a micro-batch that is replayed replaces itself
+    streams.timely(ticks).write(spark.read.schema(streams.TICK).parquet(src).where("value > 3995"), 1, out)
+    assert spark.read.parquet(f"{out}/rows-*").count() == 4000 + 4
+
+
+def test_stream_bars_counts_events_of_one_time(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    rows = [(k, DAY + dt.timedelta(minutes=k // 2), k, "view", 1.0 * (k // 2), "{}") for k in range(10)] + [(99, None, 1, "view", 5.0, "{}")]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(str(tmp_path / "all"))
+    (part,) = (tmp_path / "all").glob("*.parquet")
+    part.rename(tmp_path / "events.parquet")
+    got = {r["ts"]: (r["open"], r["close"], r["volume"]) for r in entry.queries()["stream_bars"](spark, str(tmp_path)).collect()}
+    assert got[DAY] == (0.0, 4.0, 10.0) and got[None][2] == 1
+
+
 def test_folds(spark):
     from barloom.operators import models
 
