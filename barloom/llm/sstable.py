@@ -14,9 +14,9 @@ from __future__ import annotations
 import json
 import bisect
 import struct
-import unicodedata
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -177,20 +177,24 @@ class Shard:
 
 
 class WordEncoder:
-    """Token ids of texts by a `tokenizers` file with word ends, with a bounded cache of words.
+    """Token ids of texts by a `tokenizers` file with word ends, with bounded caches of words and of the runs between white space.
 
-    Where the file normalises and splits by a pattern, as `FORM` has it, its BPE model sees each distinct word once; the pattern is the file's own. All
-    texts under other files, and those beyond Latin-1, with control separators or with the text of a special token, go through the library's whole pipeline.
+    Where the file normalises and splits by a pattern, as `FORM` has it, no token, special token or normalised character reaches over ASCII white space,
+    so each distinct run between such is encoded once; of a run its BPE model sees each distinct word once, and the pattern is the file's own. All texts under
+    other files, and runs beyond Latin-1, with control separators or with the text of a special token, go through the library's whole pipeline. Little-endian machines only.
     """
 
-    #: The parts of a file whose words can be encoded one by one.
+    #: The parts of a file whose words can be encoded one by one; its pattern matches no white space.
     FORM = (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"], ("Removed", True, False, False), r"\s+")
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    #: Longer runs are not kept.
+    _LONG = 64
 
     def __init__(self, path: str, most_words: int = 400_000):
         import regex
         from tokenizers import Tokenizer
 
-        self.whole, self.most, self.cache = Tokenizer.from_file(path), most_words, {}
+        self.whole, self.most, self.cache, self.others = Tokenizer.from_file(path), most_words, {}, {}
         parts = json.loads(self.whole.to_str())
         pattern = self._pattern(parts)
         self.model, self.find = self.whole.model, regex.compile(pattern).findall if pattern else None
@@ -201,11 +205,14 @@ class WordEncoder:
     def _pattern(cls, parts: dict) -> str | None:
         """The pattern by which the file splits, or none if it has another form."""
         norm, pre = ((parts.get(k) or {}).get(name, []) for k, name in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers")))
-        if [x["type"] for x in norm] != cls.FORM[0] or [x["type"] for x in pre] != cls.FORM[1] or parts.get("post_processor") or parts["model"]["type"] != "BPE":
+        if [x["type"] for x in norm] != cls.FORM[0] or [x["type"] for x in pre] != cls.FORM[1] or parts.get("post_processor") or parts.get("truncation") or parts["model"]["type"] != "BPE":
+            return None
+        if any(c.isspace() or t["lstrip"] or t["rstrip"] for t in parts.get("added_tokens") or [] for c in t["content"]):
             return None
         split, level = pre
         same = (split["behavior"], split["invert"], level["add_prefix_space"], level["use_regex"]) == cls.FORM[2]
-        return split["pattern"].get("Regex") if same and norm[1]["pattern"].get("Regex") == cls.FORM[3] and norm[1]["content"] == " " else None
+        pattern = split["pattern"].get("Regex")
+        return pattern if same and pattern == cls.PATTERN and norm[1]["pattern"].get("Regex") == cls.FORM[3] and norm[1]["content"] == " " else None
 
     @staticmethod
     def _byte_chars() -> dict[int, str]:
@@ -213,24 +220,47 @@ class WordEncoder:
         plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
         return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(sorted({*range(256)} - {*plain}))}
 
-    def _word(self, w: str) -> bytes:
+    def _run(self, r: str) -> bytes:
+        """Ids of a run; where it has several words, of each, and the run is kept beside them."""
         if len(self.cache) >= self.most:
             self.cache.clear()
-        ids = [t.id for t in self.model.tokenize(w.encode().decode("latin-1").translate(self.byte_chars))]
-        out = self.cache[w] = np.array(ids, "<u4").tobytes()
+        words = () if r.isalpha() else self.find(r)
+        if len(words) > 1:
+            get = self.cache.get
+            out = b"".join([get(w) or self._run(w) for w in words])
+        else:
+            w = r if r.isascii() and r.isprintable() else r.encode().decode("latin-1").translate(self.byte_chars)
+            out = array("I", [t.id for t in self.model.tokenize(w)]).tobytes()
+        if len(r) <= self._LONG:
+            self.cache[r] = out
         return out
 
     def encode(self, b: bytes) -> np.ndarray:
         text = b.decode("utf-8", "replace")
+        if self.find is None:
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
+        if self._plain(text):
+            get = self.cache.get
+            return np.frombuffer(b"".join([get(r) or self._run(r) for r in text.lower().split()]), "<u4")
+        get = self.others.get
+        return np.frombuffer(b"".join([get(r) or self._other(r) for r in b.split()]), "<u4")
+
+    def _plain(self, text: str) -> bool:
+        """Whether all is Latin-1 (which NFC leaves as it is), without control separators and special tokens."""
         try:
             text.encode("latin-1")
-            plain = self.find is not None and not any(c in text for c in "\x1c\x1d\x1e\x1f\x85\xa0") and not any(s in text for s in self.special)
         except UnicodeEncodeError:
-            plain = False
-        if not plain:
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
-        get = self.cache.get
-        return np.frombuffer(b"".join([get(w) or self._word(w) for w in self.find(unicodedata.normalize("NFC", text).lower())]), "<u4")
+            return False
+        return not any(c in text for c in "\x1c\x1d\x1e\x1f\x85\xa0") and not any(s in text for s in self.special)
+
+    def _other(self, r: bytes) -> bytes:
+        text = r.decode("utf-8", "replace")
+        out = b"".join(map(self._run, text.lower().split())) if self._plain(text) else array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+        if len(self.others) >= self.most // 4:
+            self.others.clear()
+        if len(r) <= self._LONG:
+            self.others[r] = out
+        return out
 
 
 def _fs(folder: str):

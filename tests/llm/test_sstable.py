@@ -35,6 +35,22 @@ def test_encoder_equals_library():
         assert enc.encode(t.encode()).tolist() == whole.encode(t, add_special_tokens=False).ids
 
 
+def test_runs_between_white_space_are_encoded_once():
+    whole, enc = Tokenizer.from_file(PATH), sstable.WordEncoder(PATH)
+    rng = np.random.default_rng(3)
+    bits = ["Don't", "it\u2019s", "\u0301x", "\u00e9", "e\u0301", "\u65e5\u672c", "12,3", "<|endoftext|>", "a\x85b", "q\xa0r", "\u2000", "\x1c", "\u0130", "\u03a3", "z" * 70, "\u0345", "\x00"]
+    gaps = ["", " ", "  ", "\n", "\t\r\n", "\x0b\x0c"]
+    for _ in range(500):
+        t = "".join(str(rng.choice(bits)) + str(rng.choice(gaps)) for _ in range(rng.integers(1, 12)))
+        assert enc.encode(t.encode()).tolist() == whole.encode(t, add_special_tokens=False).ids
+    # texts beyond Latin-1 are worked off by runs too, so words that come again cost nothing
+    seen = []
+    enc.whole = type("Counted", (), {"encode": lambda self, t, add_special_tokens: seen.append(t) or whole.encode(t, add_special_tokens=add_special_tokens)})()
+    for _ in range(3):
+        enc.encode("the caf\u00e9 \u201copens\u201d again \u201copens\u201d".encode())
+    assert seen == ["\u201copens\u201d"]
+
+
 def test_other_files_go_through_the_library():
     other = public_tokenizers.path("byte_bpe_50k.json")
     whole, enc = Tokenizer.from_file(other), sstable.WordEncoder(other)
