@@ -14,8 +14,9 @@ has foretold the text so far. So a text that repeats itself costs less, and one
 Spark counts the tokens of all training documents, deals them out in their order and stores them, so what is gathered grows with the corpus. From
 the counted tokens it works out (context, node, zeros, ones): a token is a row of bits, so in sorted order the tokens that share
 a node stand together. The tables have four cells at least for each (context, node) that they hold, two bytes a
-cell, and go to every task. The tables of tokens so far hold all nodes seen twice, up to about `most_nodes`; of more, they hold those seen most often,
-and rarer tokens are spelled by the shorter contexts. The word counts for the base score stay in Spark: frequent words (a fixed number) are sent to
+cell, and go to every task. Of the token so far, a task that holds a part of the sorted tokens has all nodes there, so the counts of all are exact and no table
+holds them, but for nodes that reach over the border of a part. So every different token is spelled once, by the task that has its neighbours; frequent tokens' costs
+(a fixed number) are sent to every task, all others meet their costs in a join. The word counts for the base score stay in Spark: frequent words (a fixed number) are sent to
 every task, all others meet their counts in a join.
 
 Edge cases: null and empty texts have the end alone. Very long texts are scored in pieces that hand on what they have seen. Rows with the same doc_id
@@ -30,7 +31,7 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import islice
 from operator import add
@@ -38,7 +39,7 @@ from operator import add
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm import text as tx
@@ -334,18 +335,18 @@ def _merged_tokens(blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> t
     return flat[at], size, two
 
 
-def _token_counts(docs: DataFrame, kinds: Kinds, words: DataFrame, most_tokens: int, parts: int | None = None) -> DataFrame:
-    """Tokens of all training texts with how often they occur, and how often in texts of fold 1: rows (n, tokens, sizes, counts) of many tokens
+def _token_counts(docs: DataFrame, kinds: Kinds, words: DataFrame, most_tokens: int, parts: int | None = None, every: bool = False) -> DataFrame:
+    """Tokens of all training texts (every: of all texts, those of held-out ones alone with counts of 0) with how often they occur, and how often in texts of fold 1: rows (n, tokens, sizes, counts) of many tokens
     each, that follow each other in the order of their bytes (without the two before them). Tasks count, and send what they have counted in blocks, a
     block for each part of that order; a task then merges the blocks of a part."""
     borders = _borders(words, parts)
     schema = pa.schema([("part", pa.int32()), ("n", pa.int64()), ("early", pa.int32()), ("tokens", pa.binary()), ("sizes", pa.binary()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, tokens = (Counter(), Counter()), Tokenizer(kinds)
+        counts, tokens = (Counter(), Counter(), Counter()), Tokenizer(kinds)  # later folds, fold 1, held out
 
         def emit() -> Iterator[pa.RecordBatch]:
-            for c, early in zip(counts, (0, 1), strict=True):
+            for early, c in enumerate(counts):
                 if c:
                     keys, n = list(c), np.fromiter(c.values(), np.int64, len(c))
                     flat, off = _joined(keys)
@@ -362,7 +363,7 @@ def _token_counts(docs: DataFrame, kinds: Kinds, words: DataFrame, most_tokens:
         for batch in batches:
             for lo in range(0, batch.num_rows, 200):
                 for fold, b in zip(batch.column(0).slice(lo, 200).to_pylist(), batch.column(1).slice(lo, 200).to_pylist(), strict=True):
-                    counts[fold == 1].update(tokens(b))
+                    counts[2 if not fold else fold == 1].update(tokens(b))
                 if sum(map(len, counts)) >= most_tokens:
                     yield from emit()
         yield from emit()
@@ -386,7 +387,7 @@ def _token_counts(docs: DataFrame, kinds: Kinds, words: DataFrame, most_tokens:
                         yield from finish()
                     now, held, n = row["part"], [], 0
                 count = _unblob(row["counts"], np.int64)
-                held.append((_unblob(row["tokens"], np.uint8), _unblob(row["sizes"], np.uint8).astype(np.int64), np.stack([count, count * row["early"]], axis=1)))
+                held.append((_unblob(row["tokens"], np.uint8), _unblob(row["sizes"], np.uint8).astype(np.int64), np.stack([count * (row["early"] < 2), count * (row["early"] == 1)], axis=1)))
                 n += row["n"]
                 if n > _SUMMED:
                     held = [_merged_tokens(held)]
@@ -394,7 +395,7 @@ def _token_counts(docs: DataFrame, kinds: Kinds, words: DataFrame, most_tokens:
         if held:
             yield from finish()
 
-    made = docs.where("fold > 0").select("fold", "text").mapInArrow(run, "part int, n long, early int, tokens binary, sizes binary, counts binary")
+    made = (docs if every else docs.where("fold > 0")).select("fold", "text").mapInArrow(run, "part int, n long, early int, tokens binary, sizes binary, counts binary")
     return tx.stored(made.repartition("part").sortWithinPartitions("part").mapInArrow(whole, "n long, tokens binary, sizes binary, counts binary"), "tokens")
 
 
@@ -478,7 +479,7 @@ def token_nodes(flat: np.ndarray, off: np.ndarray, two: np.ndarray, code: Code,
         four = np.stack([sums[:, 0] - ones[:, 0] - sums[:, 1] + ones[:, 1], ones[:, 0] - ones[:, 1], sums[:, 1] - ones[:, 1], ones[:, 1]], axis=1)
         one_of = act[first]
         is_whole = inside[one_of] <= b
-        keep = (begin[one_of] <= b) & (~is_whole | (_level(sums[:, 0]) >= level))
+        keep = (begin[one_of] <= b) & (sums[:, 0] > 0) & (~is_whole | (_level(sums[:, 0]) >= level))
         yield order[one_of[keep]], np.full(int(keep.sum()), b), four[keep], is_whole[keep]
         # what lies below a node has no larger count
         stay = np.repeat(~is_whole | (_level(sums[:, 0]) >= level), np.diff(np.append(first, len(act))))
@@ -486,6 +487,74 @@ def token_nodes(flat: np.ndarray, off: np.ndarray, two: np.ndarray, code: Code,
         act = act[stay & (n_bits[act] > b)]
 
 
+#: No cell that `pack` gives: the table has it.
+_TABLE = np.uint16(0xFFFF)
+#: Above every level of counts.
+_NO_LEVEL = 1 << 30
+
+
+def own_cells(flat: np.ndarray, off: np.ndarray, two: np.ndarray, code: Code, by_kind: bool, early: bool) -> np.ndarray:
+    """Of every bit of some tokens in the order of their bytes, the cell of its node from the counts of these tokens, or _TABLE: in the first symbol, and where other tokens may begin with the
+    same symbols as the first or the last one here."""
+    order, common, border = _sorted_bits(flat, off, code, by_kind)
+    length = code.length[flat]
+    total = np.concatenate([[0], np.cumsum(length)])
+    start, begin = total[off[:-1] + 2], length[off[:-1] + 2]
+    n_bits = total[off[1:]] - start
+    dense = np.cumsum(n_bits) - n_bits
+    place = np.arange(n_bits.sum()) - np.repeat(dense, n_bits)
+    full = code.bits[np.repeat(code.start[flat] - total[:-1], length) + np.arange(total[-1])]
+    bit = full[place + np.repeat(start, n_bits)]
+    n = two[:, 0] if early else two[:, 0] - two[:, 1]
+    none = np.zeros(len(n), np.int64)
+    # what a token has alone; nodes of several follow
+    out = np.where(bit, np.repeat(pack(none, n), n_bits), np.repeat(pack(n, none), n_bits))
+    out[place < np.repeat(begin, n_bits)] = _TABLE
+    inside = (total[np.minimum(off[:-1][order] + 3 + border, off[1:][order])] - start[order])
+    n, dense, begin, n_bits = n[order], dense[order], begin[order], n_bits[order]
+    act = np.flatnonzero(n_bits > begin)
+    b = int(begin[act].min()) if len(act) else 0
+    while len(act):
+        new = common[act] < b
+        new[0] = True
+        first = np.flatnonzero(new)
+        at = dense[act] + b
+        sums, ones = np.add.reduceat(n[act], first), np.add.reduceat(n[act] * bit[at], first)
+        whole = inside[act[first]] <= b
+        many = np.diff(np.append(first, len(act)))
+        own = begin[act] <= b
+        out[at[own]] = np.repeat(np.where(whole, pack(sums - ones, ones), _TABLE), many)[own]
+        stay = np.repeat((many > 1) | ~whole, many)
+        b += 1
+        act = act[stay & (n_bits[act] > b)]
+    return out
+
+
+class Block:
+    """Tokens in the order of their bytes with their counts, and what the nodes of each have seen: those of the token so far from the block itself, whatever their number, others from the model's tables."""
+
+    def __init__(self, model: MixModel, flat: np.ndarray, off: np.ndarray, two: np.ndarray, early: bool):
+        self.model, self.flat, self.off, self.two = model, flat, off, two
+        self.cells = [own_cells(flat, off, two, model.code, by_kind, early) for by_kind in (False, True)]
+        total = np.concatenate([[0], np.cumsum(model.code.length[flat])])
+        n_bits = total[off[1:]] - total[off[:-1] + 2]
+        self.first = np.cumsum(n_bits) - n_bits
+
+    def keys(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size = np.diff(self.off)[which]
+        off = np.concatenate([[0], np.cumsum(size)])
+        return self.flat[np.arange(off[-1]) + np.repeat(self.off[which] - off[:-1], size)], off
+
+    def inputs(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+        """MixModel.inputs of some of the tokens."""
+
+        def own(first: np.ndarray) -> list[np.ndarray]:
+            at = np.arange(first[-1]) + np.repeat(self.first[which] - first[:-1], np.diff(first))
+            return [c[at] for c in self.cells]
+
+        return self.model.looked_up(*self.keys(which), own)
+
+
 def _tokens_of(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     size = _unblob(row["sizes"], np.uint8).astype(np.int64)
     return _unblob(row["tokens"], np.uint8), np.concatenate([[0], np.cumsum(size)]), _unblob(row["counts"], np.int64).reshape(2, -1).T
@@ -644,11 +713,17 @@ class MixModel:
 
     def inputs(self, keys: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
         """(number of each token's first bit, bit, inputs in 128ths, gate) of every bit of some tokens."""
-        first, bit, ids = decisions(*_joined(keys), self.code)
+        return self.looked_up(*_joined(keys), None)
+
+    def looked_up(self, flat: np.ndarray, off: np.ndarray, own: Callable[[np.ndarray], list[np.ndarray]] | None) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+        """The inputs of some tokens; `own` gives, of the numbers of first bits, the cells of the last two contexts that are known without the tables."""
+        first, bit, ids = decisions(flat, off, self.code)
         found, start = [], 0
         for k, size in zip(ids, self.sizes, strict=True):
             found.append(self.packed[(k >> np.uint64(48 - (size.bit_length() - 1))).astype(np.intp) + start])
             start += size
+        for k, cells in enumerate(own(first) if own else ()):
+            found[k - 2] = np.where(cells == _TABLE, found[k - 2], cells)
         gate = (found[-2] & np.uint16(7)) * np.uint16(8) + (found[-1] & np.uint16(7))
         return first, bit, [(f >> np.uint16(3)).astype(np.int16) - np.int16(2048) for f in found], gate
 
@@ -660,7 +735,9 @@ class MixModel:
 
     def costs(self, keys: list[bytes]) -> np.ndarray:
         """What each token costs, in nats."""
-        first, bit, x, gate = self.inputs(keys)
+        return self.cost_of(*self.inputs(keys))
+
+    def cost_of(self, first: np.ndarray, bit: np.ndarray, x: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
         z = self.mixed(x, gate)
         return np.add.reduceat(np.log1p(np.exp(np.minimum(np.where(bit, -z, z), np.float32(60)))), first[:-1], dtype=np.float64)
 
@@ -752,21 +829,23 @@ def _slices(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[byte
         yield lo, [raw[off[k] - off[lo] : off[k + 1] - off[lo]] for k in range(lo, hi)]
 
 
-def _learn_weights(docs: DataFrame, model: MixModel, kinds: Kinds, step: float = 0.3) -> np.ndarray:
-    """Gated weights learned online by every task on its documents of fold 1, averaged by how often each gate was used."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+def _learn_weights(counted: DataFrame, model: MixModel, step: float = 0.3) -> np.ndarray:
+    """Gated weights learned online by every task on its tokens of fold 1 in a mixed order, averaged by how often each gate was used."""
+    sent = counted.sparkSession.sparkContext.broadcast(model)
     schema = pa.schema([("gate", pa.int32()), ("used", pa.float64()), ("sums", pa.list_(pa.float64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, tokens = sent.value, Tokenizer(kinds)
+        m = sent.value
         w, used = m.weights.copy(), np.zeros(_GATES)
         for batch in batches:
-            for _, texts in _slices(batch, 0):
-                found = Counter(t for b in texts for t in tokens(b))
-                keys, times = list(found), np.fromiter(found.values(), np.float32, len(found))
-                for lo in range(0, len(keys), 500):
-                    first, bit, x, g = m.inputs(keys[lo : lo + 500])
-                    n = np.repeat(times[lo : lo + 500], np.diff(first))
+            for row in batch.to_pylist():
+                flat, off, two = _tokens_of(row)
+                block = Block(m, flat, off, two, False)
+                which = np.random.default_rng(len(two)).permutation(np.flatnonzero(two[:, 1]))
+                for lo in range(0, len(which), 500):
+                    part = which[lo : lo + 500]
+                    first, bit, x, g = block.inputs(part)
+                    n = np.repeat(two[part, 1].astype(np.float32), np.diff(first))
                     xs = [*(v * np.float32(1 / 128) for v in x), np.float32(1)]
                     z = sum(w[:, k][g] * v for k, v in enumerate(xs))
                     p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -778,7 +857,7 @@ def _learn_weights(docs: DataFrame, model: MixModel, kinds: Kinds, step: float =
         yield tx.rows(schema, np.arange(_GATES), used, [list(map(float, v)) for v in w * used[:, None]])
 
     n = model.weights.shape[1]
-    got = docs.where("fold = 1").select("text").mapInArrow(run, "gate int, used double, sums array<double>").groupBy("gate").agg(F.sum("used").alias("used"), *(F.sum(F.col("sums")[k]).alias(f"s{k}") for k in range(n))).collect()
+    got = counted.mapInArrow(run, "gate int, used double, sums array<double>").groupBy("gate").agg(F.sum("used").alias("used"), *(F.sum(F.col("sums")[k]).alias(f"s{k}") for k in range(n))).collect()
     out = model.weights.copy()
     for r in got:
         if r["used"] > 0:
@@ -787,23 +866,82 @@ def _learn_weights(docs: DataFrame, model: MixModel, kinds: Kinds, step: float =
     return out
 
 
-def _head(words: DataFrame, most: int) -> dict[bytes, int]:
-    """Up to `most` of the most frequent words; a histogram tells from which count on they are taken."""
+def _costs(counted: DataFrame, model: MixModel) -> DataFrame:
+    """word (a token with the two bytes before it), c (how often it stands in training texts) and cost (in nats) of every different token."""
+    sent = counted.sparkSession.sparkContext.broadcast(model)
+    schema = pa.schema([("word", pa.binary()), ("c", pa.int64()), ("cost", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                flat, off, two = _tokens_of(row)
+                block = Block(sent.value, flat, off, two, True)
+                for lo in range(0, len(two), 1 << 13):
+                    part = np.arange(lo, min(len(two), lo + (1 << 13)))
+                    cost = sent.value.cost_of(*block.inputs(part))
+                    flat_part, ends = block.keys(part)
+                    word = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(flat_part)])
+                    yield tx.rows(schema, word, two[part, 0], cost)
+
+    return tx.stored(counted.mapInArrow(run, "word binary, c long, cost double"), "costs")
+
+
+def _blended(cost: Column, share: float, again: Column) -> Column:
+    """log probability under a blend of a token that stands once and, for each of `again` (log of the share of the text's tokens before that are it), once more."""
+    if not share:
+        return -cost * (F.lit(1) + F.size(again))
+    more = F.aggregate(again, F.lit(0.0), lambda sum_, a: sum_ + F.log(F.exp(-cost + math.log1p(-share)) + F.exp(a + math.log(share))))
+    return -cost + more
+
+
+def tokens_before(texts: list[list[bytes]], cost: dict[bytes, float]) -> tuple[np.ndarray, list[tuple[int, bytes, list[float]]]]:
+    """(log probabilities of the texts under each blend, as far as they are known, rest): of the tokens in `cost` all; of every other one that stands in a text, the rest has
+    (text, token, logs of the shares for `_blended`), which lacks its cost alone."""
+    numbers = _Numbers()
+    length = np.array([len(t) for t in texts])
+    number = np.array([numbers[t] for text in texts for t in text], np.int64)
+    off = np.cumsum(length) - length
+    text = np.repeat(np.arange(len(texts)), length)
+    place = np.arange(len(number)) - np.repeat(off, length)
+    by = np.argsort(text * (len(numbers) + 1) + number, kind="stable")
+    own = text[by] * (len(numbers) + 1) + number[by]
+    start = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
+    many = np.diff(np.append(start, len(by)))
+    before = np.empty(len(by), np.int64)
+    before[by] = np.arange(len(by)) - np.repeat(start, many)
+    names = list(numbers)
+    model = -np.array([cost.get(t, np.nan) for t in names])[number] if names else np.zeros(0)
+    known = ~np.isnan(model)
+    again = np.log(np.maximum(before, 1e-300) / np.maximum(place, 1))
+    out = np.empty((len(_SHARES), len(texts)))
+    for k, share in enumerate(_SHARES):
+        ahead = np.where(place > 0, math.log1p(-share), 0.0)
+        blend = np.where(known, model, 0.0) + ahead
+        if share:
+            blend = np.where(before > 0, np.where(known, np.logaddexp(blend, again + math.log(share)), 0.0), blend)
+        out[k] = np.bincount(text, blend, len(texts))
+    new = ~known[by[start]]
+    rest = [(t, names[n], again[by[lo + 1 : lo + m]].tolist() if m > 1 else []) for t, n, lo, m in zip(text[by[start[new]]].tolist(), number[by[start[new]]].tolist(), start[new].tolist(), many[new].tolist())]
+    return out, rest
+
+
+def _head(words: DataFrame, most: int, value: str = "c") -> dict[bytes, int]:
+    """`value` of up to `most` of the most frequent words; a histogram tells from which count on they are taken."""
     level = F.floor(32 * F.log2("c")).cast("int")
     least, kept = None, 0
-    for r in sorted(words.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):
+    for r in sorted(words.where("c > 0").groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):
         kept += r["count"]
         if kept > most:
             break
         least = r["level"]
-    return {bytes(r["word"]): r["c"] for r in words.where(level >= least).collect()} if least is not None else {}
+    return {bytes(r["word"]): r[value] for r in words.where(level >= least).collect()} if least is not None else {}
 
 
-def lm_scores(docs: DataFrame, *, most_words: int = 200_000, head_words: int = 200_000, most_nodes: int = 1 << 22, kind_words: int = 512, text_kinds: int = 6) -> DataFrame:
+def lm_scores(docs: DataFrame, *, most_words: int = 200_000, head_words: int = 200_000, head_tokens: int = 200_000, kind_words: int = 512, text_kinds: int = 6) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte of every row.
 
     most_words: words or tokens that a task counts before it passes them on. head_words: the most frequent words whose counts are sent to every
-    task (the others are joined). most_nodes: (context, node) in the tables of tokens so far, about, eight to sixteen bytes each in every task.
+    task (the others are joined). head_tokens: likewise the most frequent tokens whose costs are sent.
     kind_words, text_kinds: the frequent words that tell the kind of a text, and the number of kinds.
     """
     own = _texts(docs)
@@ -811,24 +949,24 @@ def lm_scores(docs: DataFrame, *, most_words: int = 200_000, head_words: int = 2
     code = Code.of(_histogram(own))
     words = tx.stored(_word_counts(own, most_words).groupBy("word").agg(F.sum("n").alias("c")), "words")
     kinds = _kinds(own, words, kind_words, text_kinds)
-    counted = _token_counts(own, kinds, words, most_words)
-    nodes = tx.stored(_nodes(counted, code, least_level(counted, code, most_nodes)), "contexts")
+    counted = _token_counts(own, kinds, words, most_words, every=True)
+    nodes = tx.stored(_nodes(counted, code, _NO_LEVEL), "contexts")
     sizes = table_sizes(nodes)
     ends = own.where("fold > 0").count()
     sums = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n_all, n_kinds = sums[0] + ends, sums[1] + (ends > 0)
-    weights = _learn_weights(own, MixModel.of(code, _packed(nodes, sizes, early=False), sizes), kinds).astype(np.float32)
-    model = MixModel(code, _packed(nodes, sizes, early=True), weights, sizes)
+    weights = _learn_weights(counted, MixModel.of(code, _packed(nodes, sizes, early=False), sizes)).astype(np.float32)
+    costs = _costs(counted, MixModel(code, _packed(nodes, sizes, early=True), weights, sizes))
     tx.discard(counted)
     tx.discard(nodes)
     below = n_all + 0.1 * (n_kinds + 1)
     base = lambda c: math.log10((c + 0.1) / below)
-    sent = spark.sparkContext.broadcast((model, {w: base(c) for w, c in _head(words, head_words).items()}))
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("fold", pa.int32()), ("n_words", pa.int64()), ("n_bytes", pa.int64()), ("n_head", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("word", pa.binary()), ("n", pa.int32())])
+    sent = spark.sparkContext.broadcast((_head(costs, head_tokens, "cost"), {w: base(c) for w, c in _head(words, head_words).items()}))
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("fold", pa.int32()), ("n_words", pa.int64()), ("n_bytes", pa.int64()), ("n_head", pa.int64()), ("base", pa.float64()), ("known", pa.list_(pa.float64())), ("word", pa.binary()), ("n", pa.int32()), ("again", pa.list_(pa.float64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, known = sent.value
-        row, scorer, tokens = TaskContext.get().partitionId() << 33, Scorer(m), Tokenizer(kinds)
+        cost, known = sent.value
+        row, tokens = TaskContext.get().partitionId() << 33, Tokenizer(kinds)
         for batch in batches:
             for lo, texts in _slices(batch, 2):
                 out, rare = [], []
@@ -840,20 +978,30 @@ def lm_scores(docs: DataFrame, *, most_words: int = 200_000, head_words: int = 2
                         rare += [(row + k, x, n) for x, n in Counter([x for x, y in zip(w, got, strict=True) if y is None]).items()]
                     out.append((len(w), len(b), len(hit), math.fsum(hit)))
                 n, none = len(texts), [None] * len(texts)
-                score = scorer.score([tokens(b) for b in texts])
-                yield tx.rows(schema, np.arange(row, row + n), batch.column(0).slice(lo, n), batch.column(1).slice(lo, n), *zip(*out), score, none, none)
+                sums, rest = tokens_before([tokens(b) for b in texts], cost)
+                yield tx.rows(schema, np.arange(row, row + n), batch.column(0).slice(lo, n), batch.column(1).slice(lo, n), *zip(*out), list(sums.T), none, none, none)
+                if rest:
+                    at, w, again = zip(*rest)
+                    none = [None] * len(rest)
+                    yield tx.rows(schema, np.array(at) + row, none, none, none, none, none, none, none, w, none, again)
                 if rare:
                     rows, w, c = zip(*rare)
                     none = [None] * len(rare)
-                    yield tx.rows(schema, rows, none, none, none, none, none, none, none, w, c)
+                    yield tx.rows(schema, rows, none, none, none, none, none, none, none, w, c, none)
                 row += n
 
-    made = tx.stored(own.select("doc_id", "fold", "text").mapInArrow(run, "row long, doc_id long, fold int, n_words long, n_bytes long, n_head long, base double, score double, word binary, n int"), "scored")
-    rare = made.where("word is not null").select("row", "word", "n").join(words, "word", "left")
+    made = tx.stored(own.select("doc_id", "fold", "text").mapInArrow(run, "row long, doc_id long, fold int, n_words long, n_bytes long, n_head long, base double, known array<double>, word binary, n int, again array<double>"), "scored")
+    rare = made.where("n is not null").select("row", "word", "n").join(words, "word", "left")
     c = F.coalesce("c", F.lit(0))
     rare = rare.groupBy("row").agg(F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("rare_known"), F.sum(F.col("n") * F.log10((c + 0.1) / F.lit(below))).alias("rare_base"))
     end = F.lit(base(ends))
-    out = made.where("doc_id is not null or fold is not null or score is not null").drop("word", "n").join(rare, "row", "left")
+    rest = made.where("again is not null").select("row", "word", "again").join(costs, "word")
+    rest = rest.groupBy("row").agg(*(F.sum(_blended(F.col("cost"), float(s), F.col("again"))).alias(f"rest{k}") for k, s in enumerate(_SHARES)))
+    out = made.where("known is not null").drop("word", "n", "again").join(rare, "row", "left").join(rest, "row", "left")
+    # the product of what the blends foretell, each weighted by what it has foretold before, is the weighted mean of their products
+    logs = [F.col("known")[k] + F.coalesce(F.col(f"rest{k}"), F.lit(0.0)) + float(np.log(t)) for k, t in enumerate(_TRUST)]
+    top = F.greatest(*logs)
+    out = out.withColumn("score", (top + F.log(sum((F.exp(x - top) for x in logs), F.lit(0.0)))) / math.log(10))
     return out.select(
         "doc_id",
         (F.col("fold") == 0).alias("held_out"),

@@ -198,3 +198,56 @@ def test_text_like_fold_1_is_known(spark):
     assert len(got) == 3 and all(r["bits_per_byte"] < 2.5 for r in got)
 
 
+def test_no_node_of_a_token_so_far_is_left_out(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefgh.") for _ in range(rng.randrange(1, 9))) for _ in range(500)]
+    rows = [(k, " ".join(rng.choice(words) for _ in range(60))) for k in range(120)]
+    own = mixing._texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    known = own.selectExpr("explode(split(string(text), ' ')) w").where("w <> ''").groupBy("w").count().selectExpr("binary(w) word", "count c")
+    mixing._ROW, row = 300, mixing._ROW  # some borders
+    try:
+        counted = mixing._token_counts(own, NO_KINDS, known, 300, 3, every=True)
+    finally:
+        mixing._ROW = row
+    want = {}
+    for k, t in rows:
+        fold = zlib.crc32(str(k).encode()) % 10
+        for key in cut(t.encode()) if fold else []:
+            for j in range(3, len(key)):
+                s, n = CODE.start[key[j]], CODE.length[key[j]]
+                for i in range(s, s + n):
+                    want.setdefault((key[2:j], int(CODE.nodes[i])), [0] * 4)[int(CODE.bits[i]) + 2 * (fold == 1)] += 1
+    m, tables, total, met = mixing.MixModel.of(CODE, np.full(sum(mixing.CELLS), 7, np.uint16), mixing.CELLS), 0, 0, set()
+    for r in counted.collect():
+        flat, off, two = mixing._tokens_of(r)
+        for early in (False, True):
+            first, _, x, _ = mixing.Block(m, flat, off, two, early).inputs(np.arange(len(two)))
+            for t in range(len(two)):
+                key = flat[off[t] : off[t + 1]].tobytes()
+                met.add(key)
+                steps = [(j, i) for j in range(2, len(key)) for i in range(CODE.start[key[j]], CODE.start[key[j]] + CODE.length[key[j]])]
+                for at, (j, i) in enumerate(steps):
+                    four = want.get((key[2:j], int(CODE.nodes[i])), [0] * 4)
+                    got, total = x[2][first[t] + at] / 128, total + (j > 2)
+                    if got == -16:  # the tables have it
+                        tables += j > 2
+                    elif j > 2:
+                        assert abs(got - min(15.99, max(-15.99, math.log((four[1] + four[3] * early + 0.1) / (four[0] + four[2] * early + 0.1))))) < 0.01
+    # held-out tokens are there too, and only nodes at the borders are left to the tables
+    assert met == {key for _, t in rows for key in cut(t.encode())} and tables < 0.2 * total
+
+
+def test_costs_that_come_by_the_join_give_the_same_scores(spark):
+    rng = np.random.default_rng(4)
+    words = ["the", "of", "Station", "train", "énd", *(f"w{k}x" for k in range(200))]
+    rows = [(k, " ".join(rng.choice(words, 60))) for k in range(80)] + [(900, "the " * 300), (901, None), (902, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    by = [{r["doc_id"]: r["score"] for r in mixing.lm_scores(docs, head_tokens=n).collect()} for n in (0, 40, 10**6)]
+    assert all(abs(b[k] - by[0][k]) < 1e-6 * max(1, -by[0][k]) for b in by[1:] for k in by[0])
+    texts, cost = [cut(t) for t in TEXTS], {}
+    m = model(2)
+    for t in texts:
+        cost |= dict(zip(t, m.costs(t).tolist()))
+    sums, rest = mixing.tokens_before(texts, cost)
+    total = sums + np.log(mixing._TRUST)[:, None]
+    assert not rest and np.allclose(np.log(np.exp(total - total.max(axis=0)).sum(axis=0)) + total.max(axis=0), mixing.Scorer(m).score(texts) * math.log(10), rtol=1e-5)
