@@ -82,11 +82,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/barloom-{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table into the shared folder and read it back: cuts the lineage, and several readers share the work."""
+def stored(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
+    """Write a table into the shared folder and read it back: cuts the lineage, and several readers share the work. Rows of megabytes are best left
+    uncompressed: a page holds many of them, and the codec would take memory outside the heap for a page at a time."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out

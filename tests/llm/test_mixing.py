@@ -251,3 +251,24 @@ def test_costs_that_come_by_the_join_give_the_same_scores(spark):
     sums, rest = mixing.tokens_before(texts, cost)
     total = sums + np.log(mixing._TRUST)[:, None]
     assert not rest and np.allclose(np.log(np.exp(total - total.max(axis=0)).sum(axis=0)) + total.max(axis=0), mixing.Scorer(m).score(texts) * math.log(10), rtol=1e-5)
+
+
+def test_texts_are_cut_once_and_meet_their_costs_by_chunk(spark):
+    # before, every rare word and token of a text was a row of its own that two joins had to meet
+    docs = spark.createDataFrame([(k, f"rare{k} word{k % 7} the") for k in range(60)], "doc_id long, text string")
+    out = mixing.lm_scores(docs)
+    assert "Join" not in out._jdf.queryExecution().toString() and out.count() == 60
+
+
+def test_chunks_have_the_words_of_plain_splits():
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice("aBc") * rng.choice([1, 2, 47, 48, 49, 96, 97, 200]) + rng.choice(["", ".", "\n"]) for _ in range(rng.randrange(9))).encode() for _ in range(200)]
+    flat, off = mixing._joined(texts)
+    chunk = mixing.Chunk.cut(flat, off)
+    word, words, ends = chunk.words()
+    place = np.concatenate([[0], np.cumsum(chunk.many)])
+    for k, t in enumerate(texts):
+        assert [words[ends[w] : ends[w + 1]].tobytes() for w in word[place[k] : place[k + 1]] if w >= 0] == t.lower().split()
+        assert b"".join(chunk.flat[chunk.off[n] : chunk.off[n + 1]].tobytes() for n in chunk.number[place[k] : place[k + 1]]) == t + b"\xff"
+    for x in (np.zeros(0, np.int32), np.array([0, 5, 70_000, 1 << 30], np.int32)):
+        assert (mixing._loosened(mixing._squeezed(x), np.int32) == x).all() and (mixing._ascended(mixing._ascending(x), len(x)) == x).all()
