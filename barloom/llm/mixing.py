@@ -11,15 +11,15 @@ on one ninth of the training documents, whose counts join the tables only after
 Within every text the mixture is refined after every token: a few blends of it with the text's own earlier tokens are weighted by how well each
 has foretold the text so far. So a text that repeats itself costs less, and one that doesn't costs next to nothing more.
 
-Spark counts the tokens of all training documents, deals them out in their order and stores them, so what is gathered grows with the corpus. From
+Texts are cut once, into chunks of some megabytes: the different tokens of each, and all tokens as numbers. Spark counts the tokens of all training
+chunks, deals them out in their order and stores them, so what is gathered grows with the corpus. From
 the counted tokens it works out (context, node, zeros, ones): a token is a row of bits, so in sorted order the tokens that share
 a node stand together. The tables have four cells at least for each (context, node) that they hold, two bytes a
 cell, and go to every task. Of the token so far, a task that holds a part of the sorted tokens has all nodes there, so the counts of all are exact and no table
-holds them, but for nodes that reach over the border of a part. So every different token is spelled once, by the task that has its neighbours; frequent tokens' costs
-(a fixed number) are sent to every task, all others meet their costs in a join. The word counts for the base score stay in Spark: frequent words (a fixed number) are sent to
-every task, all others meet their counts in a join.
+holds them, but for nodes that reach over the border of a part. So every different token is spelled once, by the task that has its neighbours, and its cost goes to each chunk that
+has it. Words are dealt by their hash, and their counts for the base score return to the chunks likewise.
 
-Edge cases: null and empty texts have the end alone. Very long texts are scored in pieces that hand on what they have seen. Rows with the same doc_id
+Edge cases: null and empty texts have the end alone. A very long text is a chunk of its own. Rows with the same doc_id
 give one row each. An empty table gives no rows; without training documents all predictions are one half. Further columns of the input are
 ignored.
 """
