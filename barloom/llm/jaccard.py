@@ -36,7 +36,7 @@ BITMAP = 16
 class ShingleHasher:
     """64-bit hashes of the distinct k-word shingles of a text; the words' hashes are kept in a bounded cache."""
 
-    def __init__(self, k: int = 5, most_words: int = 300_000):
+    def __init__(self, k: int = 5, most_words: int = 100_000):
         self.k, self.most, self.cache = k, most_words, {}
 
     def _word(self, w: bytes) -> int:
@@ -88,6 +88,7 @@ def _summaries(docs: DataFrame, k: int, cells: int) -> DataFrame:
     shift = np.uint64(64 - (cells.bit_length() - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tx.release()
         hasher, sketch, none = ShingleHasher(k), None, []
         for batch in batches:
             for lo in range(0, batch.num_rows, _PART):
@@ -135,6 +136,7 @@ def _postings(docs: DataFrame, k: int, percent: int, sketch: np.ndarray) -> Data
     shift, sent = np.uint64(64 - (len(sketch).bit_length() - 1)), docs.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tx.release()
         hasher, seen, counts = ShingleHasher(k), set(), sent.value
         for batch in batches:
             for lo in range(0, batch.num_rows, _PART):
@@ -158,6 +160,7 @@ def _shared(postings: DataFrame) -> DataFrame:
     schema = pa.schema([(c, pa.int64() if c in ("shingle", "set", "first") else pa.int32()) for c in ("shingle", "set", "n", "at", "first", "first_n", "first_at")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tx.release()
         held: list[int] | None = None  # the first posting of the last shingle so far
         sent = False  # it has been emitted
         for batch in batches:
@@ -213,6 +216,7 @@ def _fragments(docs: DataFrame, summaries: DataFrame, pairs: DataFrame, k: int,
     schema = pa.schema([("set", pa.int64()), ("part", pa.int32()), ("shingles", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tx.release()
         hasher = ShingleHasher(k)
         for batch in batches:
             for lo in range(0, batch.num_rows, _PART):
@@ -245,6 +249,7 @@ def _linked(docs: DataFrame, summaries: DataFrame, pairs: DataFrame, k: int, per
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("a_n", pa.int32()), ("b_n", pa.int32()), ("nth", pa.int32()), ("shared", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tx.release()
         for batch in batches:
             shared = []
             for p, q, deep in zip(batch.column(5).to_pylist(), batch.column(6).to_pylist(), batch.column(7).to_pylist(), strict=True):
@@ -283,6 +288,7 @@ def near_duplicates(docs: DataFrame, *, k: int = 5, percent: int = 80, cells: in
     """
     if percent <= 50:
         raise ValueError("percent must be over 50")
+    tx.small_batches(docs.sparkSession)
     told = tx.stored(_summaries(docs, k, cells), "shingles")
     sketch = _sketch(told.where(F.col("chunk").isNotNull()).select("chunk", "counts"), cells)
     summaries = told.where(F.col("n").isNotNull()).select("doc_id", "row_key", "n", "set")

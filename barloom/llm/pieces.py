@@ -300,12 +300,9 @@ class Segmenter:
         return text[1:] if text.startswith(" ") else text
 
 
-_segmenters: dict[tuple[str, int], Segmenter] = {}
-
-
 def _segmented(batches: Iterator[pa.RecordBatch], model: str, n_best: int) -> Iterator[tuple[pa.Array, list[tuple[np.ndarray, list[float], bool]]]]:
     """(doc_id, [(ids of the best, scores, decoding gives the text)]) of some rows at a time."""
-    s = _segmenters.get((model, n_best)) or _segmenters.setdefault((model, n_best), Segmenter(model, n_best))
+    s = tx.kept(("segmenter", model, n_best), lambda: Segmenter(model, n_best))
     for batch in batches:
         _, off = tx.blobs(batch.column(1))
         for lo, hi in tx.slices(off, 1 << 21):
@@ -321,6 +318,7 @@ def _segmented(batches: Iterator[pa.RecordBatch], model: str, n_best: int) -> It
 
 def segment_texts(docs: DataFrame, model: str, *, n_best: int = 3) -> DataFrame:
     """doc_id, n_pieces, ids_crc32 (of the best ids as little-endian 32-bit numbers), score, scores (n best) and round_trip (decoding gives the text) of every row."""
+    tx.small_batches(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("ids_crc32", pa.int64()), ("score", pa.float64()), ("scores", pa.list_(pa.float64())), ("round_trip", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,6 +330,7 @@ def segment_texts(docs: DataFrame, model: str, *, n_best: int = 3) -> DataFrame:
 
 def segment_ids(docs: DataFrame, model: str, *, n_best: int = 3) -> DataFrame:
     """doc_id, ids (array<int>) of the best segmentation, scores (n best) and round_trip (decoding gives the text) of every row."""
+    tx.small_batches(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("scores", pa.list_(pa.float64())), ("round_trip", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -57,6 +57,7 @@ def count_text(b: bytes) -> tuple[int, ...]:
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    tx.release()
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1)
         for lo in range(0, len(ids), 500):
@@ -66,6 +67,7 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def text_counts(docs: DataFrame) -> DataFrame:
     """doc_id and COUNTS of every row."""
+    tx.small_batches(docs.sparkSession)
     schema = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), tx.as_bytes().alias("text")).mapInArrow(_count_batches, schema)
 
@@ -221,10 +223,12 @@ def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
 
 def keep_good(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """The rows of docs that `judge` keeps, with their columns. The counts travel with the rows, so no join is needed."""
+    tx.small_batches(docs.sparkSession)
     names = [f"__{c}" for c in COUNTS]
     schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tx.release()
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)

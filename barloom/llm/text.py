@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Code points that end a word: space and \t \n \v \f \r.
 WHITESPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
+#: Most bytes of a batch that goes to a Python worker.
+BATCH_BYTES = 4 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +69,33 @@ def rows(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, schema, strict=True)], schema=schema)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session's batches for Python workers hold BATCH_BYTES at most (a longer row stands alone), or fewer where fewer are set. Ten
+    thousand rows of texts or sets are tens of megabytes, which a task holds in its buffers and its worker once more."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    number, unit = re.fullmatch(r"(-?\d+)([kmgtp]?)b?", spark.conf.get(key).strip().lower()).groups()
+    if not 0 < int(number) * 1024 ** " kmgtp".index(unit or " ") <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+#: What this worker keeps for its next tasks, one thing at most.
+_kept: dict[Any, Any] = {}
+
+
+def kept(key: Any, make: Callable[[], Any]) -> Any:
+    """What a worker has kept under `key`, made if it has not; what it kept under another key is let go."""
+    if key not in _kept:
+        release()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def release() -> None:
+    """Let go what this worker keeps. Workers are used again by later stages, which need the memory for their own."""
+    _kept.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder in the place that driver and executors share (spark.checkpoint.dir). Where it is unset and all runs in one process, as in
     tests, a local one is set; on a cluster it must be set."""
